@@ -54,8 +54,8 @@ def window_of(ts: str, seconds: int) -> str:
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (f"(2.0*6371008.8 * asin(sqrt(least(1.0, power(sin(radians({lat2}-{lat1})/2.0),2)"
-            f" + cos(radians({lat1}))*cos(radians({lat2}))*power(sin(radians({lon2}-{lon1})/2.0),2)))))")
+    return (f"(2.0*6371008.8 * asin(sqrt(power(sin(radians({lat2}-{lat1})/2.0),2)"
+            f" + cos(radians({lat1}))*cos(radians({lat2}))*power(sin(radians({lon2}-{lon1})/2.0),2))))")
 
 
 def rr_columns(extra: str = "") -> str:

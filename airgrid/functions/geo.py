@@ -55,7 +55,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half_lat = F.sin(F.radians(lat2 - lat1) / F.lit(2.0))
     half_lon = F.sin(F.radians(lon2 - lon1) / F.lit(2.0))
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # least() would skip a null chord, so the cap is a plain condition
+    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(chord > 1.0, F.lit(1.0)).otherwise(chord)))
 
 
 def planar_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, mid_lat: Column) -> Column:

@@ -39,18 +39,19 @@ def with_regime(curve: DataFrame, rho: Column) -> DataFrame:
     return curve.withColumns({"regime": label, "rho_star": rho})
 
 
-def binned_relation(df: DataFrame, x: str, y: str, *, bin_width: float, min_samples: int = 30,
+def binned_relation(df: DataFrame, x: str, y: str, *, bin_width: float | str, min_samples: int = 30,
                     by: Sequence[str] = (), origin: float | None = 0.0) -> DataFrame:
     """Mean, median and quartiles of y in left-closed x bins; ``origin=None`` starts at the group minimum of x."""
     by = list(by)
-    data = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    width = F.col(bin_width) if isinstance(bin_width, str) else F.lit(float(bin_width))
+    data = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), width.alias("_width"))
     if origin is None:
         lows = data.groupBy(*by).agg(F.min("x").alias("_x0"))
         data = data.join(lows, by) if by else data.withColumn("_x0", lows.scalar())
         start = F.col("_x0")
     else:
         start = F.lit(float(origin))
-    data = data.withColumn("bin", F.floor((F.col("x") - start) / F.lit(float(bin_width))).cast("bigint"))
+    data = data.withColumn("bin", F.floor((F.col("x") - start) / F.col("_width")).cast("bigint"))
     stats = data.groupBy(*by, "bin").agg(F.count("y").alias("sample_count"), F.avg("x").alias("x_mean"),
                                          F.avg("y").alias("y_mean")).where(F.col("sample_count") >= min_samples)
     quartiles = exact_percentiles(data, "y", {"y_median": 0.5, "y_q25": 0.25, "y_q75": 0.75}, by=by + ["bin"])
