@@ -142,7 +142,7 @@ def equal_width_curve(i):
        """SELECT coalesce((SELECT density_center FROM (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER () AS n,
           avg(speed_mean) OVER (ORDER BY density_center ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b,
           avg(speed_mean) OVER (ORDER BY density_center ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS a FROM curve WINDOW o AS (ORDER BY density_center))
-         WHERE i >= 5 AND i < n - 5 ORDER BY b - a DESC, i LIMIT 1),
+         WHERE i >= 5 AND i < n - 5 ORDER BY round(b - a, 9) DESC, i LIMIT 1),
          (SELECT density_center FROM (SELECT *, row_number() OVER (ORDER BY density_center) - 1 AS i, count(*) OVER () AS n FROM curve) WHERE i = n//2)) AS breakpoint""")
 def window_drop_breakpoint(i):
     """W14."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions.geo import with_cell
 from airgrid.operators.cells import cell_windows, occupancy
+from airgrid.session import materialize
 from airgrid.spec import FINE_GRID, FINE_WINDOW, GridSpec, WindowSpec
 
 # The derived telemetry is thin, so density studies use a coarser grid than the default.
@@ -108,7 +109,8 @@ class Inputs:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return cell_windows(self.points, WINDOW)
+        """Cell-windows, staged: the studies read this table several times."""
+        return materialize(cell_windows(self.points, WINDOW))
 
     @cached_property
     def fine_windows(self) -> DataFrame:
@@ -116,4 +118,4 @@ class Inputs:
 
     @cached_property
     def occ(self) -> DataFrame:
-        return occupancy(self.windows)
+        return materialize(occupancy(cell_windows(self.points, WINDOW)))

@@ -11,6 +11,7 @@ from airgrid.operators import buffers, clean, sequences, temporal, trips
 from airgrid.operators.cells import in_set
 from airgrid.operators.ranking import top_fraction
 from airgrid.plans import flow
+from airgrid.session import materialize
 from airgrid.spec import DURATION_EDGES_MIN, LENGTH_EDGES_KM
 
 # ---------------------------------------------------------------- cleaning
@@ -148,11 +149,11 @@ def od_of(i):
 
 
 def endpoint_cells_of(i):
-    return trips.endpoint_counts(trips.endpoints(od_of(i), GRID))
+    return materialize(trips.endpoint_counts(trips.endpoints(od_of(i), GRID)))
 
 
 def hub_cells_of(i):
-    return top_fraction(endpoint_cells_of(i), "endpoint_count", 0.10).select("row", "col")
+    return materialize(top_fraction(endpoint_cells_of(i), "endpoint_count", 0.10).select("row", "col"))
 
 
 @query("refined_grid_summary", "min_lon:f max_lon:f min_lat:f max_lat:f n_rows:i n_cols:i total_cells:i used_cells:i",

@@ -153,20 +153,22 @@ def regime_metrics(curve: DataFrame, rho: Column) -> DataFrame:
     return curve.agg(*[c.alias(n) for n, c in out.items()])
 
 
-def window_drop(curve: DataFrame, by: Sequence[str] = (), *, order: str, x: str = "density", y: str = "speed",
+def window_drop(curve: DataFrame, by: Sequence[str] = (), *, order: str | Sequence[str], x: str = "density", y: str = "speed",
                 width: int = 5) -> DataFrame:
     """Position with the largest (mean of ``width`` rows before) - (mean of ``width`` rows from here on).
 
-    Curves shorter than 2 * width return their middle row.
+    Drops equal to nine decimals tie and the first wins; curves shorter than
+    2 * width return their middle row.
     """
     by = list(by)
-    ordered, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    order = [order] if isinstance(order, str) else list(order)
+    ordered, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     scan = curve.withColumns({
         "_i": F.row_number().over(ordered) - 1, "_n": F.count(F.lit(1)).over(whole),
         "_b": F.avg(y).over(ordered.rowsBetween(-width, -1)),
         "_a": F.avg(y).over(ordered.rowsBetween(0, width - 1))})
     usable = (F.col("_i") >= width) & (F.col("_i") < F.col("_n") - width)
-    choice = F.when(usable, F.struct(F.lit(1).alias("r"), (F.col("_b") - F.col("_a")).alias("d"), (-F.col("_i")).alias("i"))) \
+    choice = F.when(usable, F.struct(F.lit(1).alias("r"), F.round(F.col("_b") - F.col("_a"), 9).alias("d"), (-F.col("_i")).alias("i"))) \
         .when(F.col("_i") == F.floor(F.col("_n") / 2), F.struct(
             F.lit(0).alias("r"), F.lit(0.0).alias("d"), (-F.col("_i")).alias("i")))
     return scan.groupBy(*by).agg(F.max_by(F.col(x), choice).alias("breakpoint"))

@@ -45,6 +45,17 @@ def global_rank(df: DataFrame, order: Order, *, levels: int, by: Sequence[str] =
     return ranked.withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_offset", "_inside")
 
 
+def running_total(df: DataFrame, weight: str, order: Sequence[str] = ("row", "col"), *, by: Sequence[str] = (),
+                  name: str = "before") -> DataFrame:
+    """Sum of ``weight`` over all rows sorted before this one; windows never exceed one grid row or one list of rows."""
+    by, (outer, inner) = list(by), order
+    prev = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*by, outer).agg(F.sum(weight).alias("_w"))
+    sums = sums.select(*by, outer, F.coalesce(F.sum("_w").over(prev(Window.partitionBy(*by).orderBy(outer))), F.lit(0)).alias("_o"))
+    inside = F.coalesce(F.sum(weight).over(prev(Window.partitionBy(*by, outer).orderBy(inner))), F.lit(0))
+    return df.withColumn("_i", inside).join(sums, by + [outer]).withColumn(name, F.col("_o") + F.col("_i")).drop("_o", "_i")
+
+
 def cumulative_by_value(df: DataFrame, measure: str, *, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """One row per distinct value: how many rows, and what total, come before it."""
     by = list(by)
