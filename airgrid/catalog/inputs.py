@@ -98,6 +98,22 @@ class Inputs:
             "case when p_partkey % 50 = 0 then null else 5.0D + 2.0D*p_size end as building_height_m",
             "113.9003D + 0.05D*x*x*x as lon", "22.6002D + 0.05D*y*y as lat")
 
+    @cached_property
+    def nav_logs(self) -> DataFrame:
+        """Flight-log rows of the later days, with a path per flight as the file walker would give it."""
+        base = self.table("lineitem").where("l_orderkey % 22 >= 17").selectExpr(
+            "l_orderkey as k", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "cast(l_partkey % 100 as double)/100.0D as x", "cast(l_suppkey % 50 as double)/50.0D as y")
+        stem = ("concat(date_format(timestamp_seconds(unix_timestamp(case when k % 50 = 0 then timestamp '2024-10-01 00:00:00'"
+                " else timestamp '2025-10-01 00:00:00' end) + k*137), 'yyyyMMdd-HHmmss'), '.mat')")
+        return base.selectExpr(
+            f"concat('logs/', case k % 4 when 0 then concat('A/R', cast(k % 3 as string), '/') when 1 then concat('B/R', cast(k % 3 as string), '/')"
+            f" when 2 then concat('B-2/R', cast(k % 3 as string), '/') else '' end, {stem}) as path",
+            "case when k % 89 = 0 then 0.0D else 22.60D + 0.05D*y*y end as lat", "113.90D + 0.05D*x*x*x as lon",
+            "case when l_linenumber = 7 and k % 11 = 0 then null else (l_linenumber*60 + l_partkey % 60)*1000000L end as logtime",
+            "0.6D*least(40.0D, l_quantity*0.8D*sqrt((x*x*x + y*y)/2.0D)) as vel_x", "0.8D*least(40.0D, l_quantity*0.8D*sqrt((x*x*x + y*y)/2.0D)) as vel_y",
+            "l_extendedprice - 500.0D*floor(l_extendedprice/500.0D) as altitude_agl")
+
     @cached_property
     def points(self) -> DataFrame:
         """Telemetry on the study grid."""

@@ -434,10 +434,10 @@ def observed_coupling(i):
     return table
 
 
-@query("time_shuffle_null", NULL, null_sql("shuffle_null", "rr", "(SELECT rr FROM fixed_risk)"))
+@query("time_shuffle_null", NULL, null_sql("shuffle_null", "odds_ratio", "(SELECT odds_ratio FROM fixed_risk)"))
 def time_shuffle_null(i):
     """R4, R8."""
-    return rs.null_summary(rs.time_shuffle_null(i.windows), "rr", observed_coupling(i).select("rr").scalar())
+    return rs.null_summary(rs.time_shuffle_null(i.windows), "odds_ratio", observed_coupling(i).select("odds_ratio").scalar())
 
 
 q.view("random_bb", f"""SELECT iter, x, s FROM (SELECT iter, x, s, row_number() OVER (PARTITION BY iter ORDER BY md5('42|' || iter::VARCHAR || '|' || row::VARCHAR || '|' || col::VARCHAR)) AS rk FROM cell_x, {iters(50)})

@@ -19,19 +19,19 @@ def view(name: str, text: str) -> str:
 def compose(body: str) -> str:
     """Prefix ``body`` with the WITH clauses it needs, in dependency order."""
     ordered: list[str] = []
+    active: set[str] = set()
 
     def visit(text: str) -> None:
         for word in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text):
-            if word in VIEWS and word not in ordered:
+            if word in VIEWS and word not in ordered and word not in active:
+                active.add(word)
                 visit(VIEWS[word])
-                if word not in ordered:
-                    ordered.append(word)
+                ordered.append(word)
 
     visit(body)
     if not ordered:
         return body
-    parts = [f"{name} AS {'MATERIALIZED ' if not VIEWS[name].startswith('--recursive') else ''}({VIEWS[name]})"
-             for name in ordered]
+    parts = [f"{name} AS {'' if 'UNION SELECT r.' in VIEWS[name] else 'MATERIALIZED '}({VIEWS[name]})" for name in ordered]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
@@ -77,6 +77,12 @@ ABCD = ("count(*) FILTER (exposed AND outcome) AS a, count(*) FILTER (exposed AN
         " count(*) FILTER (NOT exposed AND outcome) AS c, count(*) FILTER (NOT exposed AND NOT outcome) AS d")
 
 
+def components_view(name: str, nodes: str, edges: str) -> str:
+    """Views ``name`` (g, node, label) from nodes (g, node) and directed edges (g, s, d), by reachability."""
+    view(f"{name}_reach", f"SELECT g, node, node AS label FROM ({nodes}) UNION SELECT r.g, e.d AS node, r.label FROM {name}_reach r JOIN ({edges}) e ON e.g = r.g AND e.s = r.node")
+    return view(name, f"SELECT g, node, min(label) AS label FROM {name}_reach GROUP BY g, node")
+
+
 def curve_sql(windows: str, by: str = "", width: int = 1, min_samples: int = 10, density: str = "n_points",
               center: str = "mid") -> str:
     g = f"{by}, " if by else ""

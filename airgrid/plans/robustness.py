@@ -316,6 +316,13 @@ def leave_one_group_out(parts: DataFrame, group: str) -> DataFrame:
     return out.join(removed, group)
 
 
+def leave_selected_groups_out(parts: DataFrame, group: str, selected: DataFrame) -> DataFrame:
+    """Like :func:`leave_one_group_out`, folding only over the selected groups; all groups stay in the total."""
+    total = cells_op.occupancy(cells_op.from_contributions(parts))
+    deltas = group_deltas(parts, group, parts.join(selected, group, "left_semi"))
+    return summarize(leave_out(total, deltas, group), [group])
+
+
 def leave_cells_out(occ: DataFrame, cell_groups: DataFrame, fold: str) -> DataFrame:
     """Summary without the cells of each group (hub neighbourhoods), with what was removed."""
     rho = rho_star(occ)

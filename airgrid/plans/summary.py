@@ -105,15 +105,16 @@ def negated(occ: DataFrame) -> DataFrame:
     return occ.withColumns({c: -F.col(c) for c in OCCUPANCY_SUMS})
 
 
-def group_deltas(parts: DataFrame, group: str) -> DataFrame:
+def group_deltas(parts: DataFrame, group: str, removed: DataFrame | None = None) -> DataFrame:
     """Signed occupancy rows that turn the full histogram into the one without ``group``.
 
     ``parts`` are per-group contributions (n_points, speed_sum) of cell-windows.
-    Each affected window leaves its old density and, if points remain, enters the new one.
+    Each affected window leaves its old density and, if points remain, enters the
+    new one. ``removed`` limits the folds to some groups' contributions.
     """
     keys = ["row", "col", "window_start"]
     full = parts.groupBy(*keys).agg(F.sum("n_points").alias("_n"), F.sum("speed_sum").alias("_s"))
-    joined = parts.join(full, keys)
+    joined = (parts if removed is None else removed).join(full, keys)
 
     def rows(n: Column, s: Column, sign: int) -> Column:
         mean, one = s / n, F.lit(sign).cast("bigint")

@@ -15,6 +15,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", memory)
              .config("spark.local.dir", scratch)
              .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
