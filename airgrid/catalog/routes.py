@@ -64,7 +64,7 @@ def backbone_continuity(i):
 
 
 q.view("bb_shapes", """SELECT label, cells, sqrt(greatest(1e-9, m + g)/greatest(1e-9, m - g)) AS pca_elongation, greatest(rs, cs)::DOUBLE/greatest(least(rs, cs), 1) AS bbox_aspect_ratio,
-  ((degrees(atan2(2*cv, vc - vr))/2.0) % 180.0 + 180.0) % 180.0 AS major_axis_angle_deg FROM (
+  (round(degrees(atan2(2*cv, vc - vr))/2.0, 9) % 180.0 + 180.0) % 180.0 AS major_axis_angle_deg FROM (
   SELECT *, (vr+vc)/2.0 AS m, sqrt(power((vr-vc)/2.0, 2) + cv*cv) AS g FROM (
     SELECT label, count(*) AS cells, var_samp(node // 1048576) AS vr, var_samp(node % 1048576) AS vc, covar_samp(node // 1048576, node % 1048576) AS cv,
     max(node // 1048576) - min(node // 1048576) + 1 AS rs, max(node % 1048576) - min(node % 1048576) + 1 AS cs FROM bb_comp GROUP BY label HAVING count(*) >= 5))""")
@@ -372,14 +372,14 @@ def directed_of(i):
     return materialize(routes.directed_edges(linked, nodes)), nodes
 
 
-@query("od_with_trips", "order_id:s start_row:i start_col:i path_length_km:f duration_minutes:f3 od_distance_km:f",
+@query("od_with_trips", "order_id:s start_row:i start_col:i path_length_km:f duration_minutes:f od_distance_km:f",
        "SELECT o.order_id, start_row, start_col, path_length_km, duration_minutes, od_distance_km FROM od o JOIN trips t USING (order_id) WHERE duration_minutes > 0 AND od_distance_km > 0")
 def od_with_trips(i):
     """J2."""
     return od_trips(i)
 
 
-@query("directed_route_edges", "source:i target:i order_support:i mean_air_distance_km:f5 mean_air_duration_min:f5 sf_order_share:f median_air_distance_km:f5 median_air_duration_min:f5 median_od_distance_km:f5",
+@query("directed_route_edges", "source:i target:i order_support:i mean_air_distance_km:f mean_air_duration_min:f8 sf_order_share:f median_air_distance_km:f median_air_duration_min:f8 median_od_distance_km:f",
        "SELECT * FROM directed_edges")
 def directed_route_edges(i):
     """A33."""

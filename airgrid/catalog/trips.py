@@ -232,12 +232,12 @@ q.view("trips_m", f"""SELECT order_id, min(vendor) AS vendor, count(*) AS num_po
   coalesce(sum({q.haversine('p_lat', 'p_lon', 'latitude', 'longitude')}), 0.0) AS path_m,
   {q.haversine(f'arg_min(latitude, {_TK})', f'arg_min(longitude, {_TK})', f'arg_max(latitude, {_TK})', f'arg_max(longitude, {_TK})')} AS od_m
   FROM steps GROUP BY order_id HAVING count(*) >= 3""")
-q.view("trips", """SELECT order_id, vendor, num_points, round((epoch(end_time)-epoch(start_time))/60.0::DOUBLE, 3) AS duration_minutes,
-  round(path_m/1000.0::DOUBLE, 6) AS path_length_km, round(od_m/1000.0::DOUBLE, 6) AS od_distance_km,
-  round(CASE WHEN od_m > 0 THEN path_m/od_m ELSE 0.0 END, 6) AS circuity_ratio, start_time, end_time FROM trips_m""")
+q.view("trips", """SELECT order_id, vendor, num_points, (epoch(end_time)-epoch(start_time))/60.0::DOUBLE AS duration_minutes,
+  path_m/1000.0::DOUBLE AS path_length_km, od_m/1000.0::DOUBLE AS od_distance_km,
+  CASE WHEN od_m > 0 THEN path_m/od_m ELSE 0.0 END AS circuity_ratio, start_time, end_time FROM trips_m""")
 
 
-@query("trip_lengths", "order_id:s vendor:s num_points:i duration_minutes:f3 path_length_km:f od_distance_km:f circuity_ratio:f start_time:t end_time:t",
+@query("trip_lengths", "order_id:s vendor:s num_points:i duration_minutes:f path_length_km:f od_distance_km:f circuity_ratio:f start_time:t end_time:t",
        "SELECT * FROM trips")
 def trip_lengths(i):
     """A24, P15."""

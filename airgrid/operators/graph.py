@@ -98,7 +98,8 @@ def component_shapes(components: DataFrame, minimum: int = 5) -> DataFrame:
         (F.max("row") - F.min("row") + 1).alias("rs"), (F.max("col") - F.min("col") + 1).alias("cs")).where(F.col("cells") >= minimum)
     mid, gap = (F.col("vr") + F.col("vc")) / 2, F.hypot((F.col("vr") - F.col("vc")) / 2, F.col("cv"))
     major, minor = F.greatest(F.lit(floor), mid + gap), F.greatest(F.lit(floor), mid - gap)
-    angle = F.pmod(F.degrees(F.atan2(F.col("cv") * 2, F.col("vc") - F.col("vr")) / 2), F.lit(180.0))
+    turn = F.degrees(F.atan2(F.col("cv") * 2, F.col("vc") - F.col("vr")) / 2)
+    angle = F.pmod(F.round(turn, 9), F.lit(180.0))  # rounded so that -0.0... stays 0, not 180
     return stats.select("label", "cells", F.sqrt(major / minor).alias("pca_elongation"),
                         (F.greatest("rs", "cs") / F.greatest(F.least("rs", "cs"), F.lit(1))).alias("bbox_aspect_ratio"),
                         angle.alias("major_axis_angle_deg"))

@@ -112,9 +112,9 @@ def trip_lengths(points: DataFrame, minimum: int = 3) -> DataFrame:
     out = out.withColumn("od_m", od)
     seconds = F.unix_timestamp("end_time") - F.unix_timestamp("start_time")
     return out.select(
-        "order_id", "vendor", "num_points", F.round(seconds / 60.0, 3).alias("duration_minutes"),
-        F.round(F.col("path_m") / 1000.0, 6).alias("path_length_km"), F.round(F.col("od_m") / 1000.0, 6).alias("od_distance_km"),
-        F.round(F.when(F.col("od_m") > 0, F.col("path_m") / F.col("od_m")).otherwise(F.lit(0.0)), 6).alias("circuity_ratio"),
+        "order_id", "vendor", "num_points", (seconds / 60.0).alias("duration_minutes"),
+        (F.col("path_m") / 1000.0).alias("path_length_km"), (F.col("od_m") / 1000.0).alias("od_distance_km"),
+        F.when(F.col("od_m") > 0, F.col("path_m") / F.col("od_m")).otherwise(F.lit(0.0)).alias("circuity_ratio"),
         "start_time", "end_time")
 
 
