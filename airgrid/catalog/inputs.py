@@ -6,7 +6,8 @@ The same definitions exist as SQL in ``catalog/sql.py``.
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,25 @@ WINDOW = WindowSpec(3600)
 _POSITION = ["113.90D + 0.05D*x*x*x as longitude", "22.60D + 0.05D*y*y as latitude"]
 
 
+def staged(build: Callable[["Inputs"], DataFrame]) -> Callable[["Inputs"], DataFrame]:
+    """An intermediate table written once per query run and shared by its consumers."""
+
+    @wraps(build)
+    def once(inputs: "Inputs") -> DataFrame:
+        if build not in inputs.stages:
+            inputs.stages[build] = materialize(build(inputs))
+        return inputs.stages[build]
+
+    return once
+
+
 class Inputs:
     """Lazy DataFrames over one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self.stages: dict[Callable, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -67,7 +81,9 @@ class Inputs:
             "cast(l_linenumber*60 - case when k % 113 = 0 then 1000 else 0 end as string) as flight_time",
             "cast(113.90D + 0.05D*x*x*x + case when k % 127 = 0 then 5.0D else 0.0D end as string) as longitude",
             "cast(22.60D + 0.05D*y*y as string) as latitude")
-        return text.select(*[F.when(F.col("k") % 109 != 0, F.col(c)).alias(c) for c in text.columns if c != "k"])
+        text = text.select(*[F.when(F.col("k") % 109 != 0, F.col(c)).alias(c) for c in text.columns if c != "k"])
+        # written as a table of its own, so cleaning starts from stored text as it does on files
+        return materialize(text)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -134,4 +150,4 @@ class Inputs:
 
     @cached_property
     def occ(self) -> DataFrame:
-        return materialize(occupancy(cell_windows(self.points, WINDOW)))
+        return materialize(occupancy(self.windows))

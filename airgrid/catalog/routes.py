@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from airgrid.catalog import robustness as r
 from airgrid.catalog import sql as q
 from airgrid.catalog import trips as t
-from airgrid.catalog.inputs import GRID, WINDOW
+from airgrid.catalog.inputs import GRID, WINDOW, staged
 from airgrid.catalog.registry import query
 from airgrid.functions.geo import haversine_m
 from airgrid.operators import buffers, cells as cells_op, graph, trips
@@ -29,8 +29,14 @@ q.components_view("bb_comp", "SELECT 0 AS g, row*1048576::BIGINT + col AS node F
                   "SELECT 0 AS g, row*1048576::BIGINT + col AS s, n_row*1048576::BIGINT + n_col AS d FROM adjacent")
 
 
+@staged
+def fine_cells(i):
+    return cells_op.cell_stats(i.fine_points).select("row", "col", "total_points")
+
+
+@staged
 def fine_backbone(i):
-    return materialize(top_fraction(cells_op.cell_stats(i.fine_points).select("row", "col", "total_points"), "total_points", 0.10).select("row", "col"))
+    return top_fraction(fine_cells(i), "total_points", 0.10).select("row", "col")
 
 
 @query("adjacent_cells", "row:i col:i n_row:i n_col:i", "SELECT * FROM adjacent")
@@ -139,9 +145,8 @@ q.view("rnd_sizes", "SELECT g, label, count(*) AS size FROM rnd_comp GROUP BY g,
        JOIN (SELECT g, avg((deg <= 1)::INT) AS degree_le1_share, avg((deg >= 3)::INT) AS degree_ge3_share FROM (SELECT n.g, n.row, n.col, count(a.s) AS deg FROM rnd_cells n LEFT JOIN rnd_adjacent a ON a.g = n.g AND a.s = n.row*1048576::BIGINT + n.col GROUP BY 1, 2, 3) GROUP BY g) d USING (g)""")
 def morphology_null(i):
     """Continuity of random cell sets, all iterations in one component run."""
-    cells = cells_op.cell_stats(i.fine_points).select("row", "col")
     size = fine_backbone(i).agg(F.count(F.lit(1))).scalar()
-    drawn = rs.random_cells(materialize(cells), size, 50, 15057).select("iter", "row", "col")
+    drawn = rs.random_cells(fine_cells(i), size, 50, 15057).select("iter", "row", "col")
     return routes.backbone_continuity(drawn, ["iter"])
 
 
@@ -167,23 +172,25 @@ q.components_view("clusters_all", "SELECT g, node FROM centroids, merge_levels",
 q.view("clusters", f"SELECT node, label FROM clusters_all WHERE g = {MERGE}")
 
 
-def refined_ends(i):
-    return trips.endpoints(t.od_of(i))
+@staged
+def centroids_of(i):
+    return routes.endpoint_centroids(trips.endpoints(t.od_of(i)))
 
 
 def clusters_of(i, thresholds=(MERGE,)):
-    return routes.cluster_endpoints(routes.endpoint_centroids(refined_ends(i)), thresholds)
+    return routes.cluster_endpoints(centroids_of(i), thresholds)
 
 
+@staged
 def main_clusters(i):
-    return materialize(clusters_of(i).drop("threshold"))
+    return clusters_of(i).drop("threshold")
 
 
 @query("close_endpoint_pairs", "node_a:i node_b:i distance_m:f3", "SELECT s AS node_a, d AS node_b, dist AS distance_m FROM close_cells WHERE s < d AND dist <= 500")
 def close_endpoint_pairs(i):
     """J10."""
     from airgrid.operators.spatial import pairs_within
-    return pairs_within(materialize(routes.endpoint_centroids(refined_ends(i))), "node", 500.0)
+    return pairs_within(centroids_of(i), "node", 500.0)
 
 
 @query("endpoint_clusters", "threshold:f node:i label:i", "SELECT g AS threshold, node, label FROM clusters_all")
@@ -198,7 +205,7 @@ q.view("cluster_nodes", "SELECT label AS cluster, avg(lat) AS centroid_lat, avg(
 @query("cluster_nodes", "cluster:i centroid_lat:f centroid_lon:f member_count:i", "SELECT * FROM cluster_nodes")
 def cluster_nodes(i):
     """G3 centroids."""
-    return routes.cluster_nodes(routes.endpoint_centroids(refined_ends(i)), main_clusters(i))
+    return routes.cluster_nodes(centroids_of(i), main_clusters(i))
 
 
 q.view("linked_all", """SELECT o.*, a.g AS threshold, a.label AS source, b.label AS target FROM od o JOIN clusters_all a ON a.node = start_row*1048576::BIGINT + start_col
@@ -212,12 +219,13 @@ q.view("linked", f"SELECT * FROM linked_all WHERE threshold = {MERGE}")
        count(*) FILTER (source <> target)::DOUBLE/count(*) AS nonself_order_share FROM linked_all GROUP BY threshold""")
 def merge_sensitivity(i):
     """G4."""
-    return routes.merge_sensitivity(materialize(t.od_of(i)), clusters_of(i, THRESHOLDS))
+    return routes.merge_sensitivity(t.od_of(i), clusters_of(i, THRESHOLDS))
 
 
 q.view("route_edges", "SELECT least(source, target) AS src, greatest(source, target) AS dst, count(*) AS weight FROM linked WHERE source <> target GROUP BY 1, 2")
 
 
+@staged
 def linked_of(i):
     return routes.cluster_pairs(t.od_of(i), main_clusters(i))
 
@@ -360,14 +368,14 @@ q.view("directed_edges", """SELECT *, printf('%.6f,%.6f;%.6f,%.6f', a.centroid_l
 
 def od_trips(i):
     """OD pairs with positive trip length and duration."""
-    info = trips.trip_lengths(i.telemetry).select("order_id", "path_length_km", "duration_minutes", "od_distance_km")
+    info = t.trips_of(i).select("order_id", "path_length_km", "duration_minutes", "od_distance_km")
     joined = t.od_of(i).join(info, "order_id").where((F.col("duration_minutes") > 0) & (F.col("od_distance_km") > 0))
     return joined
 
 
 def directed_of(i):
     clusters = main_clusters(i)
-    nodes = materialize(routes.cluster_nodes(routes.endpoint_centroids(refined_ends(i)), clusters))
+    nodes = materialize(routes.cluster_nodes(centroids_of(i), clusters))
     linked = materialize(routes.cluster_pairs(od_trips(i), clusters))
     return materialize(routes.directed_edges(linked, nodes)), nodes
 
@@ -454,8 +462,9 @@ _AB = "a_row:i a_col:i b_row:i b_col:i "
 _AB_SQL = "a[1] AS a_row, a[2] AS a_col, b[1] AS b_row, b[2] AS b_col"
 
 
+@staged
 def visits_of(i):
-    return materialize(compress_visits(i.points).select("order_id", "datetime", "longitude", "latitude", "speed", "altitude", "row", "col", "previous"))
+    return compress_visits(i.points).select("order_id", "datetime", "longitude", "latitude", "speed", "altitude", "row", "col", "previous")
 
 
 def _flat(df):
@@ -550,9 +559,10 @@ def unique_right_join(points, mapping):
     return points.join(checked, keys)
 
 
+@staged
 def route_day_parts(i):
     dated = cells_op.with_window(i.points, WINDOW).withColumn("date", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
-    return materialize(cells_op.contributions(unique_right_join(dated, route_days_of(i)), WINDOW, "route_day"))
+    return cells_op.contributions(unique_right_join(dated, route_days_of(i)), WINDOW, "route_day")
 
 
 @query("route_day_contributions", "route_day:s row:i col:i window_start:t n_points:i speed_sum:f",

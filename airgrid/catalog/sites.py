@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from airgrid.catalog import robustness as r
 from airgrid.catalog import sql as q
 from airgrid.catalog import trips as t
-from airgrid.catalog.inputs import GRID, WINDOW
+from airgrid.catalog.inputs import GRID, WINDOW, staged
 from airgrid.catalog.registry import query
 from airgrid.functions.geo import centroid_lat, centroid_lon
 from airgrid.operators import buffers, cells as cells_op, trips
@@ -24,12 +24,14 @@ q.view("tagged_sites", "SELECT unnest(CASE WHEN is_test_site THEN ['all_sites']
 q.view("oper_sites", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_name ORDER BY lon, lat) AS rn FROM inventory WHERE NOT is_test_site) WHERE rn = 1")
 
 
+@staged
 def inventory_of(i):
     return sites.site_inventory(i.sites, "main", "test", GRID)
 
 
+@staged
 def tagged_of(i):
-    return materialize(sites.anchor_sets(inventory_of(i)))
+    return sites.anchor_sets(inventory_of(i))
 
 
 @query("site_inventory", "site_name:s platform:s note:s open_time:s lon:f lat:f is_test_site:b row:i col:i", "SELECT * FROM inventory")
@@ -93,10 +95,12 @@ COVERAGE = ("anchor_cells:i active_cells_covered:i backbone_cells_covered:i hots
 q.view("site_coverage", coverage_sql(" UNION ALL ".join(_site_buffer_sql(k) for k in (0, 1, 2)), "anchor_set, radius"))
 
 
+@staged
 def flags_of(i):
     return sites.cell_flags(i.occ, t.hub_cells_of(i))
 
 
+@staged
 def coverage_of(i):
     return sites.anchor_coverage(flags_of(i), t.hub_cells_of(i), sites.site_buffers(tagged_of(i), GRID), ["anchor_set", "radius"])
 
@@ -131,9 +135,10 @@ def mapped_sites(i):
 q.view("far_cells", f"SELECT row, col FROM hub_cells UNION SELECT row + 40, col FROM hub_cells")
 
 
+@staged
 def far_cells_of(i):
     hubs = t.hub_cells_of(i)
-    return materialize(hubs.unionByName(hubs.withColumn("row", F.col("row") + 40)).distinct())
+    return hubs.unionByName(hubs.withColumn("row", F.col("row") + 40)).distinct()
 
 
 def _member(name, source):
@@ -265,8 +270,9 @@ q.view("ep_class", """SELECT *, nearest_station_m <= 150 AS station_adjacent, CA
     arg_min(dist, row(abs(h - rel_ground_m), h, dist)) AS best_match_dist FROM ep_dist WHERE dist <= 150 GROUP BY 1, 2) b USING (row, col) JOIN ep_site USING (row, col))""")
 
 
+@staged
 def endpoint_table(i):
-    return materialize(trips.endpoint_altitudes(trips.endpoints(t.od_of(i), GRID)))
+    return trips.endpoint_altitudes(trips.endpoints(t.od_of(i), GRID))
 
 
 def terrain_of(ends):

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airgrid.catalog import sql as q
-from airgrid.catalog.inputs import GRID, WINDOW
+from airgrid.catalog.inputs import GRID, WINDOW, staged
 from airgrid.catalog.registry import query
 from airgrid.operators import buffers, clean, sequences, temporal, trips
 from airgrid.operators.cells import in_set
 from airgrid.operators.ranking import top_fraction
 from airgrid.plans import flow
-from airgrid.session import materialize
 from airgrid.spec import DURATION_EDGES_MIN, LENGTH_EDGES_KM
 
 # ---------------------------------------------------------------- cleaning
@@ -144,16 +143,19 @@ def refined_points(i):
     return trips.refined_points(i.telemetry, GRID.size_m)
 
 
+@staged
 def od_of(i):
     return trips.od_pairs(refined_points(i))
 
 
+@staged
 def endpoint_cells_of(i):
-    return materialize(trips.endpoint_counts(trips.endpoints(od_of(i), GRID)))
+    return trips.endpoint_counts(trips.endpoints(od_of(i), GRID))
 
 
+@staged
 def hub_cells_of(i):
-    return materialize(top_fraction(endpoint_cells_of(i), "endpoint_count", 0.10).select("row", "col"))
+    return top_fraction(endpoint_cells_of(i), "endpoint_count", 0.10).select("row", "col")
 
 
 @query("refined_grid_summary", "min_lon:f max_lon:f min_lat:f max_lat:f n_rows:i n_cols:i total_cells:i used_cells:i",
@@ -226,6 +228,11 @@ def endpoint_altitudes(i):
 
 
 # ---------------------------------------------------------------- lengths
+@staged
+def trips_of(i):
+    return trips.trip_lengths(i.telemetry)
+
+
 q.view("steps", f"""SELECT *, lag(latitude) OVER o AS p_lat, lag(longitude) OVER o AS p_lon FROM telemetry
   WINDOW o AS (PARTITION BY order_id ORDER BY datetime, longitude, latitude, speed, altitude)""")
 q.view("trips_m", f"""SELECT order_id, min(vendor) AS vendor, count(*) AS num_points, min(datetime) AS start_time, max(datetime) AS end_time,
@@ -252,7 +259,7 @@ def trip_lengths(i):
        GROUP BY scope, metric""")
 def length_summary(i):
     """A25."""
-    return trips.length_summary(trips.trip_lengths(i.telemetry))
+    return trips.length_summary(trips_of(i))
 
 
 @query("length_bins", "length_bin:s n:i share:f",
@@ -262,7 +269,7 @@ def length_summary(i):
          WHEN path_length_km < 15 THEN '10_15km' WHEN path_length_km < 20 THEN '15_20km' ELSE 'ge_20km' END AS length_bin, count(*) AS n FROM trips GROUP BY 1) USING (length_bin)""")
 def length_bins(i):
     """A26, P18."""
-    return trips.length_bins(trips.trip_lengths(i.telemetry))
+    return trips.length_bins(trips_of(i))
 
 
 def bin_sql(value: str) -> str:
@@ -283,7 +290,7 @@ q.view("trips_binned", f"SELECT *, {bin_sql('path_length_km')} AS dist_bin, CASE
        quantile_cont(speed_kmh, 0.5) AS median_effective_speed_kmh FROM trips_binned WHERE dist_bin IS NOT NULL GROUP BY dist_bin)""")
 def duration_bins(i):
     """A29, P19."""
-    return trips.duration_bins(trips.trip_lengths(i.telemetry))
+    return trips.duration_bins(trips_of(i))
 
 
 _DETOUR = 1.4
@@ -295,14 +302,14 @@ q.view("break_even", f"""SELECT *, (od_distance_km*{_DETOUR}::DOUBLE)/(duration_
        "SELECT dist_bin, g AS ground_speed_kmh, count(*) AS n, avg((be > g)::INT) AS share_aerial_faster FROM break_even, (SELECT unnest(range(10, 71)) AS g) GROUP BY dist_bin, g")
 def ground_speed_advantage(i):
     """A32, J14."""
-    return trips.advantage_grid(trips.trip_lengths(i.telemetry), _DETOUR)
+    return trips.advantage_grid(trips_of(i), _DETOUR)
 
 
 @query("ground_speed_advantage_pivot", "dist_bin:s kmh_20:f kmh_40:f kmh_60:f",
        "SELECT dist_bin, avg((be > 20)::INT) AS kmh_20, avg((be > 40)::INT) AS kmh_40, avg((be > 60)::INT) AS kmh_60 FROM break_even GROUP BY dist_bin")
 def ground_speed_advantage_pivot(i):
     """A32 as a pivoted grid."""
-    return trips.advantage_pivot(trips.advantage_grid(trips.trip_lengths(i.telemetry), _DETOUR), (20, 40, 60))
+    return trips.advantage_pivot(trips.advantage_grid(trips_of(i), _DETOUR), (20, 40, 60))
 
 
 @query("break_even_quartiles", "dist_bin:s n:i median_break_even_speed_kmh:f4 q25_break_even_speed_kmh:f4 q75_break_even_speed_kmh:f4",
@@ -310,7 +317,7 @@ def ground_speed_advantage_pivot(i):
        quantile_cont(be, 0.75) AS q75_break_even_speed_kmh FROM break_even GROUP BY dist_bin""")
 def break_even_quartiles(i):
     """A32 break-even speeds."""
-    return trips.break_even_quartiles(trips.trip_lengths(i.telemetry), _DETOUR)
+    return trips.break_even_quartiles(trips_of(i), _DETOUR)
 
 
 # ----------------------------------------------------------- day profiles
@@ -418,14 +425,14 @@ def altitude_daily_bands(i):
 def length_daily_bands(i):
     """Path length (overflow goes to the last bin)."""
     index = temporal.edge_bin(F.col("path_length_km"), LENGTH_EDGES_KM, overflow_last=True)
-    return temporal.daily_share_bands(trips.trip_lengths(i.telemetry), F.to_date("start_time"), index, 10)
+    return temporal.daily_share_bands(trips_of(i), F.to_date("start_time"), index, 10)
 
 
 @query("duration_daily_bands", BANDS, bands_sql("trips", "start_time::date", edge_sql("duration_minutes", DURATION_EDGES_MIN), 8))
 def duration_daily_bands(i):
     """Duration."""
     index = temporal.edge_bin(F.col("duration_minutes"), DURATION_EDGES_MIN, overflow_last=True)
-    return temporal.daily_share_bands(trips.trip_lengths(i.telemetry), F.to_date("start_time"), index, 8)
+    return temporal.daily_share_bands(trips_of(i), F.to_date("start_time"), index, 8)
 
 
 # ------------------------------------------------------------- visits and flow
@@ -499,7 +506,7 @@ def anchored_relations(i):
 def speed_by_phase(i):
     """C22, J7, P23."""
     buffer = buffers.buffer_cells(hub_cells_of(i), 1, grid=GRID, edge="clamp")
-    return flow.speed_by_phase_summary(i.points, trips.trip_lengths(i.telemetry), buffer)
+    return flow.speed_by_phase_summary(i.points, trips_of(i), buffer)
 
 
 @query("hub_membership", "row:i col:i near:b",

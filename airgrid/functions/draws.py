@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,5 +15,11 @@ def draw_index(n: Column, *parts) -> Column:
     return F.pmod(F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint"), n)
 
 
-def iterations(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def iterated(df: DataFrame, n: int) -> DataFrame:
+    """Every row once per iteration (column ``iter``).
+
+    Small inputs arrive in few partitions, so rows are first spread over all
+    cores; otherwise one task would produce, and hash, all the copies.
+    """
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return spread.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

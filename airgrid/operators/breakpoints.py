@@ -86,7 +86,7 @@ def piecewise(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column
         F.max(F.when(found, F.col("_best.objective"))).alias("objective"),
         F.max("n_bins").alias("n_bins"),
         pick("slope_left").alias("slope_left"), pick("slope_right").alias("slope_right"),
-        pick("speed_before").alias("speed_before"), pick("speed_mean").alias("speed_after"))
+        pick("speed_before").alias("speed_before"), pick("speed_mean").alias("speed_after")).where(F.col("rho_star").isNotNull())
     drop = lambda hi, lo: F.when(F.col(hi) > 0, (F.col(hi) - F.col(lo)) / F.col(hi) * 100)
     return out.withColumns({"speed_drop_percent": drop("speed_free", "speed_congested"),
                             "jump_percent": drop("speed_before", "speed_after")})

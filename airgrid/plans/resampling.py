@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.functions.draws import digest, draw_index, iterations
+from airgrid.functions.draws import digest, draw_index, iterated
 from airgrid.functions.risk import contingency, finite
 from airgrid.functions.time import date_hour
 from airgrid.operators import cells as cells_op
@@ -58,9 +58,10 @@ def date_hour_bootstrap(windows: DataFrame, n: int = 1000, seed: int = SEED) ->
     flagged = cells_op.in_set(occ, backbone_cells(full), "exposed")
     blocks = flagged.groupBy("block").agg(*contingency(F.col("exposed"), F.col("n_points") >= rho_star(full), F.col("windows")))
     # one block per hour of the archive
+    blocks = materialize(blocks)
     blocks = global_rank(blocks.withColumn("day", F.substring("block", 1, 10)), [("day", True), ("block", True)], levels=1)
     total = blocks.agg(F.count(F.lit(1))).scalar()
-    draws = blocks.select((F.col("rank") - 1).alias("j"), iterations(n).alias("iter"))
+    draws = iterated(blocks.select((F.col("rank") - 1).alias("j")), n)
     picked = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
         F.count(F.lit(1)).alias("m"))
     sums = picked.join(blocks, "rank").groupBy("iter").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in "abcd"])
@@ -71,7 +72,7 @@ def rho_bootstrap(windows: DataFrame, n: int = 1000, seed: int = 2, *, resort: b
     """Breakpoint of resampled 100-bin curves; ``resort=False`` keeps the resample in draw order."""
     curve = equal_width_curve(windows)
     total = curve.agg(F.count(F.lit(1))).scalar()
-    draws = curve.select(F.col("position").alias("j"), iterations(n).alias("iter"))
+    draws = iterated(curve.select(F.col("position").alias("j")), n)
     draws = draws.withColumn("position", draw_index(total, seed, F.col("iter"), F.col("j")).cast("int"))
     sample = draws.join(curve.select("position", "density", "speed"), "position")
     return window_drop(sample, ["iter"], order=["density", "j"] if resort else "j")
@@ -96,7 +97,7 @@ def time_shuffle_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> Data
     base = windows.select(date_hour(F.col("window_start")).alias("block"), "row", "col",
                           F.unix_timestamp("window_start").alias("w"), "n_points")
     values = global_rank(base, [("row", True), ("col", True), ("w", True)], levels=2, by=["block"]).select("block", "rank", "n_points")
-    spread = base.select("block", "row", "col", "w", iterations(n).alias("iter"))
+    spread = iterated(base.select("block", "row", "col", "w"), n)
     labels = _hash_rank(spread, ["iter", "block"], ["row", "col", "w"], seed, F.col("iter"))
     mixed = labels.select("iter", "block", "rank", "row", "col").join(values, ["block", "rank"])
     shuffled = materialize(mixed.groupBy("iter", "row", "col", "n_points").agg(F.count(F.lit(1)).alias("windows")))
@@ -107,7 +108,7 @@ def time_shuffle_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> Data
 
 def random_cells(cells: DataFrame, k: Column, n: int, seed: int) -> DataFrame:
     """``k`` cells per iteration, drawn without replacement."""
-    spread = cells.select("*", iterations(n).alias("iter"))
+    spread = iterated(cells, n)
     return _hash_rank(spread, ["iter"], ["row", "col"], seed, F.col("iter")).where(F.col("rank") <= k)
 
 
@@ -135,7 +136,7 @@ def od_reassignment_null(ends: DataFrame, windows: DataFrame, grid: GridSpec, n:
     line = running_total(counts, "m", by=["kind"])
     total = counts.where(F.col("kind") == "start").agg(F.sum("m")).scalar()
     slots = line.select("kind", "row", "col", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("m") - 1)).alias("r"))
-    draws = slots.select("kind", F.col("r").alias("j"), iterations(n).alias("iter")).select(
+    draws = iterated(slots.select("kind", F.col("r").alias("j")), n).select(
         "kind", "iter", draw_index(total, seed, F.col("kind"), F.col("iter"), F.col("j")).alias("r")).distinct()
     drawn = draws.join(slots, ["kind", "r"]).select("iter", "row", "col").distinct()
     near = buffer_cells(drawn, 1, grid=grid, edge="clamp", by=["iter"])
@@ -161,10 +162,10 @@ def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Co
     pattern = ["h1", "h2", "k"]
     counts = cells_op.in_set(shape, backbone, "exposed").groupBy(*pattern, "exposed").agg(F.count(F.lit(1)).alias("windows"))
     members = parts.join(shape, keys).select(*pattern, group, "n_points").distinct()
-    ids = parts.select(group).distinct().withColumn("_p", F.substring(F.md5(group), 1, 2))
+    ids = materialize(parts.select(group).distinct()).withColumn("_p", F.substring(F.md5(group), 1, 2))
     ids = global_rank(ids, [("_p", True), (group, True)], levels=1).select(group, "rank")
     total = ids.agg(F.count(F.lit(1))).scalar()
-    draws = ids.select((F.col("rank") - 1).alias("j"), iterations(n).alias("iter"))
+    draws = iterated(ids.select((F.col("rank") - 1).alias("j")), n)
     weights = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
         F.count(F.lit(1)).alias("m")).join(ids, "rank").select("iter", group, "m")
     density = members.join(weights, group).groupBy("iter", *pattern).agg(F.sum(F.col("m") * F.col("n_points")).alias("n_points"))
@@ -174,7 +175,7 @@ def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Co
 def monitoring_baseline(cells: DataFrame, budgets: DataFrame, n: int = 2000, seed: int = SEED) -> DataFrame:
     """Captured exceedance share of random cell sets, per budget (strategy, budget_cells, observed_share)."""
     total = cells.agg(F.sum("exceedance_count")).scalar()
-    spread = cells.select("row", "col", "exceedance_count", iterations(n).alias("iter"))
+    spread = iterated(cells.select("row", "col", "exceedance_count"), n)
     ranked = _hash_rank(spread, ["iter"], ["row", "col"], seed, F.col("iter")).select("iter", "rank", "exceedance_count")
     limits = F.explode(budgets.select(F.collect_list(F.struct("strategy", "budget_cells", "observed_share"))).scalar())
     inside = ranked.withColumn("_b", limits).where(F.col("rank") <= F.col("_b.budget_cells"))

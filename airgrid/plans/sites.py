@@ -70,7 +70,7 @@ def cell_flags(occ: DataFrame, endpoint_cells: DataFrame) -> DataFrame:
     cells = exceedance(occ, rho).join(traffic(occ).drop("total_samples"), ["row", "col"])
     cells = in_set(cells, backbone_cells(occ), "is_backbone")
     cells = in_set(cells, endpoint_cells, "is_endpoint")
-    return materialize(cells.withColumns({"is_hotspot": F.col("exceedance_count") > 0}))
+    return cells.withColumns({"is_hotspot": F.col("exceedance_count") > 0})
 
 
 def anchor_coverage(flags: DataFrame, endpoint_cells: DataFrame, anchors: DataFrame, by: Sequence[str]) -> DataFrame:
