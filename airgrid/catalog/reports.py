@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from airgrid import sinks
@@ -18,19 +16,15 @@ from airgrid.catalog.registry import query
 from airgrid.operators import cells as cells_op, clean, trips
 from airgrid.plans import core, reports, resampling as rs, robustness as rb
 from airgrid.plans.summary import collection_summary, summarize
-from airgrid.session import ensure_checkpoint_dir, materialize
+from airgrid.session import materialize, table_path
 from airgrid.sources import tables
 
 
-def _folder(i, name: str) -> str:
-    return f"{ensure_checkpoint_dir(i.spark)}/airgrid-{name}-{uuid.uuid4().hex}"
-
-
 @query("csv_round_trip", "vendor:s rows:i with_time:i numeric_altitude:i",
        """SELECT vendor, count(*) AS rows, count(time) AS with_time, count(try_cast(altitude AS DOUBLE)) AS numeric_altitude FROM raw_telemetry GROUP BY vendor""")
 def csv_round_trip(i):
     """Raw text written as CSV and scanned again with the fixed schema."""
-    path = _folder(i, "csv")
+    path = table_path(i.spark, "csv")
     sinks.write_table(i.raw_telemetry.select(*tables.RAW_COLUMNS), path, fmt="csv")
     raw = tables.read_raw_csv(i.spark, path)
     return raw.groupBy("vendor").agg(F.count(F.lit(1)).alias("rows"), F.count("time").alias("with_time"),
@@ -41,7 +35,7 @@ def csv_round_trip(i):
        "SELECT datetime::date AS date, count(*) AS n, avg(speed) AS mean_speed FROM cleaned WHERE datetime::date >= date '2023-10-10' GROUP BY 1")
 def landed_points_scan(i):
     """Cleaned points landed by date, then scanned with partition and column pruning."""
-    path = _folder(i, "points")
+    path = table_path(i.spark, "points")
     sinks.write_table(clean.clean_points(i.raw_telemetry), path, partition_by="date")
     points = tables.read_points(i.spark, path, ["date", "speed"], F.col("date") >= F.lit("2023-10-10").cast("date"))
     return points.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("mean_speed"))

@@ -192,7 +192,7 @@ def phase_altitude(i):
 def window_altitude_quartiles(i):
     """A41."""
     from airgrid.operators.percentiles import exact_percentiles
-    return exact_percentiles(i.windows, "mean_altitude", {"p25": .25, "p50": .5, "p75": .75})
+    return exact_percentiles(i.windows, "mean_altitude", {"p25": .25, "p50": .5, "p75": .75}, width=0.5)
 
 
 q.view("band_subsets", " UNION ALL ".join(f"SELECT '{rb.band_label(lo, hi)}' AS subset, * FROM windows WHERE {f'mean_altitude >= {lo}' if lo is not None else 'true'}"

@@ -76,10 +76,10 @@ def trajectory_stats(i):
 
 
 @query("trajectory_segments", "order_id:s segment:i n:i seconds:s",
-       """SELECT order_id, floor(epoch(datetime)/3600) AS segment, count(*) AS n,
+       """SELECT order_id, floor(epoch(datetime)/600) AS segment, count(*) AS n,
        string_agg(epoch(datetime)::BIGINT::VARCHAR, ',' ORDER BY datetime) AS seconds FROM telemetry GROUP BY 1, 2""")
 def trajectory_segments(i):
-    """A2: nested points per order and hour."""
+    """A2: nested points per order and time slice."""
     nested = trips.trajectory_segments(i.telemetry)
     seconds = F.transform("points", lambda p: F.unix_timestamp(p["datetime"]).cast("string"))
     return nested.select("order_id", "segment", F.size("points").alias("n"), F.array_join(seconds, ",").alias("seconds"))

@@ -54,7 +54,7 @@ def binned_relation(df: DataFrame, x: str, y: str, *, bin_width: float | str, mi
     data = data.withColumn("bin", F.floor((F.col("x") - start) / F.col("_width")).cast("bigint"))
     stats = data.groupBy(*by, "bin").agg(F.count("y").alias("sample_count"), F.avg("x").alias("x_mean"),
                                          F.avg("y").alias("y_mean")).where(F.col("sample_count") >= min_samples)
-    quartiles = exact_percentiles(data, "y", {"y_median": 0.5, "y_q25": 0.25, "y_q75": 0.75}, by=by + ["bin"])
+    quartiles = exact_percentiles(data, "y", {"y_median": 0.5, "y_q25": 0.25, "y_q75": 0.75}, width=0.05, by=by + ["bin"])
     return stats.join(quartiles, by + ["bin"])
 
 

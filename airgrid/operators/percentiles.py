@@ -1,10 +1,10 @@
 """Exact interpolated percentiles whose memory does not grow with the group.
 
 The built-in exact ``percentile`` keeps a map of all distinct values of a
-group in one task. That is fine for bounded integer measures; for continuous
-measures this operator narrows the search by a histogram first: pass one takes
-the range, pass two counts bins, pass three counts distinct values inside only
-the few bins that hold the wanted order statistics.
+group in one task. That is fine for bounded integer measures. For continuous
+measures this operator counts values on a fixed lattice first (partial
+aggregation, tiny shuffle), then looks only at the few lattice bins that hold
+the wanted order statistics, and there at distinct values.
 """
 
 from __future__ import annotations
@@ -15,21 +15,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Mapping[str, float], *, by: Sequence[str] = (),
-                      bins: int = 4096) -> DataFrame:
-    """One row per group with one linearly interpolated percentile per name in ``probs``."""
+def exact_percentiles(df: DataFrame, value: str, probs: Mapping[str, float], *, width: float,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with one linearly interpolated percentile per name in ``probs``.
+
+    ``width`` is the lattice step in units of the value. It steers only how
+    finely the search narrows, never the result.
+    """
     by = list(by)
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if by:
-        span = data.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        data = data.join(span, by)
-        low, high = F.col("_lo"), F.col("_hi")
-    else:
-        span = data.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        low, high = span.select("_lo").scalar(), span.select("_hi").scalar()
-    scaled = F.floor((F.col("_v") - low) / (high - low) * F.lit(bins))
-    data = data.withColumn("_b", F.when(high > low, F.least(F.lit(bins - 1), scaled)).otherwise(F.lit(0)).cast("int"))
-    data = data.select(*by, "_b", "_v")
+    data = data.withColumn("_b", F.floor(F.col("_v") / F.lit(float(width))).cast("bigint"))
 
     hist = data.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

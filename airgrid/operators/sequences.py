@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICE_S = 600  # longer than most trips, short enough to split an order that never ends
 TIME_ORDER = ("datetime", "longitude", "latitude", "speed", "altitude")
 
 
 def with_previous(points: DataFrame, carried: Sequence[str], *, key: str = "order_id",
-                  order: Sequence[str] = TIME_ORDER, slice_s: int = 3600) -> DataFrame:
+                  order: Sequence[str] = TIME_ORDER, slice_s: int = SLICE_S) -> DataFrame:
     """Add ``previous``: a struct of ``carried`` columns from the preceding point of the order."""
     order = [c for c in order if c in points.columns]
     sliced = points.withColumn("_slice", F.floor(F.unix_timestamp("datetime") / F.lit(slice_s)))
@@ -37,7 +38,7 @@ def compress_visits(points: DataFrame, **options) -> DataFrame:
 
 
 def with_visit_index(visits: DataFrame, *, key: str = "order_id", order: Sequence[str] = TIME_ORDER,
-                     slice_s: int = 3600) -> DataFrame:
+                     slice_s: int = SLICE_S) -> DataFrame:
     """1-based position of a visit within its order, offset per slice plus row number inside it."""
     order = [c for c in order if c in visits.columns]
     sliced = visits.withColumn("_slice", F.floor(F.unix_timestamp("datetime") / F.lit(slice_s)))

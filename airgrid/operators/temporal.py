@@ -80,7 +80,7 @@ def altitude_summary(points: DataFrame) -> DataFrame:
     base = points.agg(F.count(F.lit(1)).alias("n"), F.avg(alt).alias("mean"), F.min(alt).alias("min"), F.max(alt).alias("max"),
                       *[F.avg(t.cast("int")).alias(n) for n, t in bands.items()])
     probs = {"median": .5, "p25": .25, "p75": .75, "p90": .9, "p95": .95, "p99": .99}
-    row = exact_percentiles(points, "altitude", probs)
+    row = exact_percentiles(points, "altitude", probs, width=0.5)
     return base.select("*", *[row.select(p).scalar().alias(p) for p in probs])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions.geo import anchored_cell, haversine_m, round_half_even, with_cell
 from airgrid.operators.percentiles import exact_percentiles
-from airgrid.operators.sequences import TIME_ORDER, with_previous
+from airgrid.operators.sequences import SLICE_S, TIME_ORDER, with_previous
 from airgrid.spec import DISTANCE_EDGES_KM, GROUND_SPEEDS_KMH, GridSpec
 
 
@@ -28,7 +28,7 @@ def trajectory_stats(points: DataFrame, minimum: int = 3) -> DataFrame:
     return out.where(F.col("num_points") >= minimum).withColumn("duration_seconds", seconds)
 
 
-def trajectory_segments(points: DataFrame, slice_s: int = 3600) -> DataFrame:
+def trajectory_segments(points: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Nested, time-ordered points per (order, time slice), so that no array grows with the order."""
     keys = ["order_id", F.floor(F.unix_timestamp("datetime") / F.lit(slice_s)).alias("segment")]
     nested = F.sort_array(F.collect_list(F.struct(*TIME_ORDER, "yaw")))
@@ -89,9 +89,9 @@ def endpoint_altitudes(ends: DataFrame) -> DataFrame:
     by = ["row", "col"]
     base = ends.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "start").alias("starts"),
                                  F.count_if(F.col("kind") == "end").alias("ends"), F.avg("altitude").alias("mean_altitude"))
-    alt = exact_percentiles(ends, "altitude", {"median_altitude": .5, "p25": .25, "p75": .75}, by=by)
-    lon = exact_percentiles(ends, "lon", {"median_lon": .5}, by=by)
-    lat = exact_percentiles(ends, "lat", {"median_lat": .5}, by=by)
+    alt = exact_percentiles(ends, "altitude", {"median_altitude": .5, "p25": .25, "p75": .75}, width=0.5, by=by)
+    lon = exact_percentiles(ends, "lon", {"median_lon": .5}, width=1e-5, by=by)
+    lat = exact_percentiles(ends, "lat", {"median_lat": .5}, width=1e-5, by=by)
     return base.join(alt, by).join(lon, by).join(lat, by)
 
 
@@ -147,7 +147,7 @@ def length_summary(trips: DataFrame) -> DataFrame:
     long = long.select("scope", "m.metric", "m.value")
     by = ["scope", "metric"]
     moments = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"))
-    return moments.join(exact_percentiles(long, "value", SUMMARY_PROBS, by=by), by)
+    return moments.join(exact_percentiles(long, "value", SUMMARY_PROBS, width=0.02, by=by), by)
 
 
 def length_bins(trips: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def duration_bins(trips: DataFrame) -> DataFrame:
     quart = lambda s: {f"median_{s}": .5, f"q25_{s}": .25, f"q75_{s}": .75}
     for column, probs in (("path_length_km", quart("dist_km")), ("duration_minutes", quart("duration_min")),
                           ("speed_kmh", {"median_effective_speed_kmh": .5})):
-        out = out.join(exact_percentiles(data, column, probs, by=by), by)
+        out = out.join(exact_percentiles(data, column, probs, width=0.02, by=by), by)
     flags = {f"faster_than_{k}kph_ref": F.col("median_effective_speed_kmh") > k for k in (20, 25, 30)}
     return out.withColumns(flags)
 
@@ -207,4 +207,4 @@ def break_even_quartiles(trips: DataFrame, detour: float) -> DataFrame:
     data, by = break_even(trips, detour), ["dist_bin"]
     probs = {"median_break_even_speed_kmh": .5, "q25_break_even_speed_kmh": .25, "q75_break_even_speed_kmh": .75}
     return data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(
-        exact_percentiles(data, "break_even_kmh", probs, by=by), by)
+        exact_percentiles(data, "break_even_kmh", probs, width=0.05, by=by), by)

@@ -69,4 +69,4 @@ def speed_by_phase(points: DataFrame, trip_table: DataFrame, endpoint_buffer: Da
 def speed_by_phase_summary(points: DataFrame, trip_table: DataFrame, endpoint_buffer: DataFrame) -> DataFrame:
     data, by = speed_by_phase(points, trip_table, endpoint_buffer), ["phase", "dist_bin"]
     means = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("point_speed").alias("mean_speed"))
-    return means.join(exact_percentiles(data, "point_speed", {"median_speed": .5}, by=by), by)
+    return means.join(exact_percentiles(data, "point_speed", {"median_speed": .5}, width=0.05, by=by), by)

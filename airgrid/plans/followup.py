@@ -53,7 +53,7 @@ def flight_summary(points: DataFrame) -> DataFrame:
     out = out.select(*[c for c in out.columns if c not in ("s", "e")], F.col("s.longitude").alias("start_lon"), F.col("s.latitude").alias("start_lat"),
                      F.col("e.longitude").alias("end_lon"), F.col("e.latitude").alias("end_lat"), F.col("s.altitude_agl").alias("start_alt_agl"),
                      F.col("e.altitude_agl").alias("end_alt_agl"))
-    return out.join(exact_percentiles(points, "ground_speed", {"median_ground_speed": .5}, by=["flight_id"]), "flight_id", "left")
+    return out.join(exact_percentiles(points, "ground_speed", {"median_ground_speed": .5}, width=0.05, by=["flight_id"]), "flight_id", "left")
 
 
 def date_route_summary(flights: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def archive_summary(metrics: DataFrame) -> DataFrame:
     """Path, interface and slowing persistence over all flights."""
     s = lambda c: F.sum(c)
     share = lambda a, b: F.try_divide(s(a), s(b))
-    row = exact_percentiles(metrics, "edge_share_on_skeleton", {"median_edge_share": .5, "p25_edge_share": .25})
+    row = exact_percentiles(metrics, "edge_share_on_skeleton", {"median_edge_share": .5, "p25_edge_share": .25}, width=0.001)
     out = metrics.agg(
         F.count(F.lit(1)).alias("flights"), s("n_points").alias("points"), share("edge_hits", "n_edges").alias("weighted_edge_share"),
         F.avg(F.coalesce(F.col("edge_share_on_skeleton") >= 0.8, F.lit(False)).cast("int")).alias("share_flights_ge_80pct"),
@@ -137,7 +137,7 @@ def route_group_summary(metrics: DataFrame, flights: DataFrame, by: Column) -> D
     joined = metrics.join(flights.select("flight_id", "flight_date_local", "source_folder", "route_code"), "flight_id").withColumn("route_group", by)
     base = joined.groupBy("route_group").agg(F.count(F.lit(1)).alias("flights"), F.sum("edge_hits").alias("hits"), F.sum("n_edges").alias("edges"),
                                              F.try_divide(F.sum("edge_hits"), F.sum("n_edges")).alias("weighted_edge_share"))
-    return base.join(exact_percentiles(joined, "edge_share_on_skeleton", {"median_edge_share": .5}, by=["route_group"]), "route_group", "left")
+    return base.join(exact_percentiles(joined, "edge_share_on_skeleton", {"median_edge_share": .5}, width=0.001, by=["route_group"]), "route_group", "left")
 
 
 def route_group() -> Column:

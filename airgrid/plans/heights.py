@@ -73,8 +73,8 @@ def class_shares(classified: DataFrame) -> DataFrame:
 
 def class_quartiles(classified: DataFrame) -> DataFrame:
     probs = {"p25_rel_ground_m": .25, "median_rel_ground_m": .5, "p75_rel_ground_m": .75}
-    row = exact_percentiles(classified, "rel_ground_m", probs)
-    station = exact_percentiles(classified, "nearest_station_m", {"median_nearest_station_m": .5})
+    row = exact_percentiles(classified, "rel_ground_m", probs, width=0.5)
+    station = exact_percentiles(classified, "nearest_station_m", {"median_nearest_station_m": .5}, width=1.0)
     return row.withColumn("median_nearest_station_m", station.scalar())
 
 

@@ -212,7 +212,7 @@ def altitude_bands(windows: DataFrame, bands: Sequence[tuple] = ALTITUDE_BANDS)
     occ = staged_occupancy(tagged, ["subset"])
     own = top_fraction(cells_op.traffic(occ, ["subset"]), "total_points", BACKBONE_SHARE, by=["subset"])
     overlap = cells_op.in_set(own, full, "shared").groupBy("subset").agg(F.avg(F.col("shared").cast("int")).alias("backbone_overlap_share"))
-    quart = exact_percentiles(tagged, "mean_altitude", {"altitude_p25": .25, "altitude_p50": .5, "altitude_p75": .75}, by=["subset"])
+    quart = exact_percentiles(tagged, "mean_altitude", {"altitude_p25": .25, "altitude_p50": .5, "altitude_p75": .75}, width=0.5, by=["subset"])
     total = windows.agg(F.count(F.lit(1))).scalar()
     out = summarize(occ, ["subset"]).join(overlap, "subset").join(quart, "subset")
     return out.withColumn("sample_share_percent", F.col("samples") / total * 100)

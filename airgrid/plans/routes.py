@@ -128,7 +128,7 @@ def directed_edges(linked: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("order_support"), F.avg("path_length_km").alias("mean_air_distance_km"),
         F.avg("duration_minutes").alias("mean_air_duration_min"), F.avg((F.col("vendor") == "SF").cast("int")).alias("sf_order_share"))
     for column, name in (("path_length_km", "median_air_distance_km"), ("duration_minutes", "median_air_duration_min"), ("od_distance_km", "median_od_distance_km")):
-        out = out.join(exact_percentiles(away, column, {name: .5}, by=by), by)
+        out = out.join(exact_percentiles(away, column, {name: .5}, width=0.02, by=by), by)
     place = lambda p: nodes.select(F.col("cluster").alias(p), F.col("centroid_lat").alias(f"{p}_lat"), F.col("centroid_lon").alias(f"{p}_lon"))
     return out.join(place("source"), "source").join(place("target"), "target").withColumn("route_key", route_key("source", "target"))
 
@@ -252,7 +252,7 @@ def skeleton_sensitivity(visits: DataFrame, moves: DataFrame, backbone: DataFram
     long = materialize(long)
     means = long.groupBy(*by).agg(F.avg("edge_cov").alias("mean_edge_coverage"), F.avg((F.col("edge_cov") >= 0.8).cast("int")).alias("share_orders_ge_80pct"),
                                   F.avg("node_cov").alias("mean_node_coverage"))
-    quart = exact_percentiles(long, "edge_cov", {"median_edge_coverage": .5, "p25_edge_coverage": .25}, by=by)
+    quart = exact_percentiles(long, "edge_cov", {"median_edge_coverage": .5, "p25_edge_coverage": .25}, width=0.001, by=by)
     return means.join(quart, by).join(out, by, "left").na.fill(0, ["edges", "nodes", "components"])
 
 
@@ -269,7 +269,7 @@ def moving_directionality(points: DataFrame, components: DataFrame, shapes: Data
     moving = moving.withColumn("deviation", F.abs(F.pmod(F.col("yaw") - F.col("major_axis_angle_deg") + 90.0, F.lit(180.0)) - 90.0))
     base = moving.groupBy("label").agg(F.count(F.lit(1)).alias("moving_points"), graph.axial_resultant(F.col("yaw")).alias("axial_resultant"),
                                        F.max("major_axis_angle_deg").alias("major_axis_angle_deg"))
-    return base.join(exact_percentiles(moving, "deviation", {"median_deviation_deg": .5}, by=["label"]), "label")
+    return base.join(exact_percentiles(moving, "deviation", {"median_deviation_deg": .5}, width=0.1, by=["label"]), "label")
 
 
 def directionality_summary(table: DataFrame) -> DataFrame:

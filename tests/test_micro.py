@@ -136,7 +136,7 @@ def test_exact_percentiles_against_numpy(spark):
     groups = {"skewed": np.exp(rng.normal(0, 3, 3000)), "tied": np.repeat([1.0, 2.0, 5.0], [700, 1, 3]), "one": np.array([4.25]), "two": np.array([1.0, 2.0])}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.975, "e": 1.0}
-    for r in exact_percentiles(df, "v", probs, by=["g"], bins=16).collect():
+    for r in exact_percentiles(df, "v", probs, by=["g"], width=0.7).collect():
         for name, p in probs.items():
             assert r[name] == pytest.approx(float(np.percentile(groups[r.g], p * 100))), (r.g, p)
 
