@@ -28,6 +28,7 @@ from airgrid.session import materialize
 from airgrid.spec import BACKBONE_SHARE, GridSpec
 
 SEED = 42
+BLOCK = 50  # iterations carried per row in the cluster bootstrap
 
 
 def bootstrap_summary(draws: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -166,10 +167,17 @@ def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Co
     ids = global_rank(ids, [("_p", True), (group, True)], levels=1).select(group, "rank")
     total = ids.agg(F.count(F.lit(1))).scalar()
     draws = iterated(ids.select((F.col("rank") - 1).alias("j")), n)
-    weights = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
-        F.count(F.lit(1)).alias("m")).join(ids, "rank").select("iter", group, "m")
-    density = members.join(weights, group).groupBy("iter", *pattern).agg(F.sum(F.col("m") * F.col("n_points")).alias("n_points"))
-    return coupling(density.join(counts, pattern), "exposed", rho, ["iter"])
+    drawn = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
+        F.count(F.lit(1)).alias("m"))
+    # Iterations travel side by side in blocks of columns: one row per (group, block), not one per iteration.
+    slots = range(min(n, BLOCK))
+    block, slot = F.floor(F.col("iter") / BLOCK).cast("int"), F.col("iter") % BLOCK
+    weights = drawn.groupBy("rank", block.alias("block")).agg(*[F.sum(F.when(slot == p, F.col("m")).otherwise(0)).alias(f"w{p}") for p in slots])
+    weights = materialize(weights.join(ids, "rank").drop("rank"))
+    density = members.join(weights, group).groupBy(*pattern, "block").agg(*[F.sum(F.col("n_points") * F.col(f"w{p}")).alias(f"s{p}") for p in slots])
+    per_iter = density.join(counts, pattern).select("exposed", "windows", "block", F.posexplode(F.array(*[f"s{p}" for p in slots])).alias("p", "n_points"))
+    per_iter = per_iter.where(F.col("n_points") > 0).withColumn("iter", F.col("block") * BLOCK + F.col("p"))
+    return coupling(per_iter, "exposed", rho, ["iter"])
 
 
 def monitoring_baseline(cells: DataFrame, budgets: DataFrame, n: int = 2000, seed: int = SEED) -> DataFrame:
