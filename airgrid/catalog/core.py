@@ -270,7 +270,7 @@ def concentration(i):
        {q.FINE_GRID.total_cells} AS grid_cells, count(*) AS cell_windows, avg(n_points) AS mean_density, max(n_points) AS max_density,
        avg(mean_speed) AS mean_speed, count(DISTINCT window_start) AS time_windows FROM fine_windows""")
 def grid_summary(i):
-    """S11."""
+    """S11, P9 (grid dimensions)."""
     return core.grid_summary(cells_op.cell_stats(i.fine_points), i.fine_windows, q.FINE_GRID)
 
 

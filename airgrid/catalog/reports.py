@@ -41,6 +41,22 @@ def landed_points_scan(i):
     return points.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("mean_speed"))
 
 
+@query("site_csv_round_trip", "site_name:s platform:s note:s lon:s lat:s", "SELECT site_name, platform, note, lon, lat FROM sites")
+def site_csv_round_trip(i):
+    """Site table through a GB18030 file."""
+    path = table_path(i.spark, "sites")
+    sinks.write_table(i.sites.select(*[F.col(c) for c in ("site_name", "platform", "city", "note", "open_time", "lon", "lat")]), path, fmt="csv", encoding="GB18030")
+    return tables.read_sites(i.spark, path, encoding="GB18030")
+
+
+@query("metric_round_trip", "rho_star:f speed_free:f n_bins:i", "SELECT rho_star, speed_free, n_bins FROM main_break")
+def metric_round_trip(i):
+    """Metric rows through JSON."""
+    path = table_path(i.spark, "metrics")
+    sinks.write_metrics(core.critical_density(i.occ), path)
+    return i.spark.read.schema("rho_star double, speed_free double, n_bins bigint").json(path)
+
+
 # ------------------------------------------------------------------- tables
 _FIELDS = "rho_star, samples, a, b, c, d, rr, rr_lo, rr_hi, odds_ratio, or_lo, or_hi"
 _FOR = {"endpoint_cells_only_exclusion": "exact", "endpoint_cells_buffer1_exclusion": "buffer"}

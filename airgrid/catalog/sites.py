@@ -63,7 +63,7 @@ def close_site_pairs(i):
 
 
 @query("site_distance_summary", "operational_sites:i pairs_within_threshold:i nearest_distance_m:f3",
-       "SELECT (SELECT count(*) FROM oper_sites) AS operational_sites, count(*) AS pairs_within_threshold, min(distance_m) AS nearest_distance_m FROM site_pairs WHERE distance_m < 300")
+       "SELECT (SELECT count(*) FROM oper_sites) AS operational_sites, count(*) FILTER (distance_m < 300) AS pairs_within_threshold, min(distance_m) AS nearest_distance_m FROM site_pairs")
 def site_distance_summary(i):
     """J11 (counts and closest pair)."""
     return sites.site_distance_summary(inventory_of(i), 300.0)

@@ -125,20 +125,24 @@ def gini(df: DataFrame, measure: str, *, by: Sequence[str] = ()) -> DataFrame:
     return agg.select(*by, F.when(F.col("_s") > 0, value).otherwise(F.lit(0.0)).alias("gini"))
 
 
-def weighted_median(df: DataFrame, values: Sequence[str], weight: str, *, by: Sequence[str] = ()) -> DataFrame:
+def weighted_median(df: DataFrame, values: Sequence[str], weight: str, *, by: Sequence[str] = (), width: float = 0.01) -> DataFrame:
     """First value whose cumulative weight reaches half the total, for several columns at once.
 
-    Weights are summed per distinct value first, so a heavy group shrinks to
-    its distinct values before the window.
+    Weights are summed on a lattice of step ``width`` to find the bin of the
+    median; only that bin is ordered by value. ``width`` never changes the result.
     """
     by = list(by)
     long = df.select(*by, F.col(weight).alias("_w"), F.explode(F.array(*[
         F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("_m"))
     long = long.select(*by, "_w", "_m.metric", "_m.value").where(F.col("value").isNotNull() & (F.col("_w") > 0))
     keys = by + ["metric"]
-    agg = long.groupBy(*keys, "value").agg(F.sum("_w").alias("_w"))
-    running = F.sum("_w").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_w").over(Window.partitionBy(*keys))
-    hit = agg.withColumns({"_c": running, "_t": total}).where(F.col("_c") >= F.col("_t") * 0.5)
-    picked = [F.min(F.when(F.col("metric") == v, F.col("value"))).alias(v) for v in values]
-    return hit.groupBy(*by).agg(*picked)
+    agg = long.groupBy(*keys, F.floor(F.col("value") / F.lit(width)).cast("bigint").alias("_b"), "value").agg(F.sum("_w").alias("_w"))
+    prev = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bins = agg.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s")).withColumns({
+        "_before": F.coalesce(F.sum("_s").over(prev(Window.partitionBy(*keys).orderBy("_b"))), F.lit(0)),
+        "_half": F.sum("_s").over(Window.partitionBy(*keys)) * 0.5})
+    target = bins.where((F.col("_before") < F.col("_half")) & (F.col("_before") + F.col("_s") >= F.col("_half"))).drop("_s")
+    inside = agg.join(target, keys + ["_b"])
+    running = F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    hit = inside.withColumn("_c", running).where(F.col("_c") >= F.col("_half"))
+    return hit.groupBy(*by).agg(*[F.min(F.when(F.col("metric") == v, F.col("value"))).alias(v) for v in values])

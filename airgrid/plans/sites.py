@@ -54,14 +54,24 @@ def close_site_pairs(inventory: DataFrame, threshold_m: float) -> DataFrame:
     return pairs_within(operational_sites(inventory), "site_name", threshold_m, strict=True)
 
 
+def closest_pair(sites: DataFrame, start_m: float) -> DataFrame:
+    """The closest pair of distinct sites; the search radius doubles until a pair appears."""
+    sites, radius = materialize(sites), start_m
+    while True:
+        pairs = pairs_within(sites, "site_name", radius)
+        best = materialize(pairs.agg(F.min(F.struct("distance_m", "site_name_a", "site_name_b")).alias("b")).select("b.*"))
+        if radius > 4.1e7 or not best.where(F.col("distance_m").isNotNull()).isEmpty():
+            return best
+        radius *= 2
+
+
 def site_distance_summary(inventory: DataFrame, threshold_m: float) -> DataFrame:
-    """Site count, pairs under the threshold and the closest pair among them."""
+    """Site count, pairs under the threshold and the closest pair of all."""
     sites = materialize(operational_sites(inventory))
-    pairs = pairs_within(sites, "site_name", threshold_m, strict=True)
-    best = F.min(F.struct("distance_m", "site_name_a", "site_name_b"))
-    out = pairs.agg(F.count(F.lit(1)).alias("pairs_within_threshold"), best.alias("b"))
-    return out.select(sites.agg(F.count(F.lit(1))).scalar().alias("operational_sites"), "pairs_within_threshold",
-                      F.col("b.distance_m").alias("nearest_distance_m"), F.col("b.site_name_a").alias("site_a"), F.col("b.site_name_b").alias("site_b"))
+    best = closest_pair(sites, threshold_m)
+    pairs = pairs_within(sites, "site_name", threshold_m, strict=True).agg(F.count(F.lit(1)).alias("pairs_within_threshold"))
+    return pairs.select(sites.agg(F.count(F.lit(1))).scalar().alias("operational_sites"), "pairs_within_threshold",
+                        *[best.select(c).scalar().alias(n) for c, n in (("distance_m", "nearest_distance_m"), ("site_name_a", "site_a"), ("site_name_b", "site_b"))])
 
 
 def cell_flags(occ: DataFrame, endpoint_cells: DataFrame) -> DataFrame:

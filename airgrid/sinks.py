@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from airgrid.sources.tables import allow_charset
 
-def write_table(df: DataFrame, path: str, *, partition_by: str | None = None, fmt: str = "parquet") -> None:
+
+def write_table(df: DataFrame, path: str, *, partition_by: str | None = None, fmt: str = "parquet",
+                encoding: str = "UTF-8") -> None:
     """Overwrite a table.
 
     With a partition column the rows are rebalanced on it first: small
@@ -15,7 +18,8 @@ def write_table(df: DataFrame, path: str, *, partition_by: str | None = None, fm
     writer = df.hint("rebalance", partition_by).write if partition_by else df.write
     writer = writer.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        allow_charset(df.sparkSession, encoding)
+        writer = writer.option("header", True).option("encoding", encoding)
     (writer.partitionBy(partition_by) if partition_by else writer).save(path)
 
 

@@ -20,9 +20,14 @@ def _text_schema(columns: Sequence[str]) -> str:
     return ", ".join(f"{c} string" for c in columns)
 
 
-def _csv(spark: SparkSession, path: str, schema: str, encoding: str) -> DataFrame:
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Other charsets than these are refused by the CSV source unless the session allows them."""
     if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the reader refuses other charsets without it
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def _csv(spark: SparkSession, path: str, schema: str, encoding: str) -> DataFrame:
+    allow_charset(spark, encoding)
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
 
 

@@ -126,7 +126,8 @@ def test_global_rank_equals_plain_window(spark):
 
 def test_gini_and_weighted_median(spark):
     df = spark.createDataFrame([(float(v), w) for v, w in [(1, 1), (2, 1), (3, 2)]], "v double, w int")
-    assert weighted_median(df, ["v"], "w").first().v == 2.0  # half the weight falls on a boundary
+    for width in (0.01, 0.7, 100.0):
+        assert weighted_median(df, ["v"], "w", width=width).first().v == 2.0  # half the weight falls on a boundary
     assert gini(spark.createDataFrame([(1,), (1,), (1,)], "v int"), "v").first().gini == pytest.approx(0)
     assert gini(spark.createDataFrame([(0,), (0,), (0,), (8,)], "v int"), "v").first().gini == pytest.approx(0.75)
 
