@@ -34,12 +34,6 @@ def subset_summary_fixed(i):
     return summarize(i.occ, backbone=core.backbone_cells(i.occ), rho=core.rho_star(i.occ))
 
 
-@query("fisher_exact", "subset:s a:i b:i c:i d:i fisher_p:f")
-def fisher_exact(i):
-    """Fisher p on the fold tables of the altitude bands."""
-    return rb.altitude_bands(i.windows).withColumn("fisher_p", fisher_p("a", "b", "c", "d"))
-
-
 q.view("halves", """SELECT d, CASE WHEN dense_rank() OVER (ORDER BY d) <= floor((SELECT count(DISTINCT window_start::date) FROM windows)/2) THEN 'first' ELSE 'second' END AS half
   FROM (SELECT DISTINCT window_start::date AS d FROM windows)""")
 q.view("half_windows", "SELECT w.*, half FROM windows w JOIN halves ON window_start::date = d")
@@ -200,6 +194,9 @@ q.view("band_subsets", " UNION ALL ".join(f"SELECT '{rb.band_label(lo, hi)}' AS
 q.view("band_backbone", q.top_fraction_sql("SELECT subset, row, col, sum(n_points) AS tp FROM band_subsets GROUP BY ALL", "tp", "0.10::DOUBLE", "subset"))
 
 
+q.view("band_summary", q.summary_sql("SELECT * FROM band_subsets", "subset"))
+
+
 @query("altitude_bands", "subset:s sample_share_percent:f backbone_overlap_share:f altitude_p25:f altitude_p50:f altitude_p75:f " + S,
        f"""SELECT z.*, z.samples*100.0::DOUBLE/(SELECT count(*) FROM windows) AS sample_share_percent, o.ov AS backbone_overlap_share, altitude_p25, altitude_p50, altitude_p75
        FROM ({q.summary_sql('SELECT * FROM band_subsets', 'subset')}) z
@@ -210,6 +207,21 @@ def altitude_bands(i):
     return rb.altitude_bands(i.windows)
 
 
+def _log_choose(n: str, k: str) -> str:
+    return f"(lgamma(({n}+1)::DOUBLE) - lgamma(({k}+1)::DOUBLE) - lgamma((({n})-({k})+1)::DOUBLE))"
+
+
+_LOG_P = f"{_log_choose('a+c', '{x}')} + {_log_choose('b+d', 'a+b-({x})')} - {_log_choose('a+b+c+d', 'a+b')}"
+
+
+@query("fisher_exact", "subset:s a:i b:i c:i d:i fisher_p:f",
+       f"""SELECT subset, a, b, c, d, least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7)) AS fisher_p FROM (SELECT *, {_LOG_P.format(x='x')} AS lp, {_LOG_P.format(x='a')} AS lobs FROM (
+       SELECT subset, a, b, c, d, unnest(range(greatest(0, a-d), least(a+c, a+b)+1)) AS x FROM (SELECT subset, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM band_summary))) GROUP BY subset, a, b, c, d""")
+def fisher_exact(i):
+    """Fisher p on the fold tables of the altitude bands."""
+    return rb.altitude_bands(i.windows).withColumn("fisher_p", fisher_p("a", "b", "c", "d"))
+
+
 _SIZES = (250.0, 400.0, 500.0, 750.0, 1000.0, 1500.0)
 q.view("sized_windows", " UNION ALL ".join(
     f"SELECT {int(s)} AS grid_size_m, {q.row_of('latitude', GridSpec(s))} AS row, {q.col_of('longitude', GridSpec(s))} AS col, window_start, count(*) AS n_points, avg(speed) AS mean_speed, "

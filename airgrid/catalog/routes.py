@@ -264,9 +264,18 @@ def network_of(i):
     return routes.network_nodes(edges, clusters.select(F.col("label").alias("node")))
 
 
-@query("route_network_betweenness", "node:i degree:i component:i component_size:i betweenness_unweighted:f betweenness_unweighted_norm:f betweenness_invflow:f betweenness_invflow_norm:f")
+q.components_view("route_comp", "SELECT DISTINCT 0 AS g, label AS node FROM clusters", "SELECT 0 AS g, src AS s, dst AS d FROM route_edges UNION ALL SELECT 0, dst, src FROM route_edges")
+_NODES = "SELECT DISTINCT 0 AS g, label AS node FROM clusters"
+q.betweenness_view("bc_hops", "SELECT 0 AS g, src, dst, 1.0::DOUBLE AS cost FROM route_edges", _NODES)
+q.betweenness_view("bc_flow", "SELECT 0 AS g, src, dst, 1.0::DOUBLE/weight AS cost FROM route_edges", _NODES)
+_NORM = "CASE WHEN {n} <= 2 THEN 0.0 ELSE 2.0::DOUBLE*{b}/(({n}-1)*({n}-2)) END"
+
+
+@query("route_network_betweenness", "node:i degree:i component:i component_size:i betweenness_unweighted:f betweenness_unweighted_norm:f betweenness_invflow:f betweenness_invflow_norm:f",
+       f"""SELECT node, degree, label AS component, count(*) OVER (PARTITION BY label) AS component_size, h.bc AS betweenness_unweighted, {_NORM.format(n='(SELECT count(*) FROM route_nodes)', b='h.bc')} AS betweenness_unweighted_norm,
+       f.bc AS betweenness_invflow, {_NORM.format(n='(SELECT count(*) FROM route_nodes)', b='f.bc')} AS betweenness_invflow_norm FROM route_nodes JOIN route_comp USING (node) JOIN bc_hops h USING (node) JOIN bc_flow f USING (node)""")
 def route_network_betweenness(i):
-    """G8, G9, G10 (checked against brute force in the tests)."""
+    """G8, G9, G10 (also checked against path enumeration in the tests)."""
     return network_of(i)
 
 
@@ -290,7 +299,6 @@ def network_sql(nodes: str, comp: str, by: str = "") -> str:
       JOIN (SELECT {g}gini AS degree_gini FROM ({gini_sql(nodes, 'degree', by)})) c {using} JOIN (SELECT {g}gini AS strength_gini FROM ({gini_sql(nodes, 'strength', by)})) d {using}"""
 
 
-q.components_view("route_comp", "SELECT DISTINCT 0 AS g, label AS node FROM clusters", "SELECT 0 AS g, src AS s, dst AS d FROM route_edges UNION ALL SELECT 0, dst, src FROM route_edges")
 
 
 @query("route_network_summary", NETWORK, network_sql("route_nodes", "route_comp"))
@@ -329,7 +337,12 @@ def vendor_network_summary(i):
     return routes.network_summary(vendor_network_of(i)[1], ["vendor"])
 
 
-@query("vendor_network_betweenness", "vendor:s node:i degree:i betweenness_invflow:f betweenness_invflow_norm:f")
+q.betweenness_view("bc_vendor", "SELECT vendor AS g, src, dst, 1.0::DOUBLE/weight AS cost FROM vendor_edges", "SELECT vendor AS g, node FROM vendor_node_set")
+
+
+@query("vendor_network_betweenness", "vendor:s node:i degree:i betweenness_invflow:f betweenness_invflow_norm:f",
+       f"""SELECT v.vendor, v.node, degree, bc AS betweenness_invflow, {_NORM.format(n='n', b='bc')} AS betweenness_invflow_norm FROM vendor_nodes v JOIN bc_vendor b ON b.g = v.vendor AND b.node = v.node
+       JOIN (SELECT vendor, count(*) AS n FROM vendor_node_set GROUP BY 1) c ON c.vendor = v.vendor""")
 def vendor_network_betweenness(i):
     """G11 centrality, both vendor graphs in the same rounds."""
     return vendor_network_of(i)[1]

@@ -83,6 +83,30 @@ def components_view(name: str, nodes: str, edges: str) -> str:
     return view(name, f"SELECT g, node, min(label) AS label FROM {name}_reach GROUP BY g, node")
 
 
+def betweenness_view(name: str, edges: str, nodes: str, rounds: int = 16) -> str:
+    """View ``name`` (g, node, bc): pair dependencies from distances and path counts, rounds written out.
+
+    ``edges`` are undirected (g, src, dst, cost); shortest paths may have up to ``rounds`` steps.
+    """
+    view(f"{name}_sym", f"SELECT g, src AS s, dst AS d, cost FROM ({edges}) UNION ALL SELECT g, dst, src, cost FROM ({edges})")
+    view(f"{name}_d0", f"SELECT g, node AS s, node AS v, 0.0::DOUBLE AS dist FROM ({nodes})")
+    view(f"{name}_w0", f"SELECT g, node AS s, node AS v, 1.0::DOUBLE AS x FROM ({nodes})")
+    for k in range(1, rounds + 1):
+        before = f"{name}_d{k - 1}"
+        view(f"{name}_d{k}", f"SELECT g, s, v, min(dist) AS dist FROM (SELECT * FROM {before} UNION ALL SELECT z.g, z.s, e.d, z.dist + e.cost FROM {before} z"
+             f" JOIN {name}_sym e ON e.g = z.g AND e.s = z.v) GROUP BY g, s, v")
+    last = f"{name}_d{rounds}"
+    view(f"{name}_dag", f"SELECT z.g, z.s, z.v AS u, e.d AS v FROM {last} z JOIN {name}_sym e ON e.g = z.g AND e.s = z.v JOIN {last} b ON b.g = z.g AND b.s = z.s AND b.v = e.d"
+         " WHERE abs(z.dist + e.cost - b.dist) <= 1e-12 AND e.d <> z.s")
+    for k in range(1, rounds + 1):
+        view(f"{name}_w{k}", f"SELECT w.g, w.s, k.v, sum(w.x) AS x FROM {name}_w{k - 1} w JOIN {name}_dag k ON k.g = w.g AND k.s = w.s AND k.u = w.v GROUP BY w.g, w.s, k.v")
+    waves = " UNION ALL ".join(f"SELECT * FROM {name}_w{k}" for k in range(rounds + 1))
+    view(f"{name}_sp", f"SELECT * FROM (SELECT g, s, v, sum(x) AS x FROM ({waves}) GROUP BY g, s, v) JOIN {last} USING (g, s, v)")
+    return view(name, f"""SELECT n.g, n.node, coalesce(t.bc, 0) AS bc FROM ({nodes}) n LEFT JOIN (
+      SELECT a.g, a.v AS node, sum(a.x*b.x/c.x)/2 AS bc FROM {name}_sp a JOIN {name}_sp b ON b.g = a.g AND b.s = a.v JOIN {name}_sp c ON c.g = a.g AND c.s = a.s AND c.v = b.v
+      WHERE a.s <> a.v AND b.s <> b.v AND a.s <> b.v AND abs(a.dist + b.dist - c.dist) <= 1e-9 GROUP BY 1, 2) t ON t.g = n.g AND t.node = n.node""")
+
+
 def curve_sql(windows: str, by: str = "", width: int = 1, min_samples: int = 10, density: str = "n_points",
               center: str = "mid") -> str:
     g = f"{by}, " if by else ""
