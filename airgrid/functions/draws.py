@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,11 @@ def draw_index(n: Column, *parts) -> Column:
     return F.pmod(F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint"), n)
 
 
+def draw_grid(spark: SparkSession, n: int, size: int) -> DataFrame:
+    """(iter, j) for every draw of every iteration, generated evenly over the cluster without a shuffle."""
+    return spark.range(n * size).select(F.expr(f"id div {size}").alias("iter"), F.expr(f"id % {size}").alias("j"))
+
+
 def iterated(df: DataFrame, n: int) -> DataFrame:
     """Every row once per iteration (column ``iter``).
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.functions.draws import digest, draw_index, iterated
+from airgrid.functions.draws import digest, draw_grid, draw_index, iterated
 from airgrid.functions.risk import contingency, finite
 from airgrid.functions.time import date_hour
 from airgrid.operators import cells as cells_op
@@ -28,6 +28,7 @@ from airgrid.session import materialize
 from airgrid.spec import BACKBONE_SHARE, GridSpec
 
 SEED = 42
+LINE_PIECES = 4096
 BLOCK = 50  # iterations carried per row in the cluster bootstrap
 
 
@@ -61,9 +62,9 @@ def date_hour_bootstrap(windows: DataFrame, n: int = 1000, seed: int = SEED) ->
     # one block per hour of the archive
     blocks = materialize(blocks)
     blocks = global_rank(blocks.withColumn("day", F.substring("block", 1, 10)), [("day", True), ("block", True)], levels=1)
-    total = blocks.agg(F.count(F.lit(1))).scalar()
-    draws = iterated(blocks.select((F.col("rank") - 1).alias("j")), n)
-    picked = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
+    total = blocks.count()
+    draws = draw_grid(windows.sparkSession, n, total)
+    picked = draws.select("iter", (draw_index(F.lit(total), seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
         F.count(F.lit(1)).alias("m"))
     sums = picked.join(blocks, "rank").groupBy("iter").agg(*[F.sum(F.col(c) * F.col("m")).alias(c) for c in "abcd"])
     return with_risk(sums).withColumn("log_or", F.log("odds_ratio"))
@@ -71,10 +72,10 @@ def date_hour_bootstrap(windows: DataFrame, n: int = 1000, seed: int = SEED) ->
 
 def rho_bootstrap(windows: DataFrame, n: int = 1000, seed: int = 2, *, resort: bool = False) -> DataFrame:
     """Breakpoint of resampled 100-bin curves; ``resort=False`` keeps the resample in draw order."""
-    curve = equal_width_curve(windows)
-    total = curve.agg(F.count(F.lit(1))).scalar()
-    draws = iterated(curve.select(F.col("position").alias("j")), n)
-    draws = draws.withColumn("position", draw_index(total, seed, F.col("iter"), F.col("j")).cast("int"))
+    curve = materialize(equal_width_curve(windows))
+    total = curve.count()
+    draws = draw_grid(windows.sparkSession, n, total)
+    draws = draws.withColumn("position", draw_index(F.lit(total), seed, F.col("iter"), F.col("j")).cast("int"))
     sample = draws.join(curve.select("position", "density", "speed"), "position")
     return window_drop(sample, ["iter"], order=["density", "j"] if resort else "j")
 
@@ -128,18 +129,23 @@ def random_backbone_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> D
 def od_reassignment_null(ends: DataFrame, windows: DataFrame, grid: GridSpec, n: int = 50, seed: int = SEED) -> DataFrame:
     """Share of congested windows in endpoint cells when starts and ends are drawn with replacement.
 
-    Only cell counts are needed: position j and drawn index r both live on the
-    number line formed by the running totals of the cells.
+    Only cell counts are needed: a drawn index lives on the number line formed
+    by the running totals of the cells, and only the set of drawn cells matters.
     """
     occ = staged_occupancy(windows)
     cells = cells_op.exceedance(occ, rho_star(occ)).where(F.col("exceedance_count") > 0)
     counts = ends.groupBy("kind", "row", "col").agg(F.count(F.lit(1)).alias("m"))
     line = running_total(counts, "m", by=["kind"])
-    total = counts.where(F.col("kind") == "start").agg(F.sum("m")).scalar()
-    slots = line.select("kind", "row", "col", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("m") - 1)).alias("r"))
-    draws = iterated(slots.select("kind", F.col("r").alias("j")), n).select(
-        "kind", "iter", draw_index(total, seed, F.col("kind"), F.col("iter"), F.col("j")).alias("r")).distinct()
-    drawn = draws.join(slots, ["kind", "r"]).select("iter", "row", "col").distinct()
+    total = counts.where(F.col("kind") == "start").agg(F.sum("m")).first()[0]
+    # cells as stretches of the number line, cut into equal pieces: draws look their piece up and are never shuffled
+    piece = max(1, -(-total // LINE_PIECES))
+    last = F.col("before") + F.col("m") - 1
+    stretches = line.withColumn("piece", F.explode(F.sequence(F.expr(f"before div {piece}"), F.floor(last / piece))))
+    kinds = F.explode(F.array(F.lit("start"), F.lit("end")))
+    draws = draw_grid(windows.sparkSession, n, total).select("iter", "j", kinds.alias("kind")).select(
+        "kind", "iter", draw_index(F.lit(total), seed, F.col("kind"), F.col("iter"), F.col("j")).alias("r"))
+    hits = draws.withColumn("piece", F.expr(f"r div {piece}")).join(materialize(stretches), ["kind", "piece"])
+    drawn = materialize(hits.where(F.col("r").between(F.col("before"), last)).select("iter", "row", "col").distinct())
     near = buffer_cells(drawn, 1, grid=grid, edge="clamp", by=["iter"])
     marks = drawn.withColumns({"exact": F.lit(1), "near": F.lit(0)}).unionByName(near.withColumns({"exact": F.lit(0), "near": F.lit(1)}))
     marks = marks.groupBy("iter", "row", "col").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
@@ -165,9 +171,9 @@ def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Co
     members = parts.join(shape, keys).select(*pattern, group, "n_points").distinct()
     ids = materialize(parts.select(group).distinct()).withColumn("_p", F.substring(F.md5(group), 1, 2))
     ids = global_rank(ids, [("_p", True), (group, True)], levels=1).select(group, "rank")
-    total = ids.agg(F.count(F.lit(1))).scalar()
-    draws = iterated(ids.select((F.col("rank") - 1).alias("j")), n)
-    drawn = draws.select("iter", (draw_index(total, seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
+    total = ids.count()
+    draws = draw_grid(parts.sparkSession, n, total)
+    drawn = draws.select("iter", (draw_index(F.lit(total), seed, F.col("iter"), F.col("j")) + 1).alias("rank")).groupBy("iter", "rank").agg(
         F.count(F.lit(1)).alias("m"))
     # Iterations travel side by side in blocks of columns: one row per (group, block), not one per iteration.
     slots = range(min(n, BLOCK))

@@ -22,10 +22,10 @@ def test_bom_is_skipped(spark, tmp_path):
 
 
 def test_gb18030(spark, tmp_path):
-    text = "site_name,platform,city,note,open_time,lon,lat\n测试站,甲,深圳,,2023, 113.95,22.61\n起降点,乙,深圳,试飞,2023,x,22.61\n"
+    text = "site_name,platform,city,note,open_time,lon,lat\n测试站,甲,甲市,,2023, 113.95,22.61\n起降点,乙,甲市,试飞,2023,x,22.61\n"
     (tmp_path / "s.csv").write_bytes(text.encode("gb18030"))
     sites = tables.read_sites(spark, str(tmp_path / "s.csv"), encoding="GB18030")
-    got = site_inventory(sites, "深圳", "测试", GridSpec(100.0)).collect()
+    got = site_inventory(sites, "甲市", "测试", GridSpec(100.0)).collect()
     assert [(r.site_name, r.is_test_site) for r in got] == [("测试站", True)]
 
 
