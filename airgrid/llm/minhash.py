@@ -152,6 +152,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def across_components(members: DataFrame, packed: DataFrame, docs: DataFrame, shingle: int, percent: int, tile: int = 256) -> DataFrame:
+    """Links between members (key, doc_id, component) of a bucket in different components.
+
+    The commonest component of a bucket names a unit; a unit's documents are those of all its buckets. Only its documents of
+    other components are compared, with all of the unit, in tiles of ``tile`` x ``tile``; a tile returns links, not pairs.
+    Any two members of a bucket meet in the unit of that bucket.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("unit"), F.count("*").alias("parts")).filter("parts > 1").select("key", "unit")
+    units = materialize(members.join(main, "key").select("unit", "doc_id", "component").distinct())
+    sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / tile).alias("all"), F.ceil(F.count(F.when(F.col("component") != F.col("unit"), 1)) / tile).alias("others"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = texts.join(units.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(packed, "doc_id")
+    rows = units.join(sizes, "unit").join(texts, "doc_id")
+    spot = F.xxhash64("doc_id", F.lit("tile"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    left = rows.filter("component <> unit").select("unit", F.pmod(spot, F.col("others")).alias("i"), upto(F.col("all")).alias("j"), F.lit(0).alias("side"), "doc_id", "component", "packed", "text")
+    right = rows.select("unit", upto(F.col("others")).alias("i"), F.pmod(spot, F.col("all")).alias("j"), F.lit(1).alias("side"), "doc_id", "component", "packed", "text")
+    tiles = left.unionByName(right).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side")
+    least = int(np.ceil(SLOTS * (least_estimate(percent) * (1 - 0.5 ** BITS) + 0.5 ** BITS) - 1e-9))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("unit", "i", "j", "side", "doc_id", "component", "packed")), utf8_texts(batch.column("text")), strict=True)
+            for row in rows:
+                if row[:3] != key:
+                    yield from _tile_links(held, shingle, percent, least)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        yield from _tile_links(held, shingle, percent, least)
+
+    return tiles.mapInArrow(run, "a bigint, b bigint")
+
+
+def _tile_links(rows: list[tuple], shingle: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Links of the left rows (side 0) with the right ones (side 1), at most one for a left row and a component."""
+    left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    if not left or not right:
+        return
+    signs = np.array([r[3] for r in right], np.int64).view(np.uint64)
+    ids, parts = np.array([r[1] for r in right]), np.array([r[2] for r in right])
+    sets: dict[int, np.ndarray] = {}
+    ones = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    found: list[tuple[int, int]] = []
+    for _, doc, component, sign, text in left:
+        x = signs ^ np.array(sign, np.int64).view(np.uint64)[None, :]
+        for step in (1, 2):
+            x |= x >> np.uint64(step)
+        likely = np.flatnonzero((SLOTS - np.bitwise_count(x & ones).sum(1, dtype=np.int64) >= least) & (parts != component))
+        if not len(likely):
+            continue
+        for k in likely:
+            if k not in sets:
+                sets[k] = shingle_set(right[k][4], shingle)
+        own, others = shingle_set(text, shingle), [sets[k] for k in likely]
+        lengths = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        common = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+        linked = likely[100 * common >= percent * (len(own) + lengths - common)]
+        found += {parts[k]: (doc, int(ids[k])) for k in linked}.values()
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with their component under ``links``."""
     found = components(links).withColumnRenamed("id", "doc_id")
@@ -181,28 +248,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = scored(members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a")).select("a", "b")
     links = materialize(confirmed(materialize(best), docs, shingle, percent))
-    # then the first members of all buckets, where the component still differs
-    tried = best
-    for step in ("leads", "all"):
-        at = labelled(nodes.select("doc_id"), links)
-        at = materialize(at)
-        if step == "leads":
-            pairs = members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-            pairs = (pairs.join(at.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
-                     .join(at.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb").select("a", "b"))
-            more = scored(pairs).select("a", "b")
-        else:
-            inside = members.join(at, "doc_id")
-            mixed_keys = inside.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-            inside = materialize(inside.join(mixed_keys, "key").join(packed, "doc_id").select("key", "doc_id", "component", "packed"))
-            left = inside.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"))
-            right = inside.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"))
-            more = (left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                                   & (estimated(F.col("pa"), F.col("pb")) >= least_estimate(percent)))
-                    .select("a", "b").distinct())
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(more)
-        links = links.union(materialize(confirmed(more, docs, shingle, percent)))
+    # then the first members of all its buckets, where the component still differs
+    at = materialize(labelled(nodes.select("doc_id"), links))
+    pairs = members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = (pairs.join(at.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
+             .join(at.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb").select("a", "b"))
+    more = materialize(scored(pairs).select("a", "b").join(best, ["a", "b"], "left_anti"))
+    links = links.union(materialize(confirmed(more, docs, shingle, percent)))
+    # then all members of a bucket whose components still differ
+    at = materialize(labelled(nodes.select("doc_id"), links))
+    links = links.union(materialize(across_components(members.join(at, "doc_id"), packed, docs, shingle, percent)))
     at = labelled(reps, links).select("set_hi", "set_lo", F.col("component").alias("of_set"))
     out = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(at, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import minhash, mixing, pii, toxicity
+from airgrid.llm import bpe, minhash, mixing, pii, toxicity
 from airgrid.llm.common import table
 
 
@@ -14,6 +15,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_ranks(ranks), public_tokenizers.PATTERN)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,6 +34,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op8_pii": op8_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
