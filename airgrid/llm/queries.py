@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import bpe, minhash, mixing, pii, toxicity
+from airgrid.llm import bpe, minhash, mixing, pii, tokens, toxicity
 from airgrid.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.read_model(model or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
