@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import bpe, minhash, mixing, pii, tokens, toxicity
+from airgrid.llm import bpe, minhash, mixing, pii, quality, rules, tokens, toxicity
 from airgrid.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
+    "op9_quality_rules": op9_quality_rules,
     "op8_pii": op8_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
