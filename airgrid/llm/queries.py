@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from airgrid.llm import bpe, minhash, mixing, pii, quality, rules, tokens, toxicity
+from airgrid.llm import ann, bpe, minhash, mixing, pii, quality, rules, tokens, toxicity
 from airgrid.llm.common import table
 
 
@@ -24,6 +25,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataF
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_ranks(ranks), public_tokenizers.PATTERN)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_nearest": op5_nearest,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op9_quality_rules": op9_quality_rules,
