@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import ann, bpe, minhash, mixing, pii, quality, rules, tokens, toxicity
+from airgrid.llm import ann, bpe, minhash, mixing, pii, quality, rules, suffix, tokens, toxicity
 from airgrid.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.read_model(model or public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_nearest": op5_nearest,
