@@ -7,12 +7,12 @@ operations, the count is corrected for chance collisions, and pairs whose estima
 errors below the threshold are dropped. All others are confirmed on the full sets.
 
 No group is squared: texts with equal sets are folded into one node first, each text is
-then tried against the first members of its buckets, and only members of a bucket that
+then tried against two of the first members of its buckets (the likeliest and the one of least id), and only members of a bucket that
 are still in different components are compared with each other. At a similarity of exactly 0.8 a
 link is overlooked with a probability of 5e-8 by the bands and about 1e-6 by the estimate.
 
 Defined results: null, empty and white-space texts have an empty set and are linked with nothing; a null
-doc_id gets a null component and stays; repeated rows of a doc_id are returned each; other columns are
+doc_id gets a null component and stays; repeated rows of a doc_id are returned each and are one node; other columns are
 ignored by ``near_duplicates`` and returned by ``drop_near_duplicates``.
 """
 
@@ -133,9 +133,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     """The pairs (a, b) with 100 x intersection >= percent x union of the full shingle sets."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
+    # merge joins at every size: a broadcast of ids would only suit small corpora
+    texts = texts.join(wanted.hint("merge"), "id", "left_semi")
+    both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None  # rows of one text often follow each other
@@ -164,8 +165,8 @@ def across_components(members: DataFrame, packed: DataFrame, docs: DataFrame, sh
     units = materialize(members.join(main, "key").select("unit", "doc_id", "component").distinct())
     sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / tile).alias("all"), F.ceil(F.count(F.when(F.col("component") != F.col("unit"), 1)) / tile).alias("others"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(units.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(packed, "doc_id")
-    rows = units.join(sizes, "unit").join(texts, "doc_id")
+    texts = texts.join(units.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").join(packed.hint("merge"), "doc_id")
+    rows = units.join(sizes, "unit").join(texts.hint("merge"), "doc_id")
     spot = F.xxhash64("doc_id", F.lit("tile"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     left = rows.filter("component <> unit").select("unit", F.pmod(spot, F.col("others")).alias("i"), upto(F.col("all")).alias("j"), F.lit(0).alias("side"), "doc_id", "component", "packed", "text")
@@ -228,37 +229,30 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row of ``docs``."""
     sketch = materialize(sketches(docs, shingle))
-    first = (sketch.filter("set_hi is not null and doc_id is not null").groupBy("set_hi", "set_lo")
-             .agg(F.min("doc_id").alias("doc_id")))
-    reps = materialize(first)
-    nodes = (sketch.join(reps, ["doc_id", "set_hi", "set_lo"], "left_semi").dropDuplicates(["doc_id"])
-             .select("doc_id", "packed", "bands"))
-    nodes = materialize(nodes)
+    nodes = materialize(sketch.filter("set_hi is not null and doc_id is not null").groupBy("set_hi", "set_lo")
+                        .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("packed", "bands"), "doc_id").alias("s"))
+                        .select("set_hi", "set_lo", "doc_id", "s.packed", "s.bands"))
     packed = nodes.select("doc_id", "packed")
     members = nodes.select(F.explode("bands").alias("key"), "doc_id")
     groups = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
     members = materialize(members.join(groups, "key"))  # buckets with at least two texts
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
-                .join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b")
-                .select("a", "b", estimated(F.col("pa"), F.col("pb")).alias("s")).filter(F.col("s") >= least_estimate(percent)))
-
-    # each text against the likeliest of its buckets' first members
-    stars = scored(members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(confirmed(materialize(best), docs, shingle, percent))
-    # then the first members of all its buckets, where the component still differs
-    at = materialize(labelled(nodes.select("doc_id"), links))
-    pairs = members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = (pairs.join(at.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
-             .join(at.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb").select("a", "b"))
-    more = materialize(scored(pairs).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = links.union(materialize(confirmed(more, docs, shingle, percent)))
-    # then all members of a bucket whose components still differ
+    # each text against the likeliest and the first of its buckets' first members
+    stars = members.filter("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = (stars.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
+             .join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b")
+             .select("a", "b", estimated(F.col("pa"), F.col("pb")).alias("s")).filter(F.col("s") >= least_estimate(percent)))
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("best"), F.min("a").alias("first"))
+    stars = materialize(stars.select("b", F.explode(F.array_distinct(F.array("best", "first"))).alias("a")))
+    links = confirmed(stars, docs, shingle, percent)
     at = materialize(labelled(nodes.select("doc_id"), links))
-    links = links.union(materialize(across_components(members.join(at, "doc_id"), packed, docs, shingle, percent)))
-    at = labelled(reps, links).select("set_hi", "set_lo", F.col("component").alias("of_set"))
+    # then all members of a bucket whose components still differ; what they link is components
+    more = materialize(across_components(members.join(at, "doc_id"), packed, docs, shingle, percent))
+    if not more.isEmpty():
+        side = lambda c: at.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
+        merged = components(more.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        at = at.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
+    at = nodes.select("set_hi", "set_lo", "doc_id").join(at, "doc_id").select("set_hi", "set_lo", F.col("component").alias("of_set"))
     out = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(at, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -267,4 +261,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its group, with all their columns."""
     dropped = near_duplicates(docs, shingle, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -272,7 +272,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, context, bytes of the wanted contexts (k1, k2, anchor, context, first, windows)."""
     per = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "windows", "anchor", "context")).alias("w"))  # bounded by the text
-    rows = docs.join(per, ["k1", "k2"]).select("text", F.col("w.first").alias("first"), F.col("w.windows").alias("windows"), F.col("w.anchor").alias("anchor"), F.col("w.context").alias("context"))
+    rows = docs.join(per.hint("merge"), ["k1", "k2"]).select("text", F.col("w.first").alias("first"), F.col("w.windows").alias("windows"), F.col("w.anchor").alias("anchor"), F.col("w.context").alias("context"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -382,7 +382,7 @@ def _cut(docs: DataFrame, run_size: int, shard_bytes: int) -> DataFrame:
     repeats = whole.unionByName(runs).groupBy("anchor", "context").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # at most one list a shard
     per = again.join(repeats, ["anchor", "context"]).select("k1", "k2", spans_at(F.col("first"), F.col("runs")).alias("spans"))
     per = per.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text
-    return keyed.join(per, ["k1", "k2"], "left")
+    return keyed.join(per.hint("merge"), ["k1", "k2"], "left")
 
 
 def spans_at(first: Column, runs: Column) -> Column:
