@@ -7,7 +7,7 @@ occurrence; occurrences further right follow in the same step if no contraction
 property of the rank table), so that a long run takes few steps. It ends when no word has a pair left. A word that is
 a token itself is that token. Decoding joins id rows with the vocabulary and aggregates the bytes in order.
 
-The vocabulary (under 1 MB) is read on the driver and broadcast; a task keeps at most ``KNOWN`` chunks.
+The vocabulary (under 1 MB) is read on the driver and broadcast; a task keeps at most about ``KNOWN`` chunks and words.
 
 Defined results: a null text is empty: no tokens, and the hashes of nothing; ids and repeated rows are returned as they are; an empty
 table gives no rows; other columns are ignored by ``encode``, and ``decode`` gives null for a null list.
@@ -106,13 +106,20 @@ class Codec:
         self.db.register("names", names)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM names")
         self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks
+        self.met: dict[bytes, bytes] = {}  # words that aren't tokens
 
     def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids (32 bits, little endian) of each word; words that are tokens need no query."""
         out = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
+        out |= {w: self.met[w] for w in words if w in self.met}
+        if len(self.met) > KNOWN:
+            self.met.clear()
         for long in (False, True):
-            out |= self._merged([w for w in words if w not in out and (len(w) > LONG) == long], ENCODE_LONG if long else ENCODE)
+            fresh = self._merged([w for w in words if w not in out and (len(w) > LONG) == long], ENCODE_LONG if long else ENCODE)
+            out |= fresh
+            if not long:
+                self.met |= fresh
         return out
 
     def _merged(self, rest: list[bytes], query: str) -> dict[bytes, bytes]:
@@ -145,11 +152,13 @@ class Codec:
         chunked = [self.chunks.findall(t) for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
-        fresh = list({c for chunks in chunked for c in chunks if c not in self.known})
+        found = [list(map(self.known.get, chunks)) for chunks in chunked]
+        fresh = list({c for chunks, got in zip(chunked, found, strict=True) for c, g in zip(chunks, got, strict=True) if g is None})
         parts = [[w.encode() for w in self.words.findall(c)] for c in fresh]
         ids = self.word_ids(list(dict.fromkeys(w for p in parts for w in p)))
-        self.known.update({c: b"".join(map(ids.__getitem__, p)) for c, p in zip(fresh, parts, strict=True)})
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in chunked]
+        new = {c: b"".join(map(ids.__getitem__, p)) for c, p in zip(fresh, parts, strict=True)}
+        self.known |= new
+        return [b"".join([g if g is not None else new[c] for c, g in zip(chunks, got, strict=True)]) for chunks, got in zip(chunked, found, strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -166,14 +175,29 @@ class Codec:
         return out
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(name: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """This Python worker's codec of that name; tasks that follow each other in a worker share what it has met."""
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(ranks, pattern)
+    return _CODECS[name]
+
+
+def _name(ranks: dict[bytes, int], pattern: str) -> str:
+    return hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+
+
 def _over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...], schema: str, make) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    name = _name(ranks, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
-        for part in slices(batches, "text", 1 << 20):
-            codec = codec or Codec(shared.value, pattern)
-            yield make(codec, part)
+        for part in slices(batches, "text", 4 << 20):
+            yield make(_codec(name, shared.value, pattern), part)
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -194,10 +218,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
     """doc_id and bytes (binary) of every list of ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
+    name = _name(ranks, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
-            codec = codec or Codec(shared.value, pattern)
+            codec = _codec(name, shared.value, pattern)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column("ids").to_pylist()
