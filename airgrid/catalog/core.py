@@ -13,6 +13,7 @@ from airgrid.operators import cells as cells_op
 from airgrid.operators import curves
 from airgrid.operators.ranking import gini, top_fraction
 from airgrid.plans import core
+from airgrid.spec import MAX_SPLIT_INDEX
 
 PIECEWISE = ("rho_star:f speed_free:f speed_congested:f speed_drop_percent:f objective:f n_bins:i "
              "slope_left:f slope_right:f speed_before:f speed_after:f jump_percent:f")
@@ -36,6 +37,12 @@ def breakpoint_weighted(i):
     return bp.piecewise(curves.curve_from_occupancy(i.occ), weight="sample_count")
 
 
+@query("breakpoint_split_limit", PIECEWISE, q.piecewise_sql("SELECT * FROM curve", max_split=MAX_SPLIT_INDEX))
+def breakpoint_split_limit(i):
+    """B1 with the scan ended before bin 50."""
+    return bp.piecewise(curves.curve_from_occupancy(i.occ), max_split=MAX_SPLIT_INDEX)
+
+
 _SPECS = [("main_equal_weight_bins", 1, 10, False), ("count_weighted_bins", 1, 10, True),
           ("equal_weight_bins_min50", 1, 50, False), ("equal_weight_bins_width2", 2, 20, False)]
 q.view("spec_curves", " UNION ALL ".join(

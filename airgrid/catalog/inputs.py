@@ -116,8 +116,8 @@ class Inputs:
 
     @cached_property
     def nav_logs(self) -> DataFrame:
-        """Flight-log rows of the later days, with a path per flight as the file walker would give it."""
-        base = self.table("lineitem").where("l_orderkey % 22 >= 17").selectExpr(
+        """Flight-log rows of all days, with a path per flight as the file walker would give it."""
+        base = self.table("lineitem").selectExpr(
             "l_orderkey as k", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "cast(l_partkey % 100 as double)/100.0D as x", "cast(l_suppkey % 50 as double)/50.0D as y")
         stem = ("concat(date_format(timestamp_seconds(unix_timestamp(case when k % 50 = 0 then timestamp '2024-10-01 00:00:00'"

@@ -68,8 +68,7 @@ q.view("masked", """SELECT w.*, k.row IS NOT NULL AS in_cell FROM interface_wind
 @query("terminal_zone_exclusion", "terminal_cells:i samples_after_exclusion:i exclusion_ratio:f rho_star_excluded:f rho_star_original:f",
        f"""SELECT (SELECT count(*) FROM interface_cells) AS terminal_cells, (SELECT count(*) FROM masked WHERE NOT in_cell) AS samples_after_exclusion,
        1 - (SELECT count(*) FROM masked WHERE NOT in_cell)::DOUBLE/(SELECT count(*) FROM masked) AS exclusion_ratio,
-       CASE WHEN (SELECT count(*) FROM masked WHERE NOT in_cell) >= 1000 THEN (SELECT rho_star FROM ({q.piecewise_sql(q.curve_sql("(SELECT * FROM masked WHERE NOT in_cell)"))}))
-         ELSE (SELECT rho_star FROM main_break) END AS rho_star_excluded, (SELECT rho_star FROM main_break) AS rho_star_original""")
+       (SELECT rho_star FROM ({q.piecewise_sql(q.curve_sql("(SELECT * FROM masked WHERE NOT in_cell)"))})) AS rho_star_excluded, (SELECT rho_star FROM main_break) AS rho_star_original""")
 def terminal_zone_exclusion(i):
     """C3."""
     return rb.terminal_zone_exclusion(i.windows)

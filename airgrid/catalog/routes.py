@@ -258,10 +258,10 @@ def route_node_metrics(i):
     return degrees.join(graph.local_clustering(edges, degrees), "node")
 
 
-def network_of(i):
+def network_of(i, table=routes.network_nodes):
     clusters = main_clusters(i)
     edges = routes.route_edges(routes.cluster_pairs(t.od_of(i), clusters))
-    return routes.network_nodes(edges, clusters.select(F.col("label").alias("node")))
+    return table(edges, clusters.select(F.col("label").alias("node")))
 
 
 q.components_view("route_comp", "SELECT DISTINCT 0 AS g, label AS node FROM clusters", "SELECT 0 AS g, src AS s, dst AS d FROM route_edges UNION ALL SELECT 0, dst, src FROM route_edges")
@@ -304,7 +304,7 @@ def network_sql(nodes: str, comp: str, by: str = "") -> str:
 @query("route_network_summary", NETWORK, network_sql("route_nodes", "route_comp"))
 def route_network_summary(i):
     """G6."""
-    return routes.network_summary(network_of(i))
+    return routes.network_summary(materialize(network_of(i, routes.network_measures)))
 
 
 @query("top_nodes_by_strength", "node:i strength:i degree:i", "SELECT node, strength, degree FROM route_nodes ORDER BY strength DESC, degree DESC, node LIMIT 10")
@@ -325,16 +325,20 @@ q.view("vendor_comp", "SELECT g AS vendor, node, label FROM vendor_comp_g")
 q.view("vendor_network", network_sql("vendor_nodes", "vendor_comp", "vendor"))
 
 
-def vendor_network_of(i):
+def vendor_graph(i):
     edges = materialize(routes.route_edges(linked_of(i), ["vendor"]))
     nodes = graph.symmetric(edges, ["vendor"]).select("vendor", F.col("src").alias("node")).distinct()
-    return edges, routes.network_nodes(edges, nodes, ["vendor"], unweighted=False)
+    return edges, nodes
+
+
+def vendor_summary(i):
+    return routes.network_summary(materialize(routes.network_measures(*vendor_graph(i), ["vendor"])), ["vendor"])
 
 
 @query("vendor_network_summary", "vendor:s " + NETWORK, "SELECT * FROM vendor_network")
 def vendor_network_summary(i):
     """G11."""
-    return routes.network_summary(vendor_network_of(i)[1], ["vendor"])
+    return vendor_summary(i)
 
 
 q.betweenness_view("bc_vendor", "SELECT vendor AS g, src, dst, 1.0::DOUBLE/weight AS cost FROM vendor_edges", "SELECT vendor AS g, node FROM vendor_node_set")
@@ -345,7 +349,7 @@ q.betweenness_view("bc_vendor", "SELECT vendor AS g, src, dst, 1.0::DOUBLE/weigh
        JOIN (SELECT vendor, count(*) AS n FROM vendor_node_set GROUP BY 1) c ON c.vendor = v.vendor""")
 def vendor_network_betweenness(i):
     """G11 centrality, both vendor graphs in the same rounds."""
-    return vendor_network_of(i)[1]
+    return routes.network_nodes(*vendor_graph(i), ["vendor"], unweighted=False)
 
 
 @query("vendor_network_report", "vendor:s nodes:i edges:i components:i largest_component_share_pct:f mean_local_clustering:f average_degree:f max_degree:i max_strength:i",
@@ -353,7 +357,7 @@ def vendor_network_betweenness(i):
        round(average_degree, 2) AS average_degree, max_degree, max_strength FROM vendor_network""")
 def vendor_network_report(i):
     """G12."""
-    return routes.network_report(routes.network_summary(vendor_network_of(i)[1], ["vendor"]))
+    return routes.network_report(vendor_summary(i))
 
 
 _OVERLAP = "left_size:i right_size:i shared:i either:i left_only:i right_only:i jaccard:f"

@@ -326,7 +326,7 @@ q.view("nav_logs", f"""SELECT 'logs/' || CASE k % 4 WHEN 0 THEN 'A/R' || (k % 3)
   CASE WHEN k % 89 = 0 THEN 0.0::DOUBLE ELSE 22.60::double + 0.05::double*y*y END AS lat, 113.90::double + 0.05::double*x*x*x AS lon, CASE WHEN l_linenumber = 7 AND k % 11 = 0 THEN NULL ELSE (l_linenumber*60 + l_partkey % 60)*1000000::BIGINT END AS logtime,
   0.6::double*least(40.0::double, l_quantity*0.8::double*sqrt((x*x*x + y*y)/2.0::double)) AS vel_x, 0.8::double*least(40.0::double, l_quantity*0.8::double*sqrt((x*x*x + y*y)/2.0::double)) AS vel_y,
   l_extendedprice - 500.0::double*floor(l_extendedprice/500.0::double) AS altitude_agl FROM (SELECT *, l_orderkey AS k, cast(l_partkey % 100 as double)/100.0::double AS x, cast(l_suppkey % 50 as double)/50.0::double AS y
-  FROM lineitem WHERE l_orderkey % 22 >= 17)""")
+  FROM lineitem)""")
 q.view("nav_meta", """SELECT *, source_folder || '__' || route_code || '__' || stem AS flight_id, try_strptime(stem, '%Y%m%d-%H%M%S') AS flight_start_local FROM (
   SELECT *, CASE WHEN len(parts) >= 3 THEN parts[1] ELSE 'root_logs' END AS source_folder, CASE WHEN len(parts) >= 3 THEN parts[2] ELSE 'unassigned' END AS route_code, parts[len(parts)] AS file_name, regexp_replace(parts[len(parts)], '\\.[^.]*$', '') AS stem
   FROM (SELECT *, string_split(replace(path, 'logs/', ''), '/') AS parts FROM nav_logs)) WHERE substr(stem, 1, 4) IN ('2025', '2026')""")

@@ -117,7 +117,7 @@ def curve_sql(windows: str, by: str = "", width: int = 1, min_samples: int = 10,
             f" WHERE {density} > 0 AND mean_speed > 0 GROUP BY {g}{low} HAVING count(*) >= {min_samples}")
 
 
-def scan_sql(curve: str, by: str = "", weight: str = "1.0") -> str:
+def scan_sql(curve: str, by: str = "", weight: str = "1.0", max_split: int | None = None) -> str:
     """All splits with RSS by prefix sums, columns like the Spark scan."""
     p = f"PARTITION BY {by}" if by else ""
     g = f"{by}, " if by else ""
@@ -136,7 +136,8 @@ def scan_sql(curve: str, by: str = "", weight: str = "1.0") -> str:
         s = (lambda k: f"l{k}") if side == "l" else (lambda k: f"(t{k}-l{k})")
         return f"(({s('xy')}-{s('x')}*{s('y')}/{s('w')})/({s('xx')}-{s('x')}*{s('x')}/{s('w')}))"
 
-    valid = "split >= 3 AND split <= least(n_bins-5, 50)-1 AND n_bins-split >= 3"
+    upper = "n_bins-6" if max_split is None else f"least(n_bins-5, {max_split})-1"
+    valid = f"split >= 3 AND split <= {upper} AND n_bins-split >= 3"
     return f"""SELECT *, ({valid}) AS valid,
         CASE WHEN {valid} THEN {rss('l')} + {rss('r')} END AS rss,
         CASE WHEN {valid} THEN {slope('l')} END AS slope_left, CASE WHEN {valid} THEN {slope('r')} END AS slope_right
@@ -148,7 +149,7 @@ def scan_sql(curve: str, by: str = "", weight: str = "1.0") -> str:
           speed_mean - avg(speed_mean) OVER ({p}) AS y_ FROM ({curve})))"""
 
 
-def piecewise_sql(curve: str, by: str = "", weight: str = "1.0", fallback: bool = True) -> str:
+def piecewise_sql(curve: str, by: str = "", weight: str = "1.0", fallback: bool = True, max_split: int | None = None) -> str:
     g = f"{by}, " if by else ""
     p = f"PARTITION BY {by}" if by else ""
     fb = "" if fallback else " WHERE b_valid"
@@ -163,7 +164,7 @@ def piecewise_sql(curve: str, by: str = "", weight: str = "1.0", fallback: bool
         max(speed_before) FILTER (split = b_split) AS speed_before, max(speed_mean) FILTER (split = b_split) AS speed_after
       FROM (SELECT *, coalesce(first_split, n_bins // 2) AS b_split FROM (
         SELECT *, min(split) FILTER (rss = b_rss) OVER ({p}) AS first_split FROM (
-          SELECT *, min(rss) OVER ({p}) AS b_rss FROM ({scan_sql(curve, by, weight)})))) {grp} {hav})"""
+          SELECT *, min(rss) OVER ({p}) AS b_rss FROM ({scan_sql(curve, by, weight, max_split)})))) {grp} {hav})"""
 
 
 def top_fraction_sql(cells: str, measure: str, fraction: str, by: str = "", ties: str = "row, col") -> str:

@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgrid.spec import MAX_SPLIT_INDEX
 
 
-def split_scan(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column | None = None) -> DataFrame:
+def split_scan(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column | None = None, max_split: int | None = None) -> DataFrame:
     """Every admissible two-segment split with its residual sum of squares.
 
     Prefix sums of (w, wx, wy, wxx, wxy, wyy) on centred values give the RSS
     of both least-squares lines in closed form for all splits in one pass.
+    ``max_split`` ends the scan before that bin; by default it covers the curve.
     """
     by = list(by)
     ordered = Window.partitionBy(*by).orderBy("density_center")
@@ -50,7 +50,7 @@ def split_scan(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column
 
     left = lambda k: F.col(f"_l{k}")
     right = lambda k: F.col(f"_t{k}") - F.col(f"_l{k}")
-    upper = F.least(F.col("n_bins") - 5, F.lit(MAX_SPLIT_INDEX)) - 1
+    upper = (F.col("n_bins") - 5 if max_split is None else F.least(F.col("n_bins") - 5, F.lit(max_split))) - 1
     valid = (F.col("split") >= 3) & (F.col("split") <= upper) & (F.col("n_bins") - F.col("split") >= 3)
     return base.withColumns({
         "valid": valid,
@@ -61,14 +61,14 @@ def split_scan(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column
 
 
 def piecewise(curve: DataFrame, by: Sequence[str] = (), *, weight: str | Column | None = None,
-              fallback: bool = True) -> DataFrame:
+              fallback: bool = True, max_split: int | None = None) -> DataFrame:
     """Best split per curve: rho_star is the centre of the first bin of the right segment.
 
     Without an admissible split the middle bin is used (``fallback``) or no
     row is returned. speed_free / speed_congested are unweighted bin means.
     """
     by = list(by)
-    scan = split_scan(curve, by, weight=weight)
+    scan = split_scan(curve, by, weight=weight, max_split=max_split)
     choice = F.when(F.col("valid"), F.struct(F.lit(0).alias("rank"), F.col("rss").alias("objective"), "split"))
     if fallback:
         middle = F.col("split") == F.floor(F.col("n_bins") / 2)

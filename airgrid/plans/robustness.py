@@ -65,8 +65,8 @@ def interface_cells(windows: DataFrame, median: Column) -> DataFrame:
     return windows.where(cells_op.interface_like(median)).select("row", "col").distinct()
 
 
-def terminal_zone_exclusion(windows: DataFrame, minimum: int = 1000) -> DataFrame:
-    """Critical density without interface cells; the full estimate is kept when too few windows remain."""
+def terminal_zone_exclusion(windows: DataFrame) -> DataFrame:
+    """Critical density with and without interface cells, and the number of windows that remain; null where none do."""
     occ = staged_occupancy(windows)
     cells = interface_cells(windows, cells_op.median_density(occ))
     kept = occ.join(cells, ["row", "col"], "left_anti")
@@ -75,7 +75,7 @@ def terminal_zone_exclusion(windows: DataFrame, minimum: int = 1000) -> DataFram
     left = kept.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).scalar()
     return sizes.select(cells.agg(F.count(F.lit(1))).scalar().alias("terminal_cells"), left.alias("samples_after_exclusion"),
                         (F.lit(1.0) - left / F.col("samples")).alias("exclusion_ratio"),
-                        F.when(left >= minimum, rest).otherwise(full).alias("rho_star_excluded"), full.alias("rho_star_original"))
+                        rest.alias("rho_star_excluded"), full.alias("rho_star_original"))
 
 
 def hotspot_localization(windows: DataFrame, grid: GridSpec) -> DataFrame:

@@ -70,14 +70,20 @@ def route_edges(linked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by, F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def network_nodes(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), *, unweighted: bool = True) -> DataFrame:
-    """Node table: degree, strength, clustering, component, betweenness (hop count and inverse flow)."""
+def network_measures(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Node table without path searches: degree, strength, clustering, component."""
     by, edges, nodes = list(by), materialize(edges), materialize(nodes.select(*by, "node").distinct())
     degrees = materialize(graph.degree_table(edges, nodes, by))
     out = degrees.join(graph.local_clustering(edges, degrees, by), by + ["node"])
     parts = graph.connected_components(nodes, edges, by)
     sizes = parts.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("component_size"))
-    out = out.join(parts.join(sizes, by + ["label"]).withColumnRenamed("label", "component"), by + ["node"])
+    return out.join(parts.join(sizes, by + ["label"]).withColumnRenamed("label", "component"), by + ["node"])
+
+
+def network_nodes(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), *, unweighted: bool = True) -> DataFrame:
+    """Node table with the measures and betweenness (hop count and inverse flow)."""
+    by, edges, nodes = list(by), materialize(edges), materialize(nodes.select(*by, "node").distinct())
+    out = network_measures(edges, nodes, by)
     count = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     kinds = {"betweenness_unweighted": F.lit(1.0)} if unweighted else {}
     kinds["betweenness_invflow"] = F.lit(1.0) / F.col("weight")
