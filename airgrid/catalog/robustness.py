@@ -158,6 +158,17 @@ def endpoint_exclusion(i):
     return rb.cell_exclusion(i.windows, {"exact": t.hub_cells_of(i), "buffer": hub_buffer(i)})
 
 
+q.view("busy_excluded_subsets", f"""SELECT 'exact' AS subset, w.* FROM windows w ANTI JOIN top_hub_cells h ON w.row = h.row AND w.col = h.col
+  UNION ALL SELECT 'buffer', w.* FROM windows w ANTI JOIN ({t.buffer_sql('SELECT row, col FROM top_hub_cells', 1, 'clamp')}) h ON w.row = h.row AND w.col = h.col""")
+
+
+@query("endpoint_exclusion_busiest", "subset:s " + S, q.summary_sql("SELECT * FROM busy_excluded_subsets", "subset"))
+def endpoint_exclusion_busiest(i):
+    """C9 with the busiest tenth of the endpoint cells."""
+    busiest = t.top_hub_cells_of(i)
+    return rb.cell_exclusion(i.windows, {"exact": busiest, "buffer": buffers.buffer_cells(busiest, 1, grid=GRID, edge="clamp")})
+
+
 @query("endpoint_exclusion_footprint", "endpoint_cells:i buffer_cells_grid:i buffer_cells_active:i buffer_share_active:f removed_exact_share:f removed_buffer_share:f",
        f"""SELECT (SELECT count(*) FROM hub_cells) AS endpoint_cells, (SELECT count(*) FROM hub_buffer1) AS buffer_cells_grid, count(b1.row) AS buffer_cells_active,
        count(b1.row)::DOUBLE/count(*) AS buffer_share_active, coalesce(sum(x) FILTER (e.row IS NOT NULL), 0)::DOUBLE/sum(x) AS removed_exact_share,
@@ -350,13 +361,13 @@ def leave_one_vendor_day_out(i):
     return rb.leave_one_group_out(cells_op.contributions(vendor_days(i), WINDOW, "vendor_day"), "vendor_day")
 
 
-q.view("top_hub_out", """SELECT w.* FROM windows w ANTI JOIN hub_cells h ON w.row = h.row AND w.col = h.col""")
+q.view("top_hub_out", """SELECT w.* FROM windows w ANTI JOIN top_hub_cells h ON w.row = h.row AND w.col = h.col""")
 
 
 @query("leave_top_endpoints_out", S, q.summary_sql("SELECT * FROM top_hub_out"))
 def leave_top_endpoints_out(i):
     """R10."""
-    return summarize(i.occ.join(t.hub_cells_of(i), ["row", "col"], "left_anti"))
+    return summarize(i.occ.join(t.top_hub_cells_of(i), ["row", "col"], "left_anti"))
 
 
 # ------------------------------------------------------- bootstraps and nulls

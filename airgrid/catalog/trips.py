@@ -132,7 +132,8 @@ def buffer_sql(cells: str, radius: int, edge: str = "discard") -> str:
 
 
 # In the derived telemetry nearly every cell is an endpoint; the busiest tenth serves as the anchor set.
-q.view("hub_cells", "SELECT row, col FROM (" + q.top_fraction_sql("SELECT * FROM endpoint_cells", "endpoint_count", "0.10::DOUBLE") + ")")
+q.view("hub_cells", "SELECT DISTINCT row, col FROM endpoint_cells")
+q.view("top_hub_cells", "SELECT row, col FROM (" + q.top_fraction_sql("SELECT * FROM endpoint_cells", "endpoint_count", "0.10::DOUBLE") + ")")
 q.view("hub_buffer1", buffer_sql("SELECT row, col FROM hub_cells", 1, "clamp"))
 
 OD_SPEC = ("order_id:s vendor:s start_row:i start_col:i start_lon:f start_lat:f start_time:t end_row:i end_col:i end_lon:f "
@@ -155,6 +156,12 @@ def endpoint_cells_of(i):
 
 @staged
 def hub_cells_of(i):
+    """All endpoint cells."""
+    return endpoint_cells_of(i).select("row", "col").distinct()
+
+
+@staged
+def top_hub_cells_of(i):
     return top_fraction(endpoint_cells_of(i), "endpoint_count", 0.10).select("row", "col")
 
 
