@@ -71,9 +71,12 @@ def _crow(i, group, source, where="", rho="rho_star", samples="samples"):
 
 
 _T = "a+b+c+d"
-_CONT = [_crow("main_full_sample", "main", "main_summary"), _crow("out_of_sample_forward", "out_of_sample", "holdout_rows", "WHERE half = 'second'", "NULL", _T),
-         _crow("out_of_sample_reverse", "out_of_sample", "holdout_rows", "WHERE half = 'first'", "NULL", _T), _crow("unique_flight_occupancy", "measurement_alternative", "unique_rows", samples=_T),
-         _crow("alternative_corridor_definition", "structure_alternative", "alt_rows", rho="NULL", samples=_T)]
+_MAIN = "(SELECT rho_star FROM main_break)"
+_CONT = [_crow("main_full_sample", "main", "main_summary"), _crow("out_of_sample_forward", "out_of_sample", "holdout_rows", "WHERE half = 'second'", _MAIN, _T),
+         _crow("out_of_sample_reverse", "out_of_sample", "holdout_rows", "WHERE half = 'first'", _MAIN, _T), _crow("unique_flight_occupancy", "measurement_alternative", "unique_rows", samples=_T),
+         _crow("alternative_corridor_definition", "structure_alternative", "alt_rows", rho=_MAIN, samples=_T)]
+_CONT += [_crow("leave_top_endpoint_out", "leave_group_out", f"({q.summary_sql('SELECT * FROM top_hub_out')})"),
+          _crow("leave_largest_backbone_cluster_out", "leave_group_out", f"({q.summary_sql('SELECT * FROM without_largest')})")]
 _CONT += [_crow(k, "endpoint_exclusion", "excluded_summary", f"WHERE subset = '{v}'") for k, v in _FOR.items()]
 _PHASES = ("near_endpoint_buffer", "away_from_endpoint_buffer", "low_altitude_lt_120m", "cruise_like_altitude_ge_180m", "away_from_endpoint_and_cruise_like")
 _CONT += [_crow(f"phase_{p}", "phase_altitude", "phase_summary", f"WHERE subset = '{p}'") for p in _PHASES]
@@ -82,19 +85,28 @@ _CONT += [_crow(f"phase_{p}", "phase_altitude", "phase_summary", f"WHERE subset
 @query("report_contingency", "analysis_id:s analysis_group:s rho_star:f samples:i a:i b:i c:i d:i rr:f4 rr_lo:f4 rr_hi:f4 odds_ratio:f4 or_lo:f4 or_hi:f4", " UNION ALL ".join(_CONT))
 def report_contingency(i):
     """S12 (2x2 tables)."""
-    hold = materialize(rb.chronological_holdout(i.windows))
+    main = core.critical_density(i.occ).select("rho_star").scalar()
+    hold = materialize(rb.chronological_holdout(i.windows).withColumn("rho_star", main))
     excluded = materialize(rb.cell_exclusion(i.windows, {"exact": t.hub_cells_of(i), "buffer": r.hub_buffer(i)}))
     phases = materialize(rb.phase_altitude(i.windows, r.hub_buffer(i)))
     flights = materialize(cells_op.flight_windows(i.points, WINDOW))
     parts = [("main_full_sample", "main", summarize(i.occ)), ("out_of_sample_forward", "out_of_sample", hold.where(F.col("split") == "forward")),
              ("out_of_sample_reverse", "out_of_sample", hold.where(F.col("split") == "reverse")),
              ("unique_flight_occupancy", "measurement_alternative", rb.unique_flight_occupancy(flights, core.backbone_cells(i.occ))),
-             ("alternative_corridor_definition", "structure_alternative", rb.alternative_backbone(i.windows, flights))]
+             ("alternative_corridor_definition", "structure_alternative", rb.alternative_backbone(i.windows, flights).withColumn("rho_star", main)),
+             ("leave_top_endpoint_out", "leave_group_out", r.leave_top_endpoints_out(i)),
+             ("leave_largest_backbone_cluster_out", "leave_group_out", g.leave_largest_component_out(i))]
     parts += [(k, "endpoint_exclusion", excluded.where(F.col("subset") == v)) for k, v in _FOR.items()]
     parts += [(f"phase_{p}", "phase_altitude", phases.where(F.col("subset") == p)) for p in _PHASES]
     return reports.contingency_table(parts)
 
 
+@query("report_contingency_p", "analysis_id:s a:i b:i c:i d:i fisher_p:f", r.fisher_sql("analysis_id", " UNION ALL ".join(_CONT)))
+def report_contingency_p(i):
+    """Fisher p of every reported 2x2 table."""
+    return report_contingency(i).withColumn("fisher_p", r.fisher_p("a", "b", "c", "d"))
+
+
 _SHORT = "rho_star, rr, odds_ratio, speed_drop_percent, samples, NULL AS n_runs, NULL AS rr_min, NULL AS rr_max"
 
 

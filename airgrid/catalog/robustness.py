@@ -224,9 +224,13 @@ def _log_choose(n: str, k: str) -> str:
 _LOG_P = f"{_log_choose('a+c', '{x}')} + {_log_choose('b+d', 'a+b-({x})')} - {_log_choose('a+b+c+d', 'a+b')}"
 
 
-@query("fisher_exact", "subset:s a:i b:i c:i d:i fisher_p:f",
-       f"""SELECT subset, a, b, c, d, least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7)) AS fisher_p FROM (SELECT *, {_LOG_P.format(x='x')} AS lp, {_LOG_P.format(x='a')} AS lobs FROM (
-       SELECT subset, a, b, c, d, unnest(range(greatest(0, a-d), least(a+c, a+b)+1)) AS x FROM (SELECT subset, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM band_summary))) GROUP BY subset, a, b, c, d""")
+def fisher_sql(name: str, tables: str) -> str:
+    """Two-sided Fisher p of each row (name, a, b, c, d)."""
+    return f"""SELECT {name}, a, b, c, d, least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7)) AS fisher_p FROM (SELECT *, {_LOG_P.format(x='x')} AS lp, {_LOG_P.format(x='a')} AS lobs FROM (
+       SELECT {name}, a, b, c, d, unnest(range(greatest(0, a-d), least(a+c, a+b)+1)) AS x FROM (SELECT {name}, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM ({tables})))) GROUP BY {name}, a, b, c, d"""
+
+
+@query("fisher_exact", "subset:s a:i b:i c:i d:i fisher_p:f", fisher_sql("subset", "SELECT * FROM band_summary"))
 def fisher_exact(i):
     """Fisher p on the fold tables of the altitude bands."""
     return rb.altitude_bands(i.windows).withColumn("fisher_p", fisher_p("a", "b", "c", "d"))

@@ -256,14 +256,14 @@ def monitoring_random_baseline(i):
 
 
 # ----------------------------------------------------------- endpoint heights
-q.view("terrain", "SELECT median_lat AS lat, median_lon AS lon, ((row*7 + col*3) % 80)::DOUBLE AS terrain_m FROM endpoint_alt")
-q.view("ep_base", """SELECT e.*, terrain_m, median_altitude - terrain_m AS rel_ground_m FROM endpoint_alt e JOIN (SELECT printf('%.6f,%.6f', lat, lon) AS key, max(terrain_m) AS terrain_m FROM terrain GROUP BY 1) t
+q.view("terrain", "SELECT median_lat AS lat, median_lon AS lon, ((row*7 + col*3) % 80)::DOUBLE AS terrain_m FROM endpoint_alt WHERE (row + col) % 13 <> 0")
+q.view("ep_base", """SELECT e.*, terrain_m, median_altitude - terrain_m AS rel_ground_m FROM endpoint_alt e LEFT JOIN (SELECT printf('%.6f,%.6f', lat, lon) AS key, max(terrain_m) AS terrain_m FROM terrain GROUP BY 1) t
   ON t.key = printf('%.6f,%.6f', median_lat, median_lon)""")
 q.view("ep_mid", "SELECT avg(median_lat) AS mid FROM ep_base")
 _PLANAR = "sqrt(power((b.lon - e.median_lon)*111320.0::DOUBLE*cos(radians(mid)), 2) + power((b.lat - e.median_lat)*111320.0::DOUBLE, 2))"
 q.view("ep_dist", f"SELECT e.row, e.col, e.rel_ground_m, building_height_m AS h, {_PLANAR} AS dist FROM ep_base e, ep_mid, buildings b WHERE building_height_m IS NOT NULL")
 q.view("ep_site", f"SELECT e.row, e.col, min({_PLANAR}) AS nearest_station_m FROM ep_base e, ep_mid, oper_sites b GROUP BY 1, 2")
-q.view("ep_class", """SELECT *, nearest_station_m <= 150 AS station_adjacent, CASE WHEN rel_ground_m <= 15 THEN 'ground_like' WHEN best_height_gap <= 20 THEN 'building_compatible' ELSE 'elevated_unresolved' END AS height_class FROM (
+q.view("ep_class", """SELECT *, nearest_station_m <= 150 AS station_adjacent, CASE WHEN rel_ground_m IS NULL THEN 'unknown' WHEN rel_ground_m <= 15 THEN 'ground_like' WHEN best_height_gap <= 20 THEN 'building_compatible' ELSE 'elevated_unresolved' END AS height_class FROM (
   SELECT e.*, nearest_bldg_dist_m, nearest_bldg_height_m, coalesce(bldg_count, 0) AS bldg_count, best_height_gap, best_match_height, best_match_dist, nearest_station_m FROM ep_base e
   JOIN (SELECT row, col, min(dist) AS nearest_bldg_dist_m, arg_min(h, row(dist, h)) AS nearest_bldg_height_m FROM ep_dist GROUP BY 1, 2) n USING (row, col)
   LEFT JOIN (SELECT row, col, count(*) AS bldg_count, min(abs(h - rel_ground_m)) AS best_height_gap, arg_min(h, row(abs(h - rel_ground_m), h, dist)) AS best_match_height,
@@ -276,7 +276,7 @@ def endpoint_table(i):
 
 
 def terrain_of(ends):
-    return ends.select(F.col("median_lat").alias("lat"), F.col("median_lon").alias("lon"), ((F.col("row") * 7 + F.col("col") * 3) % 80).cast("double").alias("terrain_m"))
+    return ends.where((F.col("row") + F.col("col")) % 13 != 0).select(F.col("median_lat").alias("lat"), F.col("median_lon").alias("lon"), ((F.col("row") * 7 + F.col("col") * 3) % 80).cast("double").alias("terrain_m"))
 
 
 def classified_of(i):
@@ -308,9 +308,9 @@ def height_quartiles(i):
 
 def _sens(radius, tol):
     gaps = f"SELECT row, col, min(abs(h - rel_ground_m)) AS gap FROM ep_dist WHERE dist <= {radius} GROUP BY 1, 2"
-    cls = f"CASE WHEN rel_ground_m <= 15 THEN 'ground_like' WHEN gap <= {tol} THEN 'building_compatible' ELSE 'elevated_unresolved' END"
+    cls = f"CASE WHEN rel_ground_m IS NULL THEN 'unknown' WHEN rel_ground_m <= 15 THEN 'ground_like' WHEN gap <= {tol} THEN 'building_compatible' ELSE 'elevated_unresolved' END"
     return (f"SELECT {radius} AS search_radius_m, {tol} AS height_tolerance_m, k.class_name, count(z.n)::DOUBLE/(SELECT count(*) FROM ep_base) AS cell_share, coalesce(sum(z.n), 0)::DOUBLE/(SELECT sum(n) FROM ep_base) AS touch_share"
-            f" FROM (SELECT unnest(['ground_like', 'building_compatible', 'elevated_unresolved']) AS class_name) k LEFT JOIN (SELECT {cls} AS class_name, n FROM ep_base LEFT JOIN ({gaps}) USING (row, col)) z USING (class_name) GROUP BY k.class_name")
+            f" FROM (SELECT unnest(['ground_like', 'building_compatible', 'elevated_unresolved', 'unknown']) AS class_name) k LEFT JOIN (SELECT {cls} AS class_name, n FROM ep_base LEFT JOIN ({gaps}) USING (row, col)) z USING (class_name) GROUP BY k.class_name")
 
 
 @query("height_sensitivity", "search_radius_m:i height_tolerance_m:i class_name:s cell_share:f touch_share:f", " UNION ALL ".join(_sens(a, b) for a in (100, 150) for b in (15, 20, 25)))

@@ -20,9 +20,9 @@ def terrain_key(lat: str, lon: str) -> Column:
 
 
 def with_terrain(endpoints: DataFrame, terrain: DataFrame) -> DataFrame:
-    """Height above ground from the terrain lookup (keyed by formatted coordinates)."""
+    """Height above ground from the terrain lookup (keyed by formatted coordinates); null where the lookup has no row."""
     lookup = terrain.where(F.col("terrain_m").isNotNull()).groupBy(terrain_key("lat", "lon").alias("key")).agg(F.max("terrain_m").alias("terrain_m"))
-    joined = endpoints.withColumn("key", terrain_key(*_POS)).join(lookup, "key").drop("key")
+    joined = endpoints.withColumn("key", terrain_key(*_POS)).join(lookup, "key", "left").drop("key")
     return joined.withColumn("rel_ground_m", F.col("median_altitude") - F.col("terrain_m"))
 
 
@@ -47,7 +47,7 @@ def building_matches(endpoints: DataFrame, buildings: DataFrame, mid_lat: Column
 
 
 def height_class(rel_ground: Column, gap: Column, tolerance: Column) -> Column:
-    return F.when(rel_ground <= GROUND_LIKE_M, "ground_like").when(gap <= tolerance, "building_compatible").otherwise("elevated_unresolved")
+    return F.when(rel_ground.isNull(), "unknown").when(rel_ground <= GROUND_LIKE_M, "ground_like").when(gap <= tolerance, "building_compatible").otherwise("elevated_unresolved")
 
 
 def classify(endpoints: DataFrame, terrain: DataFrame, buildings: DataFrame, sites: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def sensitivity(base: DataFrame, buildings: DataFrame, radii: Sequence[float] =
     spread = spread.withColumn("class_name", height_class(F.col("rel_ground_m"), F.col("gap"), F.col("height_tolerance_m")))
     by = ["search_radius_m", "height_tolerance_m"]
     totals = spread.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_t"))
-    frame = totals.withColumn("class_name", F.explode(F.array(*[F.lit(c) for c in ("ground_like", "building_compatible", "elevated_unresolved")])))
+    frame = totals.withColumn("class_name", F.explode(F.array(*[F.lit(c) for c in ("ground_like", "building_compatible", "elevated_unresolved", "unknown")])))
     counts = spread.groupBy(*by, "class_name").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     return frame.join(counts, by + ["class_name"], "left").na.fill(0, ["c", "t"]).select(
         *by, "class_name", (F.col("c") / F.col("_c")).alias("cell_share"), (F.col("t") / F.col("_t")).alias("touch_share"))
