@@ -149,8 +149,9 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 def mix(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each time that a document is taken, spread over ``shards``
-    partitions and shuffled inside. A document that was cut counts as taken if at least half of it was."""
-    plan = plan_mix(docs, shards=shards, **options).filter("size > 0").groupBy("doc_id").agg(F.first("passes").alias("__passes"), F.first("size").alias("__size"))
-    taken = plan.select("doc_id", "__size", F.explode("__passes").alias("__p")).filter(F.col("__p.words") * 2 >= F.col("__size"))
-    rows = docs.join(taken.select("doc_id", F.col("__p.shard").alias("__shard")), "doc_id")
+    partitions and shuffled inside. A document that was cut counts as taken if at least half of it was. Rows that share an id share
+    one decision."""
+    plan = plan_mix(docs, shards=shards, **options).filter("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("passes").alias("__passes"), F.max("size").alias("__size"))
+    taken = plan.select("__id", "__size", F.explode("__passes").alias("__p")).filter(F.col("__p.words") * 2 >= F.col("__size"))
+    rows = docs.join(taken.select("__id", F.col("__p.shard").alias("__shard")), F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", F.xxhash64("doc_id", "__shard", F.lit("mix"))).select(*docs.columns)
