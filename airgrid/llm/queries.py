@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import ann, bpe, minhash, mixing, pii, quality, rules, suffix, tokens, toxicity
+from airgrid.llm import ann, bpe, minhash, mixing, oracles, pii, quality, rules, suffix, tokens, toxicity
 from airgrid.llm.common import table
 
 
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": oracles.OP9, "op10_minhash_near_dedup": oracles.OP10}
