@@ -3,8 +3,8 @@
 Texts are cut at every change from a visible character to white space; such a chunk holds whole matches of the pattern, so
 equal chunks have equal tokens. Words (matches) that a task hasn't met yet become token-position rows in DuckDB, one row per byte.
 A recursive query joins neighbouring rows with the merge table, takes each word's pair of the least rank and contracts its leftmost
-occurrence; occurrences further right follow in the same step if no contraction of this pair can bring up a lower rank (a fixed
-property of the rank table), so that a long run takes few steps. It ends when no word has a pair left. A word that is
+occurrence. In words over ``LONG`` bytes a step also contracts all pairs that no other contraction can forestall, and only a bounded number of
+rounds is kept (``ROWS_AT_ONCE``), so that neither long runs nor long unbroken words add up. It ends when no word has a pair left. A word that is
 a token itself is that token. Decoding joins id rows with the vocabulary and aggregates the bytes in order.
 
 The vocabulary (under 1 MB) is read on the driver and broadcast; a task keeps at most about ``KNOWN`` chunks and words.
@@ -30,6 +30,10 @@ from airgrid.llm.common import slices, utf8_texts
 
 KNOWN = 500_000
 WORDS_AT_ONCE, LONG = 20_000, 64
+#: Rows that the rounds of one query hold together.
+ROWS_AT_ONCE = 2_000_000
+#: Rounds after which the borders of long words are looked at again.
+ROUNDS = 8
 #: White space as the pattern's \s has it: the Unicode property.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
@@ -49,24 +53,31 @@ WITH RECURSIVE step AS (
   WHERE s.i <> b.j)
 SELECT w, i, t FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) ORDER BY w, i
 """
-#: For longer words: a step also contracts the occurrences further right where that can't bring up a lower rank.
+#: For longer words: a step contracts every pair that nothing can forestall. ``low`` is the least rank of a token that the word has across
+#: the border behind the row, so no contraction across it has a lower rank. A pair is free if both neighbouring borders have a greater one than its
+#: own rank; so is a run of equal ranks between such borders, every other one from the left, if no lower rank lies inside. Besides, the least
+#: pair is contracted: all its occurrences if that can't bring up a lower rank, else the leftmost. At most {rounds} rounds are kept.
 ENCODE_LONG = """
 WITH RECURSIVE step AS (
-  SELECT w, i, t, 0 AS round FROM start
+  SELECT w, i, t, low, 0 AS round FROM start
   UNION ALL
-  SELECT w, i, t, round FROM (
+  SELECT w, i, t, low, round FROM (
     WITH pairs AS (
-      SELECT s.w, s.i, s.t, s.round, m.c, m.alone
-      FROM (SELECT w, i, t, round, lead(t) OVER (PARTITION BY w ORDER BY i) AS n FROM step) s
+      SELECT s.w, s.i, s.t, s.low, s.next_low, s.round, m.c, m.alone, s.last_low
+      FROM (SELECT *, lead(t) OVER o AS n, coalesce(lead(low) OVER o, 1 << 30) AS next_low, coalesce(lag(low) OVER o, 1 << 30) AS last_low
+            FROM step WHERE round < {rounds} WINDOW o AS (PARTITION BY w ORDER BY i)) s
       LEFT JOIN merges m ON m.a = s.t AND m.b = s.n),
-    least AS (SELECT *, min(c) OVER (PARTITION BY w) AS best FROM pairs),
-    nth AS (SELECT *, CASE WHEN c = best THEN row_number() OVER (PARTITION BY w, c IS NOT DISTINCT FROM best ORDER BY i) END AS k FROM least WHERE best IS NOT NULL),
-    spot AS (SELECT *, CASE WHEN k IS NULL THEN 0 WHEN alone THEN CAST(k = 1 AS INT)
-                            ELSE row_number() OVER (PARTITION BY w, i - k, k IS NULL ORDER BY i) % 2 END AS taken FROM nth),
-    joined AS (SELECT *, lag(taken) OVER (PARTITION BY w ORDER BY i) AS gone FROM spot)
-    SELECT w, row_number() OVER (PARTITION BY w ORDER BY i) - 1 AS i, CASE WHEN taken = 1 THEN best ELSE t END AS t, round + 1 AS round
+    near AS (SELECT *, min(c) OVER (PARTITION BY w) AS best,
+                    (c IS NOT DISTINCT FROM lag(c) OVER o OR last_low > c) AND (c IS NOT DISTINCT FROM lead(c) OVER o OR next_low > c) AND (low = c OR (last_low > c AND next_low > c)) AS apart
+             FROM pairs WINDOW o AS (PARTITION BY w ORDER BY i)),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY w, c ORDER BY i) AS k FROM near WHERE best IS NOT NULL),
+    runs AS (SELECT *, row_number() OVER (PARTITION BY w, c, i - k ORDER BY i) % 2 AS odd, bool_and(apart) OVER (PARTITION BY w, c, i - k) AS free FROM nth),
+    spot AS (SELECT *, CASE WHEN c IS NULL THEN 0 WHEN free THEN odd WHEN c > best THEN 0 WHEN alone THEN CAST(k = 1 AS INT) ELSE odd END AS taken FROM runs),
+    joined AS (SELECT *, lag(taken) OVER o AS gone, row_number() OVER o AS place FROM spot WINDOW o AS (PARTITION BY w ORDER BY i))
+    SELECT w, (row_number() OVER (PARTITION BY w ORDER BY place) - 1)::INT AS i, CASE WHEN taken = 1 THEN c ELSE t END AS t,
+           (CASE WHEN taken = 1 THEN next_low ELSE low END)::INT AS low, round + 1 AS round
     FROM joined WHERE coalesce(gone, 0) = 0))
-SELECT w, i, t FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last ORDER BY w, i
+SELECT w, i, t, last FROM (SELECT w, i, t, round, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last ORDER BY w, i
 """
 DECODE = "SELECT d, string_agg(v.bytes, '' ORDER BY p) AS bytes FROM ids JOIN vocabulary v ON v.id = ids.t GROUP BY d ORDER BY d"
 
@@ -105,6 +116,7 @@ class Codec:
         names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([k.decode("latin-1") for k in ranks])})
         self.db.register("names", names)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM names")
+        self.starts: set[bytes] = set()  # of the tokens, made for the first long word
         self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # chunks
         self.met: dict[bytes, bytes] = {}  # words that aren't tokens
@@ -115,38 +127,85 @@ class Codec:
         out |= {w: self.met[w] for w in words if w in self.met}
         if len(self.met) > KNOWN:
             self.met.clear()
-        for long in (False, True):
-            fresh = self._merged([w for w in words if w not in out and (len(w) > LONG) == long], ENCODE_LONG if long else ENCODE)
-            out |= fresh
-            if not long:
-                self.met |= fresh
-        return out
+        short = self._merged([w for w in words if w not in out and len(w) <= LONG], False)
+        self.met |= short
+        return out | short | self._merged([w for w in words if w not in out and len(w) > LONG], True)
 
-    def _merged(self, rest: list[bytes], query: str) -> dict[bytes, bytes]:
+    def _merged(self, rest: list[bytes], long: bool) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
         at = 0
         while at < len(rest):
-            part, held = [], 0
-            while at < len(rest) and len(part) < WORDS_AT_ONCE and (not part or held + len(rest[at]) < 400_000):
-                held += len(rest[at])
+            part, held, rows = [], 0, 0
+            while at < len(rest) and len(part) < WORDS_AT_ONCE:
+                n = len(rest[at])
+                rows += n * (n + 1) // 2  # a round contracts a pair of a short word at least; _rounds bounds those of long words
+                if part and (held + n >= 400_000 or not long and rows > ROWS_AT_ONCE):
+                    break
+                held += n
                 part.append(rest[at])
                 at += 1
             lengths = np.array([len(w) for w in part])
             first = np.cumsum(lengths) - lengths
             of_word = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
             place, token = np.arange(held) - np.repeat(first, lengths), self.single[np.frombuffer(b"".join(part), np.uint8)]
-            end = np.append(of_word[1:] != of_word[:-1], True)  # of a word: there is no next token
-            start = pa.table({"w": of_word, "i": place.astype(np.int32), "t": token, "j": np.where(end, -1, place + 1).astype(np.int32),
-                              "u": np.where(end, -1, np.append(token[1:], -1)).astype(np.int32)})
-            self.db.register("start", start)
-            got = self.db.sql(query).to_arrow_table()
-            self.db.unregister("start")
-            of, ids = got["w"].to_numpy(), got["t"].to_numpy().astype("<u4")
+            if long:
+                of, ids = self._rounds(of_word, place.astype(np.int32), token)
+            else:
+                end = np.append(of_word[1:] != of_word[:-1], True)  # of a word: there is no next token
+                start = pa.table({"w": of_word, "i": place.astype(np.int32), "t": token, "j": np.where(end, -1, place + 1).astype(np.int32),
+                                  "u": np.where(end, -1, np.append(token[1:], -1)).astype(np.int32)})
+                got = self._query(ENCODE, start)
+                of, ids = got["w"].to_numpy(), got["t"].to_numpy()
             cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            data = ids.tobytes()
+            data = ids.astype("<u4").tobytes()
             out |= {w: data[4 * cuts[k]:4 * cuts[k + 1]] for k, w in enumerate(part)}
         return out
 
+    def _query(self, query: str, start: pa.Table) -> pa.Table:
+        self.db.register("start", start)
+        got = self.db.sql(query).to_arrow_table()
+        self.db.unregister("start")
+        return got
+
+    def _borders(self, of_word: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """For the border behind each row, the least rank of a token across it that starts and ends where rows do."""
+        if not self.starts:
+            self.starts = {t[:k] for t in self.ranks for k in range(1, len(t) + 1)}
+            self.token = {i: t for t, i in self.ranks.items()}
+        parts = [self.token[t] for t in token.tolist()]
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        ends = np.append(np.flatnonzero(of_word[1:] != of_word[:-1]) + 1, len(of_word))[np.cumsum(np.append(0, of_word[1:] != of_word[:-1]))].tolist()
+        for at, end in enumerate(ends):
+            text = parts[at]
+            for k in range(at + 1, end):
+                text += parts[k]
+                if text not in self.starts:
+                    break
+                rank = self.ranks.get(text)
+                if rank is not None:
+                    first, ranks = found.setdefault(k - at, ([], []))
+                    first.append(at)
+                    ranks.append(rank)
+        low = np.full(len(token), 1 << 30, np.int32)
+        for borders, (first, ranks) in found.items():
+            for k in range(borders):
+                spot = np.array(first) + k
+                low[spot] = np.minimum(low[spot], ranks)
+        return low
+
+    def _rounds(self, of_word: np.ndarray, place: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and id of each token of long words: a bounded number of rounds in a query, whose newest round the next query starts from."""
+        ended = []
+        while len(of_word):
+            rounds = min(ROUNDS, max(1, ROWS_AT_ONCE // len(of_word) - 1))
+            got = self._query(ENCODE_LONG.format(rounds=rounds), pa.table({"w": of_word, "i": place, "t": token, "low": self._borders(of_word, token)}))
+            of_word, place, token, more = got["w"].to_numpy(), got["i"].to_numpy(), got["t"].to_numpy(), got["last"].to_numpy() == rounds
+            ended.append((of_word[~more], token[~more]))
+            of_word, place, token = of_word[more], place[more], token[more]
+        of, ids = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(of, kind="stable")
+        return of[order], ids[order]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         chunked = [self.chunks.findall(t) for t in texts]

@@ -110,6 +110,17 @@ def test_bpe_of_odd_words(ranks):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode_ordinary(t) for t in odd]
 
 
+def test_bpe_of_very_long_words(ranks):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = [chr(97 + k) for k in range(26)]
+    long = ["".join(RNG.choice(letters, 60_000)), "".join(RNG.choice(letters[:2], 50_000)), " ".join("".join(RNG.choice(letters, 8000)) for _ in range(10)),
+            "".join(c * int(k) for c, k in zip(RNG.choice(letters, 9000), RNG.integers(1, 9, 9000), strict=True)), "".join(map(chr, RNG.integers(0x4E00, 0x9FFF, 17_000)))]
+    got = bpe.Codec(ranks, public_tokenizers.PATTERN).encode(long)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode_ordinary(t) for t in long]
+
+
 # --- repeated strings --------------------------------------------------------
 
 def plain_removal(texts):
