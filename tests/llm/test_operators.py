@@ -201,6 +201,19 @@ def test_classifiers_without_labels_or_rows(spark, docs, none):
     assert toxicity.classify(none, labels).count() == 0 and quality.classify(none, labels).count() == 0
 
 
+def test_long_texts_leave_the_labelled_sample_whole(spark):
+    rows = [(i, "x" * 90_000 if i % 10 == 0 else prose(20)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, toxic int")
+    every = F.lit(True)
+    with pytest.warns(UserWarning, match="10 of 100 labelled texts"):
+        got = toxicity.labelled_sample(docs, labels, "toxic", every, 1000, 80_000)
+    assert {r.doc_id for r in got} == {i for i in range(100) if i % 10}
+    with pytest.raises(ValueError, match="nothing to learn"):
+        toxicity.labelled_sample(docs.filter("doc_id % 10 = 0"), labels, "toxic", every, 1000, 80_000)
+    assert toxicity.labelled_sample(docs, labels.limit(0), "toxic", every, 1000, 80_000) == []
+
+
 def test_passages_cover_whole_texts():
     x, first = quality.passages([b"", b"a" * 513, b"b" * 1024])
     assert first.tolist() == [0, 1, 3] and len(x) == 5
