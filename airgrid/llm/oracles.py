@@ -38,3 +38,51 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT doc_id, doc_id AS c FROM sets UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
 FROM sets JOIN (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)"""
+
+OP11 = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(text=_LOWER.format(text="coalesce(text, '')"))} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]) END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS c FROM sets UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)"""
+
+OP12 = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+                 ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM docs),
+formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS low, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS high,
+                  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+pieces AS (SELECT *, substring(text, 1, low) AS p, substring(text, low + 1, high - low) AS m, substring(text, high + 1) AS s FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces"""
+
+
+def _centroids(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    square = "list_sum(list_transform(list_zip(v.xs, c.xs), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS xs FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {dims}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, xs) - 1)::INTEGER AS c, xs
+  FROM (SELECT sha256('2:' || vec_id) AS h, xs FROM kept ORDER BY h, xs LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(xs) AS xs, min(d) AS d, arg_min(c, (d, c)) AS c
+  FROM (SELECT v.vec_id, v.xs, c.c, {square} AS d FROM kept v, c{i} c) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT c, list((((s - ((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS xs
+  FROM (SELECT c, i, sum(xs[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, {dims + 1}) r(i) GROUP BY c, i) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.xs, c.xs) AS xs FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.xs, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+OP13 = _centroids()

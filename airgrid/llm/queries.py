@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import ann, bpe, minhash, mixing, oracles, pii, quality, rules, suffix, tokens, toxicity
+from airgrid.llm import ann, bpe, fim, laesa, minhash, mixing, oracles, pii, quality, rules, suffix, tokengroups, tokens, toxicity
 from airgrid.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokengroups.classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,5 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op8_pii": op8_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_token_groups": op11_token_groups,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroids": op13_centroids,
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": oracles.OP9, "op10_minhash_near_dedup": oracles.OP10}
+ORACLES: dict[str, str] = {"op9_quality_rules": oracles.OP9, "op10_minhash_near_dedup": oracles.OP10,
+                           "op11_token_groups": oracles.OP11, "op12_fill_in_middle": oracles.OP12, "op13_centroids": oracles.OP13}
