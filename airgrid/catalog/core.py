@@ -130,9 +130,13 @@ def congestion_metrics(i):
     return core.congestion_metrics(i.occ, i.windows, core.rho_star(i.occ))
 
 
-@query("congestion_correlation_p", "correlation:f p_value:f")
+# p of r with n pairs: incomplete beta at 1 - r^2 as an integral over u = (1 - r^2) exp(-v^2 / a), by Simpson's rule
+@query("congestion_correlation_p", "correlation:f p_value:f n_samples:i",
+       """SELECT r AS correlation, n AS n_samples, exp(a * ln(x) - lgamma(a) - lgamma(0.5::DOUBLE) + lgamma(a + 0.5::DOUBLE)) / a * sum(w * 2 * v * exp(-v * v) / sqrt(1 - x * exp(-v * v / a))) AS p_value FROM (
+       SELECT *, (n - 2) / 2.0::DOUBLE AS a, 1 - r * r AS x FROM (SELECT corr(n_points::DOUBLE, mean_speed) AS r, count(*) AS n FROM windows WHERE n_points > 0 AND mean_speed IS NOT NULL)),
+       (SELECT k * 0.001::DOUBLE AS v, CASE WHEN k IN (0, 7000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * 0.001::DOUBLE / 3 AS w FROM (SELECT unnest(range(0, 7001)) AS k)) GROUP BY r, n, a, x""")
 def congestion_correlation_p(i):
-    """P-value from the t distribution."""
+    """P-value from the t distribution, as an expression of the one result row."""
     return core.congestion_metrics(i.occ, i.windows, core.rho_star(i.occ))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.operators.buffers import neighbour_pairs
+from airgrid.operators.joins import lookup_join
 from airgrid.operators.ranking import cumulative_by_value, weighted_median
 from airgrid.session import materialize
 
@@ -29,27 +30,39 @@ def symmetric(edges: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = ()
     return edges.select(*by, "src", "dst", *keep).unionByName(flipped)
 
 
+def _followed(hooks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, target): each label's target, its target's target and so on, to the end; targets are smaller than labels."""
+    while True:
+        ends = hooks.select(*by, F.col("label").alias("target"), F.col("target").alias("far"))
+        hooks = materialize(lookup_join(hooks, ends, by + ["target"]).select(
+            *by, "label", F.coalesce("far", "target").alias("target"), F.col("far").isNotNull().alias("moved")))
+        done = hooks.where("moved").isEmpty()
+        hooks = hooks.drop("moved")
+        if done:
+            return hooks
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, node, label): label is the smallest node of the component; isolated nodes keep their own.
 
-    Each round takes the smallest label among neighbours and then follows
-    labels to their labels, so long chains shrink geometrically.
+    Only nodes whose label changed tell their neighbours. A label that meets a smaller one is hooked to it as a whole, chains
+    of hooks are followed to their ends, and all nodes of a hooked label take the end's: one round joins
+    whole trees. Labels of giant components are looked up without moving all their nodes to one task.
     """
     by = list(by)
     links = materialize(symmetric(edges, by).where(F.col("src") != F.col("dst")).distinct())
     labels = materialize(nodes.select(*by, "node").distinct().withColumn("label", F.col("node")))
+    frontier = labels
     while True:
-        near = links.join(labels.withColumnRenamed("node", "src"), by + ["src"]).groupBy(*by, F.col("dst").alias("node")).agg(
-            F.min("label").alias("near"))
-        low = labels.join(near, by + ["node"], "left").select(
-            *by, "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = low.select(*by, F.col("node").alias("low"), F.col("low").alias("far"))
-        moved = low.join(jump, by + ["low"], "left").select(
-            *by, "node", F.least("low", F.coalesce("far", "low")).alias("label"), "old")
-        moved = materialize(moved)
-        labels = moved.select(*by, "node", "label")
-        if moved.where(F.col("label") < F.col("old")).isEmpty():
+        told = links.join(frontier.select(*by, F.col("node").alias("src"), F.col("label").alias("near")), by + ["src"]).groupBy(
+            *by, F.col("dst").alias("node")).agg(F.min("near").alias("near"))
+        hooks = told.join(labels, by + ["node"]).where(F.col("near") < F.col("label")).groupBy(*by, "label").agg(F.min("near").alias("target"))
+        hooks = materialize(hooks)
+        if hooks.isEmpty():
             return labels
+        moved = lookup_join(labels, _followed(hooks, by), by + ["label"])
+        moved = materialize(moved.select(*by, "node", F.coalesce("target", "label").alias("label"), F.col("target").isNotNull().alias("moved")))
+        labels, frontier = moved.drop("moved"), moved.where("moved").drop("moved")
 
 
 def cell_components(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -153,30 +166,44 @@ def local_clustering(edges: DataFrame, degrees: DataFrame, by: Sequence[str] = (
         *by, "node", F.when(k < 2, F.lit(0.0)).otherwise(F.lit(2.0) * F.col("t") / (k * (k - 1))).alias("clustering"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), *, tolerance: float = 1e-12) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), *, tolerance: float = 1e-12, batch: int = 2000) -> DataFrame:
     """Shortest-path betweenness for all nodes (undirected, each pair counted once).
 
-    ``edges`` are undirected with ``cost``. All sources advance together:
-    distances by frontier relaxation, path counts and dependencies by waves
-    along the shortest-path edges. Costs within ``tolerance`` tie.
+    ``edges`` are undirected with ``cost``; costs within ``tolerance`` tie. Sources are worked off in batches of about ``batch`` nodes,
+    so that the state of a batch has at most batch x nodes rows, and only a batch's node scores are kept.
     """
     by = list(by)
-    pair, links = by + ["s", "v"], materialize(symmetric(edges, by, ["cost"]))
-    start = nodes.select(*by, F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"))
-    dist = materialize(start)
-    frontier = dist
-    steps = links.withColumnRenamed("src", "v")
+    nodes = materialize(nodes.select(*by, "node").distinct())
+    links = materialize(symmetric(edges, by, ["cost"]))
+    batches = -(-nodes.count() // batch)
+    scores = None
+    for number in range(batches):
+        sources = nodes if batches == 1 else nodes.where(F.pmod(F.xxhash64(*by, "node"), F.lit(batches)) == number)
+        part = _dependencies(sources, links, by, tolerance)
+        scores = part if scores is None else scores.unionByName(part)
+    if scores is None:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    total = scores.groupBy(*by, "node").agg((F.sum("x") / 2).alias("betweenness"))
+    return nodes.join(total, by + ["node"], "left").na.fill(0.0, ["betweenness"])
+
+
+def _dependencies(sources: DataFrame, links: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """(by, node, x): sum over the sources of the share of their shortest paths that pass through each node.
+
+    Distances come in waves that are only appended: a wave has the pairs whose distance got shorter, and the
+    distance of a pair is its least one. Path counts follow the shortest-path edges outwards, dependencies inwards.
+    """
+    pair, steps = by + ["s", "v"], links.withColumnRenamed("src", "v")
+    start = materialize(sources.select(*by, F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d")))
+    known, wave = start, start
     while True:
-        reach = frontier.join(steps, by + ["v"]).groupBy(*by, "s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("cost")).alias("nd"))
-        better = F.col("d").isNull() | (F.col("nd") < F.col("d") - tolerance)
-        dist = materialize(dist.join(reach, pair, "full").select(
-            *pair, F.when(F.col("nd").isNotNull() & better, F.col("nd")).otherwise(F.col("d")).alias("d"),
-            (F.col("nd").isNotNull() & better).alias("changed")))
-        frontier = dist.where("changed").drop("changed")
-        if frontier.isEmpty():
+        reach = wave.join(steps, by + ["v"]).groupBy(*by, "s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("cost")).alias("d"))
+        least = known.groupBy(*pair).agg(F.min("d").alias("least"))
+        wave = materialize(reach.join(least, pair, "left").where(F.col("least").isNull() | (F.col("d") < F.col("least") - tolerance)).select(*pair, "d"))
+        if wave.isEmpty():
             break
-        dist = dist.drop("changed")
-    dist = dist.drop("changed") if "changed" in dist.columns else dist
+        known = known.unionByName(wave)
+    dist = materialize(known.groupBy(*pair).agg(F.min("d").alias("d")))
     ends = dist.select(*by, "s", F.col("v").alias("dst"), F.col("d").alias("d_end"))
     dag = dist.join(steps, by + ["v"]).join(ends, by + ["s", "dst"]).where(
         F.abs(F.col("d") + F.col("cost") - F.col("d_end")) <= tolerance).select(*pair, "dst")
@@ -190,18 +217,16 @@ def betweenness(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), *, t
                 return materialize(total.groupBy(*pair).agg(F.sum("x").alias("x")))
             total = total.unionByName(wave)
 
-    forward = lambda w: w.join(dag, pair).groupBy(*by, "s", F.col("dst").alias("v")).agg(F.sum("x").alias("x"))
+    forward = lambda w: w.join(dag, pair).groupBy(*by, "s", F.col("dst").alias("v")).agg(F.sum("x").alias("x"))
     sigma = waves(start.select(*pair, F.lit(1.0).alias("x")), forward).withColumnRenamed("x", "sigma")
     tails = sigma.select(*by, "s", F.col("v").alias("dst"), F.col("sigma").alias("sigma_end"))
     flow = materialize(dag.join(sigma, pair).join(tails, by + ["s", "dst"]).select(
         *by, "s", "v", "dst", (F.col("sigma") / F.col("sigma_end")).alias("r")))
-    back = lambda w: w.select(*by, "s", F.col("v").alias("dst"), "x").join(flow, by + ["s", "dst"]).groupBy(*pair).agg(
+    back = lambda w: w.select(*by, "s", F.col("v").alias("dst"), "x").join(flow, by + ["s", "dst"]).groupBy(*pair).agg(
         F.sum(F.col("r") * F.col("x")).alias("x"))
     ones = sigma.where(F.col("s") != F.col("v")).select(*pair, F.lit(1.0).alias("x"))
-    through = waves(ones, back)  # 1 + dependency for every pair with s != v
-    score = through.where(F.col("s") != F.col("v")).groupBy(*by, F.col("v").alias("node")).agg(
-        (F.sum(F.col("x") - 1.0) / 2).alias("betweenness"))
-    return nodes.select(*by, "node").distinct().join(score, by + ["node"], "left").na.fill(0.0, ["betweenness"])
+    through = waves(ones, back).where(F.col("s") != F.col("v"))  # 1 + dependency for every pair with s != v
+    return materialize(through.groupBy(*by, F.col("v").alias("node")).agg(F.sum(F.col("x") - 1.0).alias("x")))
 
 
 def normalized(value, n_nodes):

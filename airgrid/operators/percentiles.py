@@ -4,16 +4,19 @@ The built-in exact ``percentile`` keeps a map of all distinct values of a
 group in one task. That is fine for bounded integer measures. For continuous
 measures this operator counts values on a fixed lattice first (partial
 aggregation, tiny shuffle), then looks only at the few lattice bins that hold
-the wanted order statistics, and there at distinct values.
+the wanted order statistics. A bin with many values gets a second, finer lattice
+of its own, and only the parts with the order statistics are sorted by value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CROWD, MOST_CELLS, SALTS = 4096, 1 << 16, 16
+
 
 def exact_percentiles(df: DataFrame, value: str, probs: Mapping[str, float], *, width: float,
                       by: Sequence[str] = ()) -> DataFrame:
@@ -33,16 +36,30 @@ def exact_percentiles(df: DataFrame, value: str, probs: Mapping[str, float], *,
         "_total": F.sum("_n").over(Window.partitionBy(*by)),
     })
     position = {name: (F.col("_total") - 1) * F.lit(float(q)) for name, q in probs.items()}
-    inside = F.lit(False)
-    for pos in position.values():
-        for rank in (F.floor(pos), F.ceil(pos)):
-            inside = inside | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n")))
-    wanted = hist.where(inside).drop("_n")
-
-    values = data.join(wanted, by + ["_b"]).groupBy(*by, "_b", "_v").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
-    run = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+
+    def hit(start: Column, count: Column) -> Column:
+        """Whether one of the wanted ranks lies in a run of ``count`` rows from ``start`` on."""
+        found = F.lit(False)
+        for pos in position.values():
+            for rank in (F.floor(pos), F.ceil(pos)):
+                found = found | ((rank >= start) & (rank < start + count))
+        return found
+
+    inside = hit(F.col("_before"), F.col("_n"))
+    # bins with the wanted order statistics; crowded ones are cut into cells of about CROWD rows
+    cells = F.least(F.lit(MOST_CELLS), F.ceil(F.col("_n") / CROWD)).cast("bigint")
+    wanted = hist.where(inside).select(*by, "_b", "_before", "_total", cells.alias("_cells"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    cell = F.floor((F.col("_v") / F.lit(float(width)) - F.col("_b")) * F.col("_cells")).cast("bigint")
+    # the salt spreads the rows of one bin over tasks
+    values = data.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS))).join(wanted, by + ["_b", "_salt"]).groupBy(
+        *by, "_b", cell.alias("_c"), "_v").agg(F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+    fine = values.groupBy(*by, "_b", "_c").agg(F.sum("_n").alias("_m"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+    ahead = Window.partitionBy(*by, "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
+    fine = fine.where(hit(F.col("_before"), F.col("_m"))).select(*by, "_b", "_c", F.col("_before").alias("_from"))
+    values = values.join(fine, by + ["_b", "_c"])
+    run = Window.partitionBy(*by, "_b", "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_start", F.col("_from") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
     values = values.withColumn("_end", F.col("_start") + F.col("_n"))
 
     def at(rank):

@@ -7,9 +7,10 @@ time-shuffle null is the exception: permuting cell labels needs every window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions.draws import digest, draw_grid, draw_index, iterated
@@ -109,9 +110,38 @@ def time_shuffle_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> Data
 
 
 def random_cells(cells: DataFrame, k: Column, n: int, seed: int) -> DataFrame:
-    """``k`` cells per iteration, drawn without replacement."""
-    spread = iterated(cells, n)
-    return _hash_rank(spread, ["iter"], ["row", "col"], seed, F.col("iter")).where(F.col("rank") <= k)
+    """``k`` cells per iteration, drawn without replacement: those with the smallest hashes.
+
+    A histogram of the hashes' leading digits gives each iteration the prefix in which its k-th hash lies. Cells with a
+    smaller prefix are in, and only those at that prefix are ranked.
+    """
+    hashed = _with_prefix(cells, n, seed)
+    edge = _boundaries(hashed.groupBy("iter", "_p").agg(F.count(F.lit(1)).alias("_n")), k).select("iter", F.col("_p").alias("_edge"), "_room")
+    placed = hashed.join(edge, "iter").where(F.col("_p") <= F.col("_edge"))
+    sure = placed.where(F.col("_p") < F.col("_edge"))
+    rank = F.row_number().over(Window.partitionBy("iter").orderBy("_h", "row", "col"))
+    last = placed.where(F.col("_p") == F.col("_edge")).withColumn("_r", rank).where(F.col("_r") <= F.col("_room")).drop("_r")
+    return sure.unionByName(last).drop("_h", "_p", "_edge", "_room")
+
+
+def _with_prefix(cells: DataFrame, n: int, seed: int) -> DataFrame:
+    """Every cell once per iteration with its hash; the prefix is so long that few cells of an iteration share one."""
+    digits = max(1, math.ceil(math.log(max(cells.count(), 16) / 8, 16)))
+    hashed = iterated(cells, n).withColumn("_h", digest(F.lit(seed), F.col("iter"), F.col("row"), F.col("col")))
+    return hashed.withColumn("_p", F.substring("_h", 1, digits))
+
+
+def _boundaries(hist: DataFrame, k: Column, by: str | None = None) -> DataFrame:
+    """Rows of a histogram (iter, _p, _n[, _x]) in which the k-th hash of an iteration lies, with what comes before and the places left.
+
+    ``by`` names a column whose values have a histogram and a k each.
+    """
+    groups = ["iter"] + ([by] if by else [])
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    running = hist.withColumns({f"_before{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_n", "_x") if c in hist.columns})
+    size = F.least(k, F.sum("_n").over(Window.partitionBy(*groups)))
+    running = running.withColumn("_room", size - F.col("_before_n"))
+    return running.where((F.col("_room") > 0) & (F.col("_room") <= F.col("_n")))
 
 
 def random_backbone_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> DataFrame:
@@ -189,12 +219,15 @@ def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Co
 def monitoring_baseline(cells: DataFrame, budgets: DataFrame, n: int = 2000, seed: int = SEED) -> DataFrame:
     """Captured exceedance share of random cell sets, per budget (strategy, budget_cells, observed_share)."""
     total = cells.agg(F.sum("exceedance_count")).scalar()
-    spread = iterated(cells.select("row", "col", "exceedance_count"), n)
-    ranked = _hash_rank(spread, ["iter"], ["row", "col"], seed, F.col("iter")).select("iter", "rank", "exceedance_count")
-    limits = F.explode(budgets.select(F.collect_list(F.struct("strategy", "budget_cells", "observed_share"))).scalar())
-    inside = ranked.withColumn("_b", limits).where(F.col("rank") <= F.col("_b.budget_cells"))
-    shares = inside.groupBy("_b.strategy", "_b.budget_cells", "_b.observed_share", "iter").agg(
-        (F.sum("exceedance_count") / total).alias("share"))
+    hashed = _with_prefix(cells.select("row", "col", "exceedance_count"), n, seed)
+    hist = materialize(hashed.groupBy("iter", "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("exceedance_count").alias("_x")))
+    limits = F.explode(budgets.select(F.collect_list(F.struct("strategy", "budget_cells", "observed_share"))).scalar())  # one row per strategy
+    edges = materialize(_boundaries(hist.withColumn("_b", limits).select("iter", "_p", "_n", "_x", "_b"), by="_b", k=F.col("_b.budget_cells")))
+    rank = F.row_number().over(Window.partitionBy("iter", "_p").orderBy("_h", "row", "col"))
+    near = hashed.join(edges.select("iter", "_p").distinct(), ["iter", "_p"]).withColumn("_r", rank).select("iter", "_p", "_r", "exceedance_count")
+    last = edges.select("iter", "_p", "_b", "_room").join(near, ["iter", "_p"]).where(F.col("_r") <= F.col("_room"))
+    last = last.groupBy("iter", "_b").agg(F.sum("exceedance_count").alias("_last"))
+    shares = edges.join(last, ["iter", "_b"]).select("_b.*", "iter", ((F.col("_before_x") + F.col("_last")) / total).alias("share"))
     out = shares.groupBy("strategy", "budget_cells", "observed_share").agg(
         F.avg("share").alias("mean_random_share"), *bounded_percentiles(F.col("share"), {"p95_random_share": .95}))
     return out.withColumns({"observed_over_mean": F.try_divide(F.col("observed_share"), F.col("mean_random_share")),

@@ -16,7 +16,8 @@ from airgrid.operators.curves import curve_from_occupancy
 from airgrid.operators.percentiles import exact_percentiles
 from airgrid.operators.ranking import global_rank, top_fraction, top_k_size
 from airgrid.plans.core import backbone_cells, rho_star, top_shares
-from airgrid.plans.summary import (collection_summary, coupling, label_subsets, leave_out, group_deltas, negated, summarize,
+from airgrid.plans.folds import summarize_folds
+from airgrid.plans.summary import (collection_summary, coupling, label_subsets, group_deltas, negated, summarize,
                                    with_risk)
 from airgrid.functions.risk import contingency
 from airgrid.session import materialize
@@ -303,15 +304,14 @@ def leave_one_day_out(windows: DataFrame) -> DataFrame:
     """Summary of every leave-one-day-out fold."""
     dated = windows.withColumn("fold", F.date_format("window_start", "yyyy-MM-dd"))
     daily = staged_occupancy(dated, ["fold"])
-    return summarize(leave_out(cells_op.merge_occupancy(daily), negated(daily), "fold"), ["fold"])
+    return summarize_folds(cells_op.merge_occupancy(daily), negated(daily), daily, "fold")
 
 
 def leave_one_group_out(parts: DataFrame, group: str) -> DataFrame:
     """Summary without each vendor, vendor-day or route-day, by subtracting its contributions."""
     windows = cells_op.from_contributions(parts)
     total = staged_occupancy(windows)
-    folds = leave_out(total, group_deltas(parts, group), group)
-    out = summarize(folds, [group])
+    out = summarize_folds(total, group_deltas(parts, group), parts, group)
     removed = parts.groupBy(group).agg(F.sum("n_points").alias("removed_point_rows"), F.count(F.lit(1)).alias("removed_cell_windows"))
     return out.join(removed, group)
 
@@ -320,7 +320,7 @@ def leave_selected_groups_out(parts: DataFrame, group: str, selected: DataFrame)
     """Like :func:`leave_one_group_out`, folding only over the selected groups; all groups stay in the total."""
     total = cells_op.occupancy(cells_op.from_contributions(parts))
     deltas = group_deltas(parts, group, parts.join(selected, group, "left_semi"))
-    return summarize(leave_out(total, deltas, group), [group])
+    return summarize_folds(total, deltas, deltas, group)
 
 
 def leave_cells_out(occ: DataFrame, cell_groups: DataFrame, fold: str) -> DataFrame:
@@ -329,11 +329,7 @@ def leave_cells_out(occ: DataFrame, cell_groups: DataFrame, fold: str) -> DataFr
     hit = occ.join(cell_groups.select(fold, "row", "col").distinct(), ["row", "col"])
     taken = hit.groupBy(fold).agg(F.count_distinct("row", "col").alias("removed_active_cells"), F.sum("windows").alias("removed_samples"),
                                   F.coalesce(F.sum(F.when(F.col("n_points") >= rho, F.col("windows"))), F.lit(0)).alias("removed_congested"))
-    groups = cell_groups.select(fold).distinct()
-    empty = groups.select(fold, F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit(0).cast("bigint").alias("n_points"),
-                          *[F.lit(0).cast("double" if c.endswith("sum") else "bigint").alias(c) for c in cells_op.OCCUPANCY_SUMS])
-    deltas = negated(hit.select(fold, "row", "col", "n_points", *cells_op.OCCUPANCY_SUMS)).unionByName(empty)
-    out = summarize(leave_out(occ, deltas, fold), [fold])
+    out = summarize_folds(occ, negated(hit.select(fold, "row", "col", "n_points", *cells_op.OCCUPANCY_SUMS)), cell_groups, fold)
     total = cells_op.exceedance(occ, rho).agg(F.sum("exceedance_count")).scalar()
     out = out.join(taken, fold, "left").na.fill(0, ["removed_active_cells", "removed_samples", "removed_congested"])
     return out.withColumn("removed_congested_share", F.col("removed_congested") / total)

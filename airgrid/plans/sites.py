@@ -12,7 +12,7 @@ from airgrid.functions.risk import risk_columns
 from airgrid.operators.buffers import buffer_cells
 from airgrid.operators.cells import exceedance, in_set, traffic
 from airgrid.operators.ranking import rank_with_shares, top_k_size
-from airgrid.operators.spatial import pairs_within
+from airgrid.operators.spatial import position_pairs
 from airgrid.plans.core import backbone_cells, ranked_cells, rho_star
 from airgrid.session import materialize
 from airgrid.spec import MONITORING_BUDGETS, GridSpec
@@ -51,14 +51,15 @@ def operational_sites(inventory: DataFrame) -> DataFrame:
 
 
 def close_site_pairs(inventory: DataFrame, threshold_m: float) -> DataFrame:
-    return pairs_within(operational_sites(inventory), "site_name", threshold_m, strict=True)
+    """Pairs of site positions under the threshold, with the number of site pairs at each."""
+    return position_pairs(operational_sites(inventory), "site_name", threshold_m, strict=True)
 
 
 def closest_pair(sites: DataFrame, start_m: float) -> DataFrame:
-    """The closest pair of distinct sites; the search radius doubles until a pair appears."""
+    """The closest pair of sites; the search radius doubles until a pair appears. Equal distances (to a micrometre) are decided by names."""
     sites, radius = materialize(sites), start_m
     while True:
-        pairs = pairs_within(sites, "site_name", radius)
+        pairs = position_pairs(sites, "site_name", radius).withColumn("distance_m", F.round("distance_m", 6))
         best = materialize(pairs.agg(F.min(F.struct("distance_m", "site_name_a", "site_name_b")).alias("b")).select("b.*"))
         if radius > 4.1e7 or not best.where(F.col("distance_m").isNotNull()).isEmpty():
             return best
@@ -69,7 +70,7 @@ def site_distance_summary(inventory: DataFrame, threshold_m: float) -> DataFrame
     """Site count, pairs under the threshold and the closest pair of all."""
     sites = materialize(operational_sites(inventory))
     best = closest_pair(sites, threshold_m)
-    pairs = pairs_within(sites, "site_name", threshold_m, strict=True).agg(F.count(F.lit(1)).alias("pairs_within_threshold"))
+    pairs = position_pairs(sites, "site_name", threshold_m, strict=True).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs_within_threshold"))
     return pairs.select(sites.agg(F.count(F.lit(1))).scalar().alias("operational_sites"), "pairs_within_threshold",
                         *[best.select(c).scalar().alias(n) for c, n in (("distance_m", "nearest_distance_m"), ("site_name_a", "site_a"), ("site_name_b", "site_b"))])
 

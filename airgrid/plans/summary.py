@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.functions.risk import contingency, finite, risk_columns
+from airgrid.functions.risk import contingency, finite, fisher_p, risk_columns
 from airgrid.operators.breakpoints import piecewise
 from airgrid.operators.cells import OCCUPANCY_SUMS, in_set, merge_occupancy, traffic
 from airgrid.operators.curves import curve_from_occupancy
@@ -65,8 +65,14 @@ def summarize(occ: DataFrame, by: Sequence[str] = (), *, backbone: DataFrame | N
             out = out.withColumn("backbone_cells", members.agg(F.count(F.lit(1))).scalar())
     else:
         out = out.withColumns({"active_cells": counts.scalar(), "backbone_cells": members.agg(F.count(F.lit(1))).scalar()})
+    return completed(out)
+
+
+def completed(table: DataFrame) -> DataFrame:
+    """Risk measures, speed drop and congestion share of rows with a, b, c, d, both speeds and samples."""
     drop = F.when(F.col("speed_free") > 0, (F.col("speed_free") - F.col("speed_congested")) / F.col("speed_free") * 100)
-    return with_risk(out).withColumns({
+    return with_risk(table).withColumns({
+        "fisher_p": fisher_p(),
         "speed_drop_percent": drop,
         "congestion_share_percent": (F.col("a") + F.col("c")) / F.col("samples") * 100})
 
@@ -86,21 +92,6 @@ def collection_summary(summaries: DataFrame, by: Sequence[str] = ()) -> DataFram
     return summaries.groupBy(*by).agg(*picks)
 
 
-def fold_ids(groups: DataFrame, column: str) -> Column:
-    """All group ids as one array (one entry per day, vendor or site), for spreading totals over folds."""
-    return groups.select(F.sort_array(F.collect_set(column))).scalar()
-
-
-def leave_out(total: DataFrame, removed: DataFrame, fold: str) -> DataFrame:
-    """Occupancy of every fold from the total and per-fold deltas.
-
-    ``removed`` holds signed occupancy rows per fold; only histogram rows are
-    spread over the folds, never windows or points.
-    """
-    spread = total.withColumn(fold, F.explode(fold_ids(removed, fold)))
-    return merge_occupancy(spread.unionByName(removed), [fold]).where(F.col("windows") > 0)
-
-
 def negated(occ: DataFrame) -> DataFrame:
     return occ.withColumns({c: -F.col(c) for c in OCCUPANCY_SUMS})
 
