@@ -6,7 +6,7 @@ in many documents last, gives each set a prefix that any similar set's prefix mu
 1. similar documents are partitioned into groups: each document goes to the document with which most of its prefix is
    shared, and large groups are dealt into parts of bounded size, each with that leading document;
 2. a group is opened on itself, and its links give first components;
-3. the matrix says which group has which prefix shingle; a document queries the groups that share one, have fitting sizes and hold
+3. the matrix says which group has which prefix shingle; a document queries the groups that share MEET of them, have fitting sizes and hold
    a larger component than its own (of two components the smaller one asks, so each pair of components is looked at from one side);
 4. a query is bounded by its overlap with the token union of the group. Only a group that could hold a set with enough common
    shingles is opened, and its members are counted exactly.
@@ -36,11 +36,18 @@ from airgrid.llm.minhash import shingle_set
 from airgrid.session import materialize
 
 RARE = 32
+#: Prefixes are so long that similar sets have this many of their prefix shingles in common.
+MEET = 4
+
+
+def least_common(n, percent: int):
+    """Common shingles that a set of n needs with any set of that similarity."""
+    return -(-percent * n // 100)
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many shingles of an ordered set of n must be looked at to meet any set of that similarity."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """How many shingles of an ordered set of n must be looked at to meet any set of that similarity MEET times (or, in small sets, wholly)."""
+    return min(n, n - least_common(n, percent) + MEET)
 
 
 def is_frequent(tokens: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
@@ -56,7 +63,8 @@ def ordered(tokens: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
 
 
 def emitted(docs: DataFrame, shingle: int, percent: int, bits) -> DataFrame:
-    """One row per shingle to be counted: each set's prefix; from the second pass on, all infrequent ones of sets with frequent ones in it."""
+    """One row per shingle to be counted: each set's prefix; in the second pass what follows it in sets with frequent ones, as far as
+    their share there lets expect that the place of those is taken."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value if bits else None
         for part in slices(batches, "text", 2 << 20):
@@ -64,10 +72,11 @@ def emitted(docs: DataFrame, shingle: int, percent: int, bits) -> DataFrame:
             for text in utf8_texts(part.column("text")):
                 tokens = shingle_set(text, shingle)
                 size = prefix_length(len(tokens), percent)
-                if table is not None:
-                    late = is_frequent(tokens, table)
-                    tokens, size = tokens[~late], len(tokens) if late[:size].any() else 0
-                out.append(tokens[:size])
+                if table is None:
+                    out.append(tokens[:size])
+                elif size and (late := is_frequent(tokens[:size], table).sum()):
+                    rest = tokens[size:int(1.5 * size * size / max(size - late, 0.5)) + 8]
+                    out.append(rest[~is_frequent(rest, table)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["token"])
 
     return docs.select("text").mapInArrow(run, "token bigint")
@@ -184,13 +193,14 @@ def linked(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 def groups(tokens: DataFrame, sizes: DataFrame, most: int, most_tokens: int) -> DataFrame:
     """grp, part, doc_id, n: every node with a shared prefix shingle in one part of one group, and the leading document in each part."""
-    lead = tokens.groupBy("token").agg(F.min("doc_id").alias("grp"), F.count("*").alias("c")).filter("c > 1").select("token", "grp")
-    votes = tokens.join(lead, "token").filter("grp <> doc_id").groupBy("doc_id", "grp").agg(F.count("*").alias("votes"))
+    lead = tokens.groupBy("token").agg(F.min("doc_id").alias("grp"))
+    votes = tokens.join(lead, "token").filter("grp <> doc_id").groupBy("doc_id", "grp").agg(F.count("*").alias("votes")).filter(F.col("votes") >= MEET)
     best = votes.groupBy("doc_id").agg(F.max_by("grp", F.struct("votes", -F.col("grp"))).alias("grp"))
-    best = materialize(best.join(sizes, "doc_id"))
-    parts = best.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_tokens)).alias("parts"))
+    homes = tokens.select("doc_id").distinct().join(best, "doc_id", "left").join(sizes, "doc_id")
+    homes = materialize(homes.select("doc_id", F.coalesce("grp", "doc_id").alias("grp"), "n"))
+    parts = homes.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_tokens)).alias("parts"))
     leaders = parts.select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("grp").alias("doc_id"))
-    dealt = best.join(parts, "grp").select("grp", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", "n")
+    dealt = homes.filter("grp <> doc_id").join(parts, "grp").select("grp", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", "n")
     return dealt.unionByName(leaders.join(sizes, "doc_id"))
 
 
@@ -229,7 +239,9 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 25
     parts = materialize(groups(tokens, sizes, most, most_tokens))
 
     at = nodes.select("doc_id", F.col("doc_id").alias("component")).distinct()
-    inside = with_texts(parts.select("grp", "part", F.lit(2).alias("side"), "doc_id", F.col("doc_id").alias("component")), docs)
+    several = parts.groupBy("grp", "part").count().filter("count > 1").select("grp", "part")
+    inside = parts.join(several, ["grp", "part"]).select("grp", "part", F.lit(2).alias("side"), "doc_id", F.col("doc_id").alias("component"))
+    inside = with_texts(materialize(inside), docs)
     inside = materialize(linked(inside, shingle, percent))
     at = materialize(relabelled(at, inside))
 
@@ -257,7 +269,8 @@ def asked(tokens: DataFrame, parts: DataFrame, nodes: DataFrame, at: DataFrame,
     matrix = ranked.select("token", "doc_id").join(own.select("doc_id", "grp", "part"), "doc_id").select("token", "grp", "part").distinct().join(held, ["grp", "part"])
     queries = ranked.filter(F.col("rank") < F.col("r")).select("token", "doc_id", "component", "rank").join(nodes.groupBy("doc_id").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "doc_id")
     fits = (F.col("rank") < F.col("top")) & (100 * F.col("n_high") >= percent * F.col("least")) & (100 * F.col("largest") >= percent * F.col("n_low"))
-    pairs = materialize(queries.join(matrix, "token").filter(fits).select("grp", "part", "doc_id", "component").distinct())
+    met = queries.join(matrix, "token").filter(fits).groupBy("grp", "part", "doc_id", "component", "n_low").agg(F.count("*").alias("met"))
+    pairs = materialize(met.filter((F.col("met") >= MEET) | (100 * F.col("met") >= percent * F.col("n_low"))).select("grp", "part", "doc_id", "component"))
     members = own.join(pairs.select("grp", "part").distinct(), ["grp", "part"], "left_semi")
     return (members.select("grp", "part", F.lit(0).alias("side"), "doc_id", "component")
             .unionByName(pairs.select("grp", "part", F.lit(1).alias("side"), "doc_id", "component")))
