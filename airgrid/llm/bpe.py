@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import duckdb
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from airgrid.llm.common import slices, utf8_texts
 
 KNOWN = 500_000
+RANGE = 1 << 19    # tokens decoded by one query
+PORTION = 4 << 20  # characters of a text whose chunks are held at once
 WORDS_AT_ONCE, LONG = 20_000, 64
 #: Rows that the rounds of one query hold together.
 ROWS_AT_ONCE = 2_000_000
@@ -207,8 +210,16 @@ class Codec:
         return of[order], ids[order]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        chunked = [self.chunks.findall(t) for t in texts]
+        """Ids of each text, as little-endian unsigned 32-bit integers; a long text's words are taken in portions."""
+        if sum(map(len, texts)) <= PORTION:
+            return self._encoded([self.chunks.findall(t) for t in texts])
+        out = []
+        for text in texts:
+            chunks = (m.group() for m in self.chunks.finditer(text))
+            out.append(b"".join(self._encoded([part])[0] for part in iter(lambda c=chunks: list(itertools.islice(c, PORTION // 8)), [])))
+        return out
+
+    def _encoded(self, chunked: list[list[str]]) -> list[bytes]:
         if len(self.known) > KNOWN:
             self.known.clear()
         found = [list(map(self.known.get, chunks)) for chunks in chunked]
@@ -220,18 +231,29 @@ class Codec:
         return [b"".join([g if g is not None else new[c] for c, g in zip(chunks, got, strict=True)]) for chunks, got in zip(chunked, found, strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        total = int(lengths.sum())
-        out = [b""] * len(ids)
-        if total:
-            rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "p": np.arange(total, dtype=np.int64),
-                             "t": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)})
-            self.db.register("ids", rows)
-            for d, text in self.db.sql(DECODE).fetchall():
-                out[d] = text.encode("latin-1")
-            self.db.unregister("ids")
-        return out
+        """Bytes of each list of ids, worked out in ranges of at most RANGE tokens: the ordered aggregate of a range fits in memory."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for d, x in enumerate(ids):
+            for at in range(0, len(x), 4 * RANGE):
+                held.append((d, x[at:at + 4 * RANGE]))
+                size += len(held[-1][1])
+                if size >= 4 * RANGE:
+                    self._decoded(held, out)
+                    held, size = [], 0
+        if held:
+            self._decoded(held, out)
+        return [b"".join(x) for x in out]
+
+    def _decoded(self, held: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        lengths = np.array([len(x) // 4 for _, x in held], np.int64)
+        rows = pa.table({"d": np.repeat(np.arange(len(held), dtype=np.int32), lengths), "p": np.arange(int(lengths.sum()), dtype=np.int64),
+                         "t": np.frombuffer(b"".join(x for _, x in held), "<u4").astype(np.int32)})
+        self.db.register("ids", rows)
+        for k, text in self.db.sql(DECODE).fetchall():
+            out[held[k][0]].append(text.encode("latin-1"))
+        self.db.unregister("ids")
 
 
 _CODECS: dict[str, Codec] = {}

@@ -72,6 +72,22 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def all_passages(texts: list[bytes], most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``passages``, as half floats; worked out for about ``most_bytes`` of text at a time, as temporary arrays have several words a byte."""
+    counts = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts], np.int64)
+    first = np.cumsum(counts) - counts
+    out = np.empty((int(counts.sum()), FEATURES), np.float16)
+    start, held = 0, 0
+    for i, text in enumerate([*texts, None]):
+        if text is None or (held and held + len(text) > most_bytes):
+            part = passages(texts[start:i])[0] if i > start else out[:0]
+            at = first[start] if i > start else 0
+            out[at:at + len(part)] = part
+            start, held = i, 0
+        held += len(text or b"")
+    return out, first
+
+
 @dataclass
 class QualityModel:
     encode: np.ndarray   # (features, hidden)
@@ -114,8 +130,7 @@ def train(texts: list[bytes], labels: np.ndarray, hidden: int = 24, attention: i
         m.output[:] = 0
         m.bias[0] = 0 if not len(texts) else 40 if labels.max() else -40
         return m
-    rows, first = passages(texts)
-    rows = rows.astype(np.float16)
+    rows, first = all_passages(texts)
     ends = np.append(first[1:], len(rows))
     m.bias[0] = np.log(labels.mean() / (1 - labels.mean()))
     params = m.parts()
@@ -149,7 +164,9 @@ def train(texts: list[bytes], labels: np.ndarray, hidden: int = 24, attention: i
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_bytes: int = 20 << 20, seed: int = 11) -> QualityModel:
     rows = labelled_sample(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample_rows, sample_bytes)
-    return train([r["text"].encode() for r in rows], np.array([r["label"] for r in rows]), seed=seed)
+    texts, known = [r["text"].encode() for r in rows], np.array([r["label"] for r in rows])
+    del rows
+    return train(texts, known, seed=seed)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **options) -> DataFrame:

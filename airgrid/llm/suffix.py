@@ -381,7 +381,8 @@ def _cut(docs: DataFrame, run_size: int, shard_bytes: int) -> DataFrame:
     whole = folded.filter("n > 1").select("anchor", "context", F.array(F.lit(0), F.col("at.windows")).alias("runs"))
     repeats = whole.unionByName(runs).groupBy("anchor", "context").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # at most one list a shard
     per = again.join(repeats, ["anchor", "context"]).select("k1", "k2", spans_at(F.col("first"), F.col("runs")).alias("spans"))
-    per = per.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text
+    # rows with equal id and text have the same keys: a set holds their spans once, so it is bounded by the text
+    per = per.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return keyed.join(per.hint("merge"), ["k1", "k2"], "left")
 
 

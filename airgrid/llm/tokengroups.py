@@ -232,7 +232,10 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 25
     nodes = (every.filter("hi is not null and doc_id is not null").groupBy("hi", "lo")
              .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "prefix"), "doc_id").alias("s")))
     nodes = materialize(nodes.select("hi", "lo", "doc_id", "s.n", "s.prefix"))
-    tokens = nodes.select("doc_id", F.explode("prefix").alias("token")).distinct() if _repeats(nodes) else nodes.select("doc_id", F.explode("prefix").alias("token"))
+    tokens = nodes.select("doc_id", F.explode("prefix").alias("token"))
+    several_texts = every.filter("hi is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    repeated = not several_texts.isEmpty()
+    tokens = tokens.distinct() if repeated else tokens
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     tokens = materialize(tokens.join(shared, "token"))
     sizes = nodes.groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -246,17 +249,16 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, most: int = 25
     at = materialize(relabelled(at, inside))
 
     more = materialize(linked(with_texts(asked(tokens, parts, nodes, at, percent), docs), shingle, percent))
+    if repeated:  # an id's rows may have several sets, which then are one class
+        held = every.select("doc_id", "hi", "lo").join(several_texts, "doc_id").join(nodes.select("hi", "lo", F.col("doc_id").alias("a")), ["hi", "lo"])
+        held = materialize(held.select("doc_id", "a").distinct())
+        more = more.unionByName(held.join(held.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").filter("a <> b").select("a", "b"))
     at = relabelled(at, more)
-    # a set's rows may have several ids, and an id's rows several sets
     of_set = nodes.select("hi", "lo", "doc_id").join(at, "doc_id").select("hi", "lo", F.col("component").alias("of_set"))
     out = every.select("doc_id", "n", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id"))
 
 
-def _repeats(nodes: DataFrame) -> bool:
-    return nodes.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-
-
 def asked(tokens: DataFrame, parts: DataFrame, nodes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
     """grp, part, side, doc_id, component of the groups that may hold a set similar to one outside: its members (0) and those sets (1)."""
     weight = at.groupBy("component").agg(F.count("*").alias("weight"))
