@@ -99,7 +99,7 @@ class Inputs:
         return base.selectExpr(
             "s_name as site_name", "concat('platform', cast(s_nationkey % 2 as string)) as platform",
             "case when s_suppkey % 10 = 0 then 'other' else 'main' end as city",
-            "case when s_suppkey % 17 = 0 then 'test pad' end as note",
+            "case when s_suppkey % 17 = 0 then 'test pad 试飞 é' end as note",
             "concat('2023-0', cast(1 + s_suppkey % 9 as string)) as open_time",
             "case when s_suppkey % 23 = 0 then 'unknown' else cast(113.90D + 0.05D*x*x*x as string) end as lon",
             "cast(22.60D + 0.05D*y*y as string) as lat")

@@ -108,20 +108,42 @@ def report_contingency_p(i):
 
 
 _SHORT = "rho_star, rr, odds_ratio, speed_drop_percent, samples, NULL AS n_runs, NULL AS rr_min, NULL AS rr_max"
+_RANGE = "NULL AS rho_star, NULL AS rr, NULL AS odds_ratio, NULL AS speed_drop_percent, NULL AS samples, count(*) AS n_runs, min(rr) AS rr_min, max(rr) AS rr_max"
+_MASKS = {"interface_mask_excluding_windows": "excluding_interface_windows", "interface_mask_excluding_cells": "excluding_interface_cells"}
 
 
-@query("report_robustness", "check_id:s category:s rho_star:f rr:f4 odds_ratio:f4 speed_drop_percent:f samples:i n_runs:i rr_min:f4 rr_max:f4",
-       " UNION ALL ".join([f"SELECT 'interface_mask_{n}' AS check_id, 'interface_masking' AS category, {_SHORT} FROM masked_summary WHERE subset = '{v}'"
-                           for n, v in (("excluding_windows", "excluding_interface_windows"), ("excluding_cells", "excluding_interface_cells"))]
-                          + ["SELECT 'leave_one_day_out_range', 'leave_one_group_out', NULL, NULL, NULL, NULL, NULL, count(*), min(rr), max(rr) FROM day_fold_summary"]))
+def _check(name: str, category: str, source: str, columns: str = _SHORT) -> str:
+    return f"SELECT '{name}' AS check_id, '{category}' AS category, {columns} FROM {source}"
+
+
+_CHECKS = [_check(k, "interface_masking", f"masked_summary WHERE subset = '{v}'") for k, v in _MASKS.items()]
+_CHECKS += [_check(k, "endpoint_exclusion", f"excluded_summary WHERE subset = '{v}'") for k, v in _FOR.items()]
+_CHECKS += [_check(f"phase_{p}", "phase_altitude", f"phase_summary WHERE subset = '{p}'") for p in _PHASES]
+_CHECKS += [_check("leave_top_endpoint_out", "leave_group_out", f"({q.summary_sql('SELECT * FROM top_hub_out')})"),
+            _check("leave_largest_backbone_cluster_out", "leave_group_out", f"({q.summary_sql('SELECT * FROM without_largest')})"),
+            _check("unique_flight_occupancy", "measurement_alternative", "unique_rows", "rho_star, rr, odds_ratio, NULL AS speed_drop_percent, a+b+c+d AS samples, NULL AS n_runs, NULL AS rr_min, NULL AS rr_max"),
+            _check("leave_one_day_out_range", "leave_one_group_out", "day_fold_summary", _RANGE),
+            _check("leave_one_vendor_out_range", "leave_one_group_out", f"({r.group_fold_sql('SELECT * FROM points', 'vendor', 'vendor')})", _RANGE)]
+
+
+@query("report_robustness", "check_id:s category:s rho_star:f rr:f4 odds_ratio:f4 speed_drop_percent:f samples:i n_runs:i rr_min:f4 rr_max:f4", " UNION ALL ".join(_CHECKS))
 def report_robustness(i):
     """S12 (checks of different shapes)."""
+    short = ["rho_star", "rr", "odds_ratio", "speed_drop_percent", "samples"]
     masked = materialize(rb.interface_masking(i.windows))
-    short = lambda name: masked.where(F.col("subset") == name).select("rho_star", "rr", "odds_ratio", "speed_drop_percent", "samples")
-    days = collection_summary(rb.leave_one_day_out(i.windows)).select("n_runs", "rr_min", "rr_max")
-    return reports.robustness_table([("interface_mask_excluding_windows", "interface_masking", short("excluding_interface_windows")),
-                                     ("interface_mask_excluding_cells", "interface_masking", short("excluding_interface_cells")),
-                                     ("leave_one_day_out_range", "leave_one_group_out", days)])
+    excluded = materialize(rb.cell_exclusion(i.windows, {"exact": t.hub_cells_of(i), "buffer": r.hub_buffer(i)}))
+    phases = materialize(rb.phase_altitude(i.windows, r.hub_buffer(i)))
+    parts = [(k, "interface_masking", masked.where(F.col("subset") == v).select(*short)) for k, v in _MASKS.items()]
+    parts += [(k, "endpoint_exclusion", excluded.where(F.col("subset") == v).select(*short)) for k, v in _FOR.items()]
+    parts += [(f"phase_{p}", "phase_altitude", phases.where(F.col("subset") == p).select(*short)) for p in _PHASES]
+    unique = rb.unique_flight_occupancy(cells_op.flight_windows(i.points, WINDOW), core.backbone_cells(i.occ))
+    span = lambda folds: collection_summary(folds).select("n_runs", "rr_min", "rr_max")
+    parts += [("leave_top_endpoint_out", "leave_group_out", r.leave_top_endpoints_out(i).select(*short)),
+              ("leave_largest_backbone_cluster_out", "leave_group_out", g.leave_largest_component_out(i).select(*short)),
+              ("unique_flight_occupancy", "measurement_alternative", unique.select("rho_star", "rr", "odds_ratio", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("samples"))),
+              ("leave_one_day_out_range", "leave_one_group_out", span(rb.leave_one_day_out(i.windows))),
+              ("leave_one_vendor_out_range", "leave_one_group_out", span(r.leave_one_vendor_out(i)))]
+    return reports.robustness_table(parts)
 
 
 @query("report_breakpoints", "specification_id:s rho_star:f speed_drop_percent:f n_bins:i weighting:s",
@@ -132,16 +154,31 @@ def report_breakpoints(i):
     return reports.breakpoint_table(c.core_specifications(i.occ))
 
 
-@query("report_resampling", "summary_id:s category:s n_draws:i mean:f4 median:f4 lo:f4 hi:f4 p_ge:f",
-       f"""SELECT 'cluster_bootstrap_or_adj' AS summary_id, 'cluster_bootstrap' AS category, count(*) AS n_draws, avg(odds_ratio) AS mean, quantile_cont(odds_ratio, 0.5) AS median, quantile_cont(odds_ratio, 0.025) AS lo, quantile_cont(odds_ratio, 0.975) AS hi, NULL AS p_ge FROM block_boot
-       UNION ALL SELECT 'rho_star_bootstrap', 'rho_star_bootstrap', n_bootstraps, mean, median, lo, hi, NULL FROM ({r.rho_boot_sql('j')})
-       UNION ALL SELECT 'null_random_backbone_or_adj', 'null_model', n_values, mean, median, lo, hi, p_ge FROM ({r.null_sql('random_null', 'odds_ratio', '(SELECT odds_ratio FROM fixed_risk)')})""")
+_DRAWN = "SELECT '{id}' AS summary_id, '{kind}' AS category, {cols} FROM ({source})"
+_BOOT = "count(*) AS n_draws, avg({v}) AS mean, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.025) AS lo, quantile_cont({v}, 0.975) AS hi, NULL AS p_ge"
+_NULLED = "n_values AS n_draws, mean, median, lo, hi, p_ge"
+_FIXED = "(SELECT odds_ratio FROM fixed_risk)"
+_RESAMPLED = [_DRAWN.format(id=f"cluster_bootstrap_{n}", kind="cluster_bootstrap", cols=_BOOT.format(v=f"(CASE WHEN isfinite({v}) THEN {v} END)"), source="SELECT * FROM block_boot")
+              for n, v in (("or_adj", "odds_ratio"), ("rr", "rr"))]
+_RESAMPLED += [_DRAWN.format(id="rho_star_bootstrap", kind="rho_star_bootstrap", cols="n_bootstraps AS n_draws, mean, median, lo, hi, NULL AS p_ge", source=r.rho_boot_sql("j")),
+               _DRAWN.format(id="null_random_backbone_or_adj", kind="null_model", cols=_NULLED, source=r.null_sql("random_null", "odds_ratio", _FIXED)),
+               _DRAWN.format(id="null_time_shuffle_or_adj", kind="null_model", cols=_NULLED, source=r.null_sql("shuffle_null", "odds_ratio", _FIXED))]
+_RESAMPLED += [_DRAWN.format(id=f"null_od_reassignment_{m}", kind="null_model", cols=_NULLED, source=source) for m, source in r.OD_NULLS.items()]
+_RESAMPLED += [_DRAWN.format(id=f"null_morphology_{m}", kind="null_model", cols=_NULLED, source=source) for m, source in g.MORPHOLOGY_NULLS.items()]
+
+
+@query("report_resampling", "summary_id:s category:s n_draws:i mean:f4 median:f4 lo:f4 hi:f4 p_ge:f", " UNION ALL ".join(_RESAMPLED))
 def report_resampling(i):
     """S12 (bootstraps and nulls)."""
-    boot = rs.bootstrap_summary(rs.date_hour_bootstrap(i.windows), ["odds_ratio"]).select(
-        F.col("n_bootstraps").alias("n_draws"), *[F.col(f"odds_ratio_{k}").alias(k) for k in ("mean", "median", "lo", "hi")])
-    rho = rs.rho_bootstrap_summary(rs.rho_bootstrap(i.windows)).select(F.col("n_bootstraps").alias("n_draws"), "mean", "median", "lo", "hi")
-    null = rs.null_summary(rs.random_backbone_null(i.windows), "odds_ratio", r.observed_coupling(i).select("odds_ratio").scalar()).select(
-        F.col("n_values").alias("n_draws"), "mean", "median", "lo", "hi", "p_ge")
-    return reports.resampling_table([("cluster_bootstrap_or_adj", "cluster_bootstrap", boot), ("rho_star_bootstrap", "rho_star_bootstrap", rho),
-                                     ("null_random_backbone_or_adj", "null_model", null)])
+    drawn = ("mean", "median", "lo", "hi")
+    nulled = [F.col("n_values").alias("n_draws"), *drawn, "p_ge"]
+    boots = materialize(rs.bootstrap_summary(rs.date_hour_bootstrap(i.windows), ["odds_ratio", "rr"]))
+    rho = rs.rho_bootstrap_summary(rs.rho_bootstrap(i.windows)).select(F.col("n_bootstraps").alias("n_draws"), *drawn)
+    parts = [(f"cluster_bootstrap_{n}", "cluster_bootstrap", boots.select(F.col("n_bootstraps").alias("n_draws"), *[F.col(f"{v}_{k}").alias(k) for k in drawn]))
+             for n, v in (("or_adj", "odds_ratio"), ("rr", "rr"))]
+    parts += [("rho_star_bootstrap", "rho_star_bootstrap", rho), ("null_random_backbone_or_adj", "null_model", r.random_backbone_null(i).select(*nulled)),
+              ("null_time_shuffle_or_adj", "null_model", r.time_shuffle_null(i).select(*nulled))]
+    for name, table, measures in (("od_reassignment", r.od_reassignment_null_summary(i), r.OD_NULLS), ("morphology", g.morphology_null_summary(i), g.MORPHOLOGY_NULLS)):
+        table = materialize(table)
+        parts += [(f"null_{name}_{m}", "null_model", table.where(F.col("measure") == m).select(*nulled)) for m in measures]
+    return reports.resampling_table(parts)

@@ -13,6 +13,7 @@ from airgrid.operators import buffers, cells as cells_op
 from airgrid.operators.sequences import TIME_ORDER
 from airgrid.plans import core, resampling as rs, robustness as rb
 from airgrid.plans.summary import collection_summary, summarize
+from airgrid.session import materialize
 from airgrid.spec import GridSpec
 
 S = q.SUMMARY_SPEC
@@ -22,13 +23,31 @@ q.view("fixed_rows", """SELECT w.*, k.row IS NOT NULL AS exposed, n_points >= rh
   strftime(window_start, '%Y-%m-%d-%H') AS block FROM windows w CROSS JOIN main_break LEFT JOIN backbone k ON w.row = k.row AND w.col = k.col""")
 
 
-@query("subset_summary", S, "SELECT * FROM main_summary")
+def _log_choose(n: str, k: str) -> str:
+    return f"(lgamma(({n}+1)::DOUBLE) - lgamma(({k}+1)::DOUBLE) - lgamma((({n})-({k})+1)::DOUBLE))"
+
+
+_LOG_P = f"{_log_choose('a+c', '{x}')} + {_log_choose('b+d', 'a+b-({x})')} - {_log_choose('a+b+c+d', 'a+b')}"
+
+
+def fisher_sql(name: str, tables: str) -> str:
+    """Two-sided Fisher p of each row (name, a, b, c, d)."""
+    return f"""SELECT {name}, a, b, c, d, least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7)) AS fisher_p FROM (SELECT *, {_LOG_P.format(x='x')} AS lp, {_LOG_P.format(x='a')} AS lobs FROM (
+       SELECT {name}, a, b, c, d, unnest(range(greatest(0, a-d), least(a+c, a+b)+1)) AS x FROM (SELECT {name}, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM ({tables})))) GROUP BY {name}, a, b, c, d"""
+
+
+def with_fisher(summary: str, key: str) -> str:
+    """A summary's rows with the Fisher p of their 2x2 tables."""
+    return f"SELECT z.*, fisher_p FROM ({summary}) z JOIN ({fisher_sql('k', f'SELECT {key} AS k, a, b, c, d FROM ({summary})')}) f ON f.k = {key.replace('fold', 'z.fold')}"
+
+
+@query("subset_summary", S + " fisher_p:f", with_fisher("SELECT * FROM main_summary", "1"))
 def subset_summary(i):
     """Everything re-estimated."""
     return summarize(i.occ)
 
 
-@query("subset_summary_fixed", S, q.summary_sql("SELECT * FROM windows", backbone="SELECT * FROM backbone", rho="(SELECT rho_star FROM main_break)"))
+@query("subset_summary_fixed", S + " fisher_p:f", with_fisher(q.summary_sql("SELECT * FROM windows", backbone="SELECT * FROM backbone", rho="(SELECT rho_star FROM main_break)"), "1"))
 def subset_summary_fixed(i):
     """C1 with given backbone and critical density."""
     return summarize(i.occ, backbone=core.backbone_cells(i.occ), rho=core.rho_star(i.occ))
@@ -217,19 +236,6 @@ def altitude_bands(i):
     return rb.altitude_bands(i.windows)
 
 
-def _log_choose(n: str, k: str) -> str:
-    return f"(lgamma(({n}+1)::DOUBLE) - lgamma(({k}+1)::DOUBLE) - lgamma((({n})-({k})+1)::DOUBLE))"
-
-
-_LOG_P = f"{_log_choose('a+c', '{x}')} + {_log_choose('b+d', 'a+b-({x})')} - {_log_choose('a+b+c+d', 'a+b')}"
-
-
-def fisher_sql(name: str, tables: str) -> str:
-    """Two-sided Fisher p of each row (name, a, b, c, d)."""
-    return f"""SELECT {name}, a, b, c, d, least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7)) AS fisher_p FROM (SELECT *, {_LOG_P.format(x='x')} AS lp, {_LOG_P.format(x='a')} AS lobs FROM (
-       SELECT {name}, a, b, c, d, unnest(range(greatest(0, a-d), least(a+c, a+b)+1)) AS x FROM (SELECT {name}, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM ({tables})))) GROUP BY {name}, a, b, c, d"""
-
-
 @query("fisher_exact", "subset:s a:i b:i c:i d:i fisher_p:f", fisher_sql("subset", "SELECT * FROM band_summary"))
 def fisher_exact(i):
     """Fisher p on the fold tables of the altitude bands."""
@@ -302,7 +308,7 @@ q.view("day_folds", "SELECT f.d AS fold, w.* FROM windows w, (SELECT DISTINCT st
 q.view("day_fold_summary", q.summary_sql("SELECT * FROM day_folds", "fold"))
 
 
-@query("leave_one_day_out", "fold:s " + S, "SELECT * FROM day_fold_summary")
+@query("leave_one_day_out", "fold:s " + S + " fisher_p:f", with_fisher("SELECT * FROM day_fold_summary", "fold"))
 def leave_one_day_out(i):
     """R9 (days)."""
     return rb.leave_one_day_out(i.windows)
@@ -492,6 +498,26 @@ def od_reassignment_null(i):
     return rs.od_reassignment_null(t.trips.endpoints(t.od_of(i), GRID), i.windows, GRID)
 
 
+_OD_NULL = """SELECT iter, max(e) AS exact_share, max(n) AS buffer_share FROM (
+         SELECT iter, sum(x)::DOUBLE/(SELECT sum(x) FROM cell_x) AS e, NULL AS n FROM od_synth JOIN cell_x USING (row, col) GROUP BY iter
+         UNION ALL SELECT iter, NULL, sum(x)::DOUBLE/(SELECT sum(x) FROM cell_x) FROM od_synth_near JOIN cell_x USING (row, col) GROUP BY iter) GROUP BY iter"""
+q.view("end_cells", "SELECT DISTINCT row, col FROM ends")
+q.view("end_cells_near", f"""SELECT DISTINCT greatest(0, least({GRID.n_rows - 1}, row + dr)) AS row, greatest(0, least({GRID.n_cols - 1}, col + dc)) AS col FROM end_cells,
+  (SELECT unnest(range(-1, 2)) AS dr), (SELECT unnest(range(-1, 2)) AS dc)""")
+
+
+OD_NULLS = {m: null_sql(f"({_OD_NULL})", m, f"(SELECT sum(x)::DOUBLE/(SELECT sum(x) FROM cell_x) FROM {v} JOIN cell_x USING (row, col))")
+            for m, v in (("exact_share", "end_cells"), ("buffer_share", "end_cells_near"))}
+
+
+@query("od_reassignment_null_summary", "measure:s " + NULL, " UNION ALL ".join(f"SELECT '{m}' AS measure, * FROM ({v})" for m, v in OD_NULLS.items()))
+def od_reassignment_null_summary(i):
+    """Drawn against real endpoints."""
+    ends = materialize(t.trips.endpoints(t.od_of(i), GRID))
+    draws = materialize(rs.od_reassignment_null(ends, i.windows, GRID))
+    return rs.null_summaries(draws, rs.endpoint_shares(ends, i.occ, GRID))
+
+
 def cluster_sql(points: str, group: str, n: int, seed: int) -> str:
     return f"""SELECT {q.rr_columns()}, iter FROM (SELECT iter, {q.ABCD} FROM (
       SELECT z.iter, z.n >= rho_star AS outcome, k.row IS NOT NULL AS exposed FROM (

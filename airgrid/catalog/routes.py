@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airgrid import sinks
 from airgrid.catalog import robustness as r
 from airgrid.catalog import sql as q
 from airgrid.catalog import trips as t
@@ -15,7 +16,8 @@ from airgrid.operators.ranking import top_fraction, weighted_median
 from airgrid.operators.sequences import compress_visits, route_signatures, transitions
 from airgrid.plans import core, resampling as rs, robustness as rb, routes
 from airgrid.plans.summary import summarize
-from airgrid.session import materialize
+from airgrid.session import materialize, table_path
+from airgrid.sources import tables
 
 THRESHOLDS = (400.0, 450.0, 475.0, 500.0)
 MERGE = 450.0
@@ -58,12 +60,14 @@ CONTINUITY = ("n_components:i largest_component_cells:i largest_component_share:
               "cells_in_le3_share:f mean_degree:f degree_le1_share:f degree_eq2_share:f degree_ge3_share:f")
 
 
-@query("backbone_continuity", CONTINUITY,
-       """SELECT count(*) AS n_components, max(size) AS largest_component_cells, max(size)::DOUBLE/sum(size) AS largest_component_share,
+q.view("continuity_row", """SELECT count(*) AS n_components, max(size) AS largest_component_cells, max(size)::DOUBLE/sum(size) AS largest_component_share,
        (SELECT min(k) FROM bb_ranked WHERE run >= 0.5*total) AS components_covering_50pct, (SELECT min(k) FROM bb_ranked WHERE run >= 0.8*total) AS components_covering_80pct,
        avg((size = 1)::INT) AS singleton_component_share, coalesce(sum(size) FILTER (size <= 3), 0)::DOUBLE/sum(size) AS cells_in_le3_share,
        (SELECT avg(degree) FROM bb_degrees) AS mean_degree, (SELECT avg((degree <= 1)::INT) FROM bb_degrees) AS degree_le1_share,
        (SELECT avg((degree = 2)::INT) FROM bb_degrees) AS degree_eq2_share, (SELECT avg((degree >= 3)::INT) FROM bb_degrees) AS degree_ge3_share FROM bb_sizes""")
+
+
+@query("backbone_continuity", CONTINUITY, "SELECT * FROM continuity_row")
 def backbone_continuity(i):
     """G13, W9."""
     return routes.backbone_continuity(fine_backbone(i))
@@ -139,10 +143,12 @@ q.components_view("rnd_comp", "SELECT g, row*1048576::BIGINT + col AS node FROM
 q.view("rnd_sizes", "SELECT g, label, count(*) AS size FROM rnd_comp GROUP BY g, label")
 
 
-@query("morphology_null", "iter:i n_components:i largest_component_share:f components_covering_50pct:i degree_le1_share:f degree_ge3_share:f",
-       """SELECT z.g AS iter, n_components, largest_component_share, components_covering_50pct, degree_le1_share, degree_ge3_share FROM (SELECT g, count(*) AS n_components, max(size)::DOUBLE/sum(size) AS largest_component_share FROM rnd_sizes GROUP BY g) z
+q.view("morphology_draws", """SELECT z.g AS iter, n_components, largest_component_share, components_covering_50pct, degree_le1_share, degree_ge3_share FROM (SELECT g, count(*) AS n_components, max(size)::DOUBLE/sum(size) AS largest_component_share FROM rnd_sizes GROUP BY g) z
        JOIN (SELECT g, min(k) AS components_covering_50pct FROM (SELECT g, sum(size) OVER (PARTITION BY g ORDER BY size DESC, label ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY g ORDER BY size DESC, label) AS k, sum(size) OVER (PARTITION BY g) AS total FROM rnd_sizes) WHERE run >= 0.5*total GROUP BY g) c USING (g)
        JOIN (SELECT g, avg((deg <= 1)::INT) AS degree_le1_share, avg((deg >= 3)::INT) AS degree_ge3_share FROM (SELECT n.g, n.row, n.col, count(a.s) AS deg FROM rnd_cells n LEFT JOIN rnd_adjacent a ON a.g = n.g AND a.s = n.row*1048576::BIGINT + n.col GROUP BY 1, 2, 3) GROUP BY g) d USING (g)""")
+
+
+@query("morphology_null", "iter:i n_components:i largest_component_share:f components_covering_50pct:i degree_le1_share:f degree_ge3_share:f", "SELECT * FROM morphology_draws")
 def morphology_null(i):
     """Continuity of random cell sets, all iterations in one component run."""
     size = fine_backbone(i).agg(F.count(F.lit(1))).scalar()
@@ -150,6 +156,19 @@ def morphology_null(i):
     return routes.backbone_continuity(drawn, ["iter"])
 
 
+MORPHOLOGY_NULLS = {m: r.null_sql("morphology_draws", m, f"(SELECT {m} FROM continuity_row)")
+                    for m in ("n_components", "components_covering_50pct", "degree_le1_share", "degree_ge3_share")}
+
+
+@query("morphology_null_summary", "measure:s " + r.NULL, " UNION ALL ".join(f"SELECT '{m}' AS measure, * FROM ({v})" for m, v in MORPHOLOGY_NULLS.items()))
+def morphology_null_summary(i):
+    """Random cell sets against the backbone, by measure."""
+    size = fine_backbone(i).agg(F.count(F.lit(1))).scalar()
+    drawn = rs.random_cells(fine_cells(i), size, 50, 15057).select("iter", "row", "col")
+    draws, seen = materialize(routes.backbone_continuity(drawn, ["iter"])), materialize(routes.backbone_continuity(fine_backbone(i)))
+    return rs.null_summaries(draws, {m: seen.select(m).scalar() for m in MORPHOLOGY_NULLS})
+
+
 q.components_view("main_bb_comp", "SELECT 0 AS g, row*1048576::BIGINT + col AS node FROM backbone", """SELECT 0 AS g, a.row*1048576::BIGINT + a.col AS s, b.row*1048576::BIGINT + b.col AS d
   FROM backbone a JOIN backbone b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1""")
 q.view("without_largest", """SELECT w.* FROM windows w ANTI JOIN (SELECT node FROM main_bb_comp WHERE label = (SELECT label FROM main_bb_comp GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)) x
@@ -374,6 +393,28 @@ def vendor_edge_overlap(i):
     return buffers.set_overlap(pick("MT"), pick("SF"), ["src", "dst"])
 
 
+@query("vendor_node_overlap", _OVERLAP,
+       """SELECT *, left_size + right_size - shared AS either, left_size - shared AS left_only, right_size - shared AS right_only, shared::DOUBLE/(left_size + right_size - shared) AS jaccard FROM (
+       SELECT count(*) FILTER (mt) AS left_size, count(*) FILTER (sf) AS right_size, count(*) FILTER (mt AND sf) AS shared FROM (
+         SELECT node, bool_or(vendor = 'MT') AS mt, bool_or(vendor = 'SF') AS sf FROM vendor_node_set GROUP BY node))""")
+def vendor_node_overlap(i):
+    """G11 overlap of nodes."""
+    nodes = materialize(vendor_graph(i)[1])
+    pick = lambda v: nodes.where(F.col("vendor") == v)
+    return buffers.set_overlap(pick("MT"), pick("SF"), ["node"])
+
+
+@query("vendor_node_table", "vendor:s node:i centroid_lat:f centroid_lon:f member_count:i degree:i strength:i clustering:f component:i component_size:i betweenness_invflow:f betweenness_invflow_norm:f",
+       f"""SELECT v.vendor, v.node, centroid_lat, centroid_lon, member_count, degree, strength, clustering, p.label AS component, z.size AS component_size, bc AS betweenness_invflow, {_NORM.format(n='n', b='bc')} AS betweenness_invflow_norm
+       FROM vendor_nodes v JOIN bc_vendor b ON b.g = v.vendor AND b.node = v.node JOIN cluster_nodes k ON k.cluster = v.node JOIN vendor_comp p ON p.vendor = v.vendor AND p.node = v.node
+       JOIN (SELECT vendor, label, count(*) AS size FROM vendor_comp GROUP BY 1, 2) z ON z.vendor = v.vendor AND z.label = p.label JOIN (SELECT vendor, count(*) AS n FROM vendor_node_set GROUP BY 1) c ON c.vendor = v.vendor""")
+def vendor_node_table(i):
+    """G11 node table of both vendors."""
+    measured = routes.network_nodes(*vendor_graph(i), ["vendor"], unweighted=False)
+    places = routes.cluster_nodes(centroids_of(i), main_clusters(i)).withColumnRenamed("cluster", "node")
+    return measured.join(places, "node")
+
+
 # ------------------------------------------------------------ road comparison
 q.view("od_trips", """SELECT l.source, l.target, t.vendor, t.path_length_km, t.duration_minutes, t.od_distance_km FROM linked l JOIN trips t USING (order_id)
   WHERE duration_minutes > 0 AND od_distance_km > 0""")
@@ -420,23 +461,31 @@ def cluster_out_degrees(i):
     return routes.out_degrees(edges, nodes)
 
 
-# two answers per key: an early failure for every fifth route, then the final one
-q.view("road_attempts", f"""SELECT route_key, 2 AS attempt, CASE WHEN (source + 7*target) % 11 = 0 THEN 'NoRoute' ELSE 'Ok' END AS status, 1.4*{q.haversine('source_lat', 'source_lon', 'target_lat', 'target_lon')} AS distance_m,
-  1.4*{q.haversine('source_lat', 'source_lon', 'target_lat', 'target_lon')}/7.5 AS duration_s FROM directed_edges""")
+# answers of a routing service: early failures, final answers, repeated final answers, and routes without any
+_METRES = f"1.4*{q.haversine('source_lat', 'source_lon', 'target_lat', 'target_lon')}"
+_FINAL = f"CASE WHEN (source + 7*target) % 11 = 0 THEN 'NoRoute' ELSE 'Ok' END AS status, {_METRES}"
+q.view("road_file", f"""SELECT route_key, 1 AS attempt, 'Ok' AS status, 1.0::DOUBLE AS distance_m, 1.0::DOUBLE AS duration_s FROM directed_edges WHERE source % 5 = 0
+  UNION ALL SELECT route_key, 2, {_FINAL} AS distance_m, {_METRES}/7.5 AS duration_s FROM directed_edges WHERE (source + target) % 13 <> 0
+  UNION ALL SELECT route_key, 2, {_FINAL}*1.25 AS distance_m, {_METRES}/6.0 AS duration_s FROM directed_edges WHERE (source + target) % 13 <> 0 AND target % 3 = 0""")
+q.view("road_attempts", "SELECT route_key, r.distance_m AS distance_m, r.duration_s AS duration_s, r.status AS status FROM (SELECT route_key, max({'attempt': attempt, 'distance_m': distance_m, 'duration_s': duration_s, 'status': status}) AS r FROM road_file GROUP BY route_key)")
 
 
 def road_attempts(edges):
     metres = haversine_m(F.col("source_lat"), F.col("source_lon"), F.col("target_lat"), F.col("target_lon")) * 1.4
     status = F.when((F.col("source") + F.col("target") * 7) % 11 == 0, "NoRoute").otherwise("Ok")
-    final = edges.select("route_key", F.lit(2).alias("attempt"), status.alias("status"), metres.alias("distance_m"), (metres / 7.5).alias("duration_s"))
-    early = edges.where(F.col("source") % 5 == 0).select("route_key", F.lit(1).alias("attempt"), F.lit("error").alias("status"),
-                                                         F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("double").alias("duration_s"))
-    return early.unionByName(final)
+    answered = edges.where((F.col("source") + F.col("target")) % 13 != 0)
+    final = answered.select("route_key", F.lit(2).alias("attempt"), status.alias("status"), metres.alias("distance_m"), (metres / 7.5).alias("duration_s"))
+    again = answered.where(F.col("target") % 3 == 0).select("route_key", F.lit(2).alias("attempt"), status.alias("status"), (metres * 1.25).alias("distance_m"), (metres / 6.0).alias("duration_s"))
+    early = edges.where(F.col("source") % 5 == 0).select("route_key", F.lit(1).alias("attempt"), F.lit("Ok").alias("status"), F.lit(1.0).alias("distance_m"), F.lit(1.0).alias("duration_s"))
+    return early.unionByName(final).unionByName(again)
 
 
 def routed_of(i):
+    """The lookup goes through its file and reader."""
     edges, _ = directed_of(i)
-    return routes.with_road_metrics(edges, routes.latest_lookup(road_attempts(edges)))
+    path = table_path(i.spark, "roads")
+    sinks.write_table(road_attempts(edges), path, fmt="csv")
+    return routes.with_road_metrics(edges, routes.latest_lookup(tables.read_road_lookup(i.spark, path)))
 
 
 _D = ("osrm", "peak25", "bus1757")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airgrid import sinks
 from airgrid.catalog import robustness as r
 from airgrid.catalog import sql as q
 from airgrid.catalog import trips as t
@@ -14,7 +15,8 @@ from airgrid.operators import buffers, cells as cells_op, trips
 from airgrid.operators.sequences import compress_visits, transitions
 from airgrid.plans import core, followup, heights, resampling as rs, robustness as rb, routes, sites
 from airgrid.plans.summary import summarize
-from airgrid.session import materialize
+from airgrid.session import materialize, table_path
+from airgrid.sources import tables
 
 # ---------------------------------------------------------------- inventory
 q.view("inventory", f"""SELECT *, {q.row_of('lat', GRID)} AS row, {q.col_of('lon', GRID)} AS col FROM (
@@ -260,7 +262,8 @@ def monitoring_random_baseline(i):
 
 
 # ----------------------------------------------------------- endpoint heights
-q.view("terrain", "SELECT median_lat AS lat, median_lon AS lon, ((row*7 + col*3) % 80)::DOUBLE AS terrain_m FROM endpoint_alt WHERE (row + col) % 13 <> 0")
+q.view("terrain_once", "SELECT median_lat AS lat, median_lon AS lon, ((row*7 + col*3) % 80)::DOUBLE AS terrain_m FROM endpoint_alt WHERE (row + col) % 13 <> 0")
+q.view("terrain", "SELECT * FROM terrain_once UNION ALL SELECT lat, lon, terrain_m - 3.5 FROM terrain_once WHERE lat IS NOT NULL AND terrain_m % 5 = 0")
 q.view("ep_base", """SELECT e.*, terrain_m, median_altitude - terrain_m AS rel_ground_m FROM endpoint_alt e LEFT JOIN (SELECT printf('%.6f,%.6f', lat, lon) AS key, max(terrain_m) AS terrain_m FROM terrain GROUP BY 1) t
   ON t.key = printf('%.6f,%.6f', median_lat, median_lon)""")
 q.view("ep_mid", "SELECT avg(median_lat) AS mid FROM ep_base")
@@ -279,13 +282,25 @@ def endpoint_table(i):
     return trips.endpoint_altitudes(trips.endpoints(t.od_of(i), GRID))
 
 
-def terrain_of(ends):
-    return ends.where((F.col("row") + F.col("col")) % 13 != 0).select(F.col("median_lat").alias("lat"), F.col("median_lon").alias("lon"), ((F.col("row") * 7 + F.col("col") * 3) % 80).cast("double").alias("terrain_m"))
+def terrain_of(i, ends):
+    """The terrain lookup through its file and reader: cells without a row, and some with an older, lower one beside it."""
+    rows = ends.where((F.col("row") + F.col("col")) % 13 != 0).select(F.col("median_lat").alias("lat"), F.col("median_lon").alias("lon"), ((F.col("row") * 7 + F.col("col") * 3) % 80).cast("double").alias("terrain_m"))
+    rows = rows.unionByName(rows.where(F.col("lat").isNotNull() & (F.floor(F.col("terrain_m")) % 5 == 0)).withColumn("terrain_m", F.col("terrain_m") - 3.5)).withColumn("source", F.lit("grid"))
+    path = table_path(i.spark, "terrain")
+    sinks.write_table(rows, path, fmt="csv")
+    return tables.read_terrain(i.spark, path)
+
+
+def buildings_of(i):
+    """The building inventory through its file and reader, which drops incomplete rows."""
+    path = table_path(i.spark, "buildings")
+    sinks.write_table(i.buildings.select("building_height_m", "lon", "lat"), path, fmt="csv")
+    return tables.read_buildings(i.spark, path)
 
 
 def classified_of(i):
     ends = endpoint_table(i)
-    return heights.classify(ends, terrain_of(ends), i.buildings, sites.operational_sites(inventory_of(i)))
+    return heights.classify(ends, terrain_of(i, ends), buildings_of(i), sites.operational_sites(inventory_of(i)))
 
 
 @query("endpoint_heights", "row:i col:i terrain_m:f rel_ground_m:f nearest_bldg_dist_m:f4 nearest_bldg_height_m:f bldg_count:i best_height_gap:f best_match_height:f best_match_dist:f4 nearest_station_m:f4 station_adjacent:b height_class:s",
@@ -321,7 +336,7 @@ def _sens(radius, tol):
 def height_sensitivity(i):
     """C23, J14."""
     ends = endpoint_table(i)
-    return heights.sensitivity(heights.with_terrain(ends, terrain_of(ends)), i.buildings)
+    return heights.sensitivity(heights.with_terrain(ends, terrain_of(i, ends)), buildings_of(i))
 
 
 # ----------------------------------------------------------------- follow-up
@@ -334,7 +349,8 @@ q.view("nav_logs", f"""SELECT 'logs/' || CASE k % 4 WHEN 0 THEN 'A/R' || (k % 3)
 q.view("nav_meta", """SELECT *, source_folder || '__' || route_code || '__' || stem AS flight_id, try_strptime(stem, '%Y%m%d-%H%M%S') AS flight_start_local FROM (
   SELECT *, CASE WHEN len(parts) >= 3 THEN parts[1] ELSE 'root_logs' END AS source_folder, CASE WHEN len(parts) >= 3 THEN parts[2] ELSE 'unassigned' END AS route_code, parts[len(parts)] AS file_name, regexp_replace(parts[len(parts)], '\\.[^.]*$', '') AS stem
   FROM (SELECT *, string_split(replace(path, 'logs/', ''), '/') AS parts FROM nav_logs)) WHERE substr(stem, 1, 4) IN ('2025', '2026')""")
-q.view("nav_points", f"""SELECT *, {q.row_of('latitude', GRID)} AS row, {q.col_of('longitude', GRID)} AS col, flight_start_local + to_seconds(floor(elapsed_s)::BIGINT) AS datetime FROM (
+_INSIDE = f"latitude >= {q.num(GRID.min_lat)} AND (latitude - {q.num(GRID.min_lat)}) * {q.num(GRID.m_lat)} / {q.num(float(GRID.size_m))} < {GRID.n_rows} AND longitude >= {q.num(GRID.min_lon)} AND (longitude - {q.num(GRID.min_lon)}) * {q.num(GRID.m_lon)} / {q.num(float(GRID.size_m))} < {GRID.n_cols}"
+q.view("nav_points", f"""SELECT *, {_INSIDE} AS is_within_main_grid, {q.row_of('latitude', GRID)} AS row, {q.col_of('longitude', GRID)} AS col, flight_start_local + to_seconds(floor(elapsed_s)::BIGINT) AS datetime FROM (
   SELECT flight_id, source_folder, route_code, file_name, flight_start_local, strftime(flight_start_local, '%Y-%m-%d') AS flight_date_local, logtime, (logtime - min(logtime) OVER (PARTITION BY flight_id))/1e6 AS elapsed_s, lat AS latitude, lon AS longitude,
   sqrt(vel_x*vel_x + vel_y*vel_y) AS ground_speed, altitude_agl FROM nav_meta WHERE lat > 20 AND lat < 25 AND lon > 110 AND lon < 116 AND logtime IS NOT NULL)""")
 
@@ -343,7 +359,7 @@ def nav_points(i):
     return followup.normalize_logs(i.nav_logs, GRID)
 
 
-@query("flight_log_points", "flight_id:s source_folder:s route_code:s file_name:s flight_date_local:s elapsed_s:f datetime:t longitude:f latitude:f ground_speed:f altitude_agl:f row:i col:i",
+@query("flight_log_points", "flight_id:s source_folder:s route_code:s file_name:s flight_date_local:s elapsed_s:f datetime:t longitude:f latitude:f ground_speed:f altitude_agl:f row:i col:i is_within_main_grid:b",
        "SELECT * FROM nav_points")
 def flight_log_points(i):
     """S13, S15, P25."""

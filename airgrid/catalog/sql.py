@@ -238,7 +238,7 @@ view("raw_telemetry", f"""SELECT CASE WHEN keep THEN order_id END AS order_id, C
 view("event_points", "SELECT user_id::varchar AS order_id, ts AS datetime, value FROM events")
 
 view("sites", f"""SELECT s_name AS site_name, 'platform' || (s_nationkey % 2)::varchar AS platform,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'other' ELSE 'main' END AS city, CASE WHEN s_suppkey % 17 = 0 THEN 'test pad' END AS note,
+  CASE WHEN s_suppkey % 10 = 0 THEN 'other' ELSE 'main' END AS city, CASE WHEN s_suppkey % 17 = 0 THEN 'test pad 试飞 é' END AS note,
   '2023-0' || (1 + s_suppkey % 9)::varchar AS open_time,
   CASE WHEN s_suppkey % 23 = 0 THEN 'unknown' ELSE ({_LON})::varchar END AS lon, ({_LAT})::varchar AS lat
   FROM (SELECT *, cast((s_suppkey*7) % 100 as double)/100.0::double AS x, cast(s_suppkey % 50 as double)/50.0::double AS y FROM supplier)""")

@@ -31,3 +31,14 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     near = marked.where(F.col("_found").isNotNull()).select(*left.columns, "_found.*")
     far = marked.where(F.col("_found").isNull()).select(*left.columns).join(right, on, "left").select(*left.columns, *carried)
     return near.unionByName(far)
+
+
+def resolved(answers: DataFrame, key: str, version: str, values: Sequence[str]) -> DataFrame:
+    """One row per key of a lookup with repeated answers: the latest version, among equals the largest values; rows without a key go.
+
+    One aggregate that combines before it shuffles, whatever the number of answers for a key. Keys without an answer are
+    left to the join (null columns).
+    """
+    order = F.struct(version, *values)
+    best = answers.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(order).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{v}").alias(v) for v in values])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.operators.joins import resolved
 from airgrid.operators.percentiles import exact_percentiles
 from airgrid.operators.spatial import nearest, within_radius
 from airgrid.session import materialize
@@ -21,7 +22,8 @@ def terrain_key(lat: str, lon: str) -> Column:
 
 def with_terrain(endpoints: DataFrame, terrain: DataFrame) -> DataFrame:
     """Height above ground from the terrain lookup (keyed by formatted coordinates); null where the lookup has no row."""
-    lookup = terrain.where(F.col("terrain_m").isNotNull()).groupBy(terrain_key("lat", "lon").alias("key")).agg(F.max("terrain_m").alias("terrain_m"))
+    keyed = terrain.where(F.col("terrain_m").isNotNull()).select(terrain_key("lat", "lon").alias("key"), F.lit(0).alias("version"), "terrain_m")
+    lookup = resolved(keyed, "key", "version", ["terrain_m"])
     joined = endpoints.withColumn("key", terrain_key(*_POS)).join(lookup, "key", "left").drop("key")
     return joined.withColumn("rel_ground_m", F.col("median_altitude") - F.col("terrain_m"))
 

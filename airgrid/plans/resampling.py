@@ -46,13 +46,20 @@ def bootstrap_summary(draws: DataFrame, columns: Sequence[str]) -> DataFrame:
 def null_summary(draws: DataFrame, value: str, observed: Column, by: Sequence[str] = ()) -> DataFrame:
     """Distribution of null values against the observed one, with both one-sided empirical p values."""
     v = finite(F.col(value))
-    tail = lambda test: (F.count_if(test) + 1) / (F.count(v) + 1)
+    tail = lambda test: (F.count_if(test) + 1) / (F.count(v) + 1)
     return draws.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_values"), F.count(v).alias("n_finite"), F.max(observed).alias("observed"), F.avg(v).alias("mean"),
         *bounded_percentiles(v, {"median": .5, "lo": .025, "hi": .975}), F.max(v).alias("max"),
         tail(v >= observed).alias("p_ge"), tail(v <= observed).alias("p_le"))
 
 
+def null_summaries(draws: DataFrame, observed: dict[str, Column]) -> DataFrame:
+    """``null_summary`` of several columns, one row per measure."""
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), o.cast("double").alias("seen")) for m, o in observed.items()]))
+    long = draws.select(values.alias("m")).select("m.*")
+    return null_summary(long, "value", F.col("seen"), ["measure"])
+
+
 def date_hour_bootstrap(windows: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
     """RR and odds ratio per iteration from resampled date-hour blocks."""
     tagged = windows.withColumn("block", date_hour(F.col("window_start")))
@@ -185,6 +192,15 @@ def od_reassignment_null(ends: DataFrame, windows: DataFrame, grid: GridSpec, n:
         (F.sum(x * F.col("exact")) / all_x).alias("exact_share"), (F.sum(x * F.col("near")) / all_x).alias("buffer_share"))
 
 
+def endpoint_shares(ends: DataFrame, occ: DataFrame, grid: GridSpec) -> dict[str, Column]:
+    """Observed share of congested windows in the endpoint cells, and in these and their neighbours."""
+    cells = materialize(cells_op.exceedance(occ, rho_star(occ)))
+    exact = materialize(ends.select("row", "col").distinct())
+    whole = F.sum("exceedance_count")
+    share = lambda held: cells.join(held.select("row", "col").distinct(), ["row", "col"]).agg(whole).scalar() / cells.agg(whole).scalar()
+    return {"exact_share": share(exact), "buffer_share": share(buffer_cells(exact, 1, grid=grid, edge="clamp"))}
+
+
 def cluster_bootstrap(parts: DataFrame, group: str, backbone: DataFrame, rho: Column, n: int, seed: int) -> DataFrame:
     """RR and odds ratio when whole groups (vendor-days, route-days) are resampled with multiplicity.
 

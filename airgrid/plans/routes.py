@@ -14,6 +14,7 @@ from airgrid.operators import graph
 from airgrid.operators.percentiles import bounded_percentiles, exact_percentiles
 from airgrid.operators.ranking import gini, global_rank, top_k_size, weighted_median
 from airgrid.operators.sequences import compress_visits, order_lengths, route_signatures, transitions
+from airgrid.operators.joins import resolved
 from airgrid.operators.spatial import pairs_within
 from airgrid.operators.trips import distance_bin
 from airgrid.session import materialize
@@ -146,8 +147,8 @@ def out_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def latest_lookup(attempts: DataFrame) -> DataFrame:
-    """Last answer per route key."""
-    return attempts.groupBy("route_key").agg(F.max_by(F.struct("status", "distance_m", "duration_s"), "attempt").alias("r")).select("route_key", "r.*")
+    """Last answer per route key; of equally late ones the longest."""
+    return resolved(attempts, "route_key", "attempt", ["distance_m", "duration_s", "status"])
 
 
 def with_road_metrics(edges: DataFrame, lookup: DataFrame) -> DataFrame:

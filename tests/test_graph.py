@@ -8,10 +8,13 @@ from collections import defaultdict
 import pytest
 
 from airgrid.operators import graph
-from airgrid.operators.spatial import nearest, pairs_within, within_radius
+from airgrid.operators.joins import lookup_join
+from airgrid.operators.spatial import nearest, pairs_within, position_pairs, within_radius
 from airgrid.plans.routes import backbone_continuity, network_nodes, network_summary
 from pyspark.sql import functions as F
 
+from airgrid.session import materialize
+
 
 def frames(spark, edges, nodes):
     e = spark.createDataFrame([(a, b, w) for a, b, w in edges], "src bigint, dst bigint, weight bigint")
@@ -129,3 +132,86 @@ def test_distance_joins_against_brute_force(spark):
     assert close == {(a[0], b[0]) for a in data for b in other if flat(a, b) <= 400.0}
     near = {r.k: r.t for r in nearest(df, ["k"], targets, ["t"], F.lit(mid), start_m=50.0, **pos).collect()}
     assert near == {a[0]: min(other, key=lambda b: flat(a, b))[0] for a in data}
+
+
+def test_nearest_descends_many_levels(spark):
+    """Clumped targets, queries far outside, and ties: the pyramid keeps every tile that may hold the answer."""
+    rng = random.Random(12)
+    mid = 22.5
+    targets = [(k, 22.4 + round(rng.random(), 1) * 0.3 + rng.random() * 1e-3, 113.9 + round(rng.random(), 1) * 0.3 + rng.random() * 1e-3) for k in range(300)]
+    targets += [(900, *targets[0][1:]), (901, None, 114.0)]
+    queries = [(k, 22.0 + rng.random(), 113.5 + rng.random()) for k in range(80)] + [(80, 30.0, 100.0), (81, *targets[0][1:])]
+    df = spark.createDataFrame(queries, "k int, lat double, lon double")
+    spots = spark.createDataFrame(targets, "t int, t_lat double, t_lon double")
+    from math import cos, hypot, radians
+    flat = lambda a, b: hypot(b[1] - a[1], (b[2] - a[2]) * cos(radians(mid)))
+    want = {q[0]: min((t for t in targets if t[1] is not None), key=lambda t: (round(flat(q, t), 12), t[0]))[0] for q in queries}
+    for factor in (2, 8):
+        got = nearest(df, ["k"], spots, ["t"], F.lit(mid), query_pos=("lat", "lon"), target_pos=("t_lat", "t_lon"), start_m=20.0, factor=factor)
+        assert {r.k: r.t for r in got.collect()} == want
+    assert nearest(df, ["k"], spots.limit(0), ["t"], F.lit(mid), query_pos=("lat", "lon"), target_pos=("t_lat", "t_lon")).count() == 0
+
+
+def test_position_pairs_carry_multiplicities(spark):
+    """Many points on few positions: at most one row for two positions, and together as many pairs as the points have."""
+    rng = random.Random(4)
+    spots = [(22.5 + k * 0.001, 114.0) for k in range(9)]
+    points = [(f"p{k:04d}", *rng.choice(spots)) for k in range(600)]
+    df = spark.createDataFrame(points, "site string, lat double, lon double")
+    got = position_pairs(df, "site", 250.0).collect()
+    assert len(got) <= 9 + 9 * 8 // 2
+    assert sum(r.pairs for r in got) == pairs_within(df, "site", 250.0).count()
+    held = defaultdict(list)
+    for p, *spot in points:
+        held[tuple(spot)].append(p)
+    for r in got:
+        a, b = held[(r.lat_a, r.lon_a)], held[(r.lat_b, r.lon_b)]
+        assert (r.n_a, r.n_b) == (len(a), len(b)) and r.site_a == min(a) and r.site_b == (max(b) if a is b else min(b))
+
+
+def union_find(nodes, edges):
+    of = {n: n for n in nodes}
+
+    def root(n):
+        while of[n] != n:
+            n = of[n]
+        return n
+    for a, b in edges:
+        x, y = root(a), root(b)
+        of[max(x, y)] = min(x, y)
+    return {n: root(n) for n in nodes}
+
+
+def test_components_of_hard_shapes(spark):
+    """A long path in mixed order, a star, a comb and a random graph, each twice, in one run."""
+    rng = random.Random(6)
+    path = list(range(200))
+    rng.shuffle(path)
+    shapes = {"path": list(zip(path, path[1:])), "star": [(150, k) for k in range(0, 300, 2)], "straight": [(k, k + 1) for k in range(150)],
+              "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]}
+    edges = [(name, a, b) for name, pairs in shapes.items() for a, b in pairs]
+    nodes = [(name, k) for name in shapes for k in range(300)]
+    got = graph.connected_components(spark.createDataFrame(nodes, "shape string, node bigint"), spark.createDataFrame(edges, "shape string, src bigint, dst bigint"), ["shape"])
+    got = {(r.shape, r.node): r.label for r in got.collect()}
+    for name, pairs in shapes.items():
+        for node, label in union_find(range(300), pairs).items():
+            assert got[name, node] == label, name
+
+
+def test_lookups_of_a_frequent_key_stay_spread(spark):
+    """A key of nearly all rows is looked up without a shuffle: no partition of the result holds its rows alone."""
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1).alias("k")).repartition(8)
+    right = spark.createDataFrame([(-1, "hot"), (100, "one"), (7, "none")], "k bigint, v string")
+    out = materialize(lookup_join(left, right, ["k"]))
+    assert {(r.v, r.n) for r in out.groupBy("v").agg(F.count("*").alias("n")).collect()} == {("hot", 39_600), ("one", 1), (None, 399)}
+    sizes = [r.n for r in out.where("v = 'hot'").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 39_600 / len(sizes) and len(sizes) >= 4
+
+
+def test_betweenness_in_batches(spark):
+    rng = random.Random(2)
+    edges = {tuple(sorted(rng.sample(range(8), 2))) for _ in range(12)}
+    e, n = frames(spark, [(a, b, rng.randrange(1, 4)) for a, b in sorted(edges)], range(8))
+    e = e.withColumn("cost", 1 / F.col("weight"))
+    whole, parts = ({r.node: r.betweenness for r in graph.betweenness(e, n, batch=b).collect()} for b in (1000, 4))
+    assert set(whole) == set(range(8)) and all(whole[k] == pytest.approx(parts[k]) for k in whole)

@@ -12,7 +12,8 @@ from airgrid.operators import cells as cells_op
 from airgrid.operators.sequences import compress_visits
 from airgrid.operators.trips import trip_lengths
 from airgrid.plans import core, resampling as rs, robustness as rb
-from airgrid.plans.summary import leave_out, negated, summarize
+from airgrid.plans.folds import summarize_folds
+from airgrid.plans.summary import negated, summarize
 from airgrid.session import materialize
 
 
@@ -38,10 +39,27 @@ def test_totals(inputs):
 
 def test_removing_nothing_changes_nothing(spark, inputs):
     nothing = negated(inputs.occ.limit(0)).withColumn("fold", F.lit("x"))
-    empty = spark.createDataFrame([("x", -1, -1, 0, 0, 0.0, 0, 0, 0.0)],
-                                  "fold string, row int, col int, n_points bigint, windows bigint, speed_sum double, speed_windows bigint, moving_windows bigint, moving_sum double")
-    folds = leave_out(inputs.occ, nothing.select(*empty.columns).unionByName(empty), "fold")
-    close(summarize(inputs.occ).first(), summarize(folds, ["fold"]).drop("fold").first())
+    folds = summarize_folds(inputs.occ, nothing, spark.createDataFrame([("x",)], "fold string"), "fold")
+    close(summarize(inputs.occ).first(), folds.drop("fold").first())
+
+
+def test_folds_equal_one_by_one_summaries(spark, inputs):
+    """Folds without some cells, down to a fold that loses most of the backbone, against a summary of what each leaves; ten times as
+    many folds of the same cells give the same rows."""
+    occ = materialize(inputs.occ)
+    cells = [(r.row, r.col) for r in core.ranked_cells(cells_op.traffic(occ)).orderBy("rank").collect()]
+    taken = {"first": cells[:1], "busiest": cells[:len(cells) // 9], "second": cells[1::2], "quiet": cells[-len(cells) // 3:], "none": [], "all": cells}
+    groups = spark.createDataFrame([(f"{k}{i}", *c) for k, v in taken.items() for c in v for i in range(10)], "fold string, row int, col int")
+    names = spark.createDataFrame([(f"{k}{i}",) for k in taken for i in range(10)], "fold string")
+    deltas = negated(occ.join(groups, ["row", "col"]).select("fold", "row", "col", "n_points", *cells_op.OCCUPANCY_SUMS))
+    got = {r.fold: r for r in summarize_folds(occ, deltas, names, "fold").collect()}
+    assert len(got) == 10 * (len(taken) - 1)
+    for k, v in taken.items():
+        if k != "all":
+            gone = spark.createDataFrame(v or [(-9, -9)], "row int, col int")
+            want = summarize(occ.join(gone, ["row", "col"], "left_anti")).first()
+            for i in range(10):
+                close(want, got[f"{k}{i}"])
 
 
 def test_leave_out_equals_recomputation(inputs):

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airgrid.functions.risk import _incomplete_beta, fisher_two_sided, risk_columns
+from airgrid.functions.risk import fisher_p, incomplete_beta, log_gamma, pearson_p, risk_columns
 from airgrid.functions.time import parse_compact, slot_label, strip_fraction, window_start
 from airgrid.operators import breakpoints as bp
+from airgrid.operators import percentiles
 from airgrid.operators.buffers import buffer_cells, cell_degrees, set_overlap
 from airgrid.operators.percentiles import exact_percentiles
 from airgrid.operators.ranking import gini, global_rank, rank_with_shares, top_fraction, weighted_median
@@ -91,18 +92,42 @@ def brute_fisher(a, b, c, d):
     return min(1.0, sum(p(x) for x in range(max(0, k + r - n), min(k, r) + 1) if p(x) <= p(a) * (1 + 1e-7)))
 
 
-def test_fisher_against_enumeration():
+def test_fisher_against_enumeration(spark):
     rng = random.Random(3)
-    tables = [(3, 1, 1, 3), (0, 5, 3, 9), (10, 20, 5, 100), (7, 0, 0, 6), (2, 2, 2, 2)] + [tuple(rng.randrange(40) for _ in range(4)) for _ in range(60)]
-    for t in tables:
-        if sum(t):
-            assert fisher_two_sided(*t) == pytest.approx(brute_fisher(*t), rel=1e-6, abs=1e-12), t
-    assert 0 <= fisher_two_sided(47894, 677572, 121, 697789) < 1e-100
-
-
-def test_t_distribution_tail():
-    # two-sided p of t = 2.228 with 10 degrees of freedom is 0.05
-    assert _incomplete_beta(5.0, 0.5, 10 / (10 + 2.2281388519649385 ** 2)) == pytest.approx(0.05)
+    tables = [(3, 1, 1, 3), (0, 5, 3, 9), (10, 20, 5, 100), (7, 0, 0, 6), (2, 2, 2, 2), (400, 900, 350, 1000)] + [tuple(rng.randrange(40) for _ in range(4)) for _ in range(60)]
+    tables = [t for t in tables if sum(t)] + [(47894, 677572, 121, 697789), (0, 0, 0, 0)]
+    got = spark.createDataFrame(tables, "a long, b long, c long, d long").withColumn("p", fisher_p()).collect()
+    for r in got[:-2]:
+        assert r.p == pytest.approx(brute_fisher(r.a, r.b, r.c, r.d), rel=1e-6, abs=1e-12), r
+    assert 0 <= got[-2].p < 1e-100 and got[-1].p is None
+
+
+def test_gamma_and_beta(spark):
+    rows = spark.range(1, 400).select((F.col("id") / 4).alias("z")).withColumn("g", log_gamma(F.col("z"))).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.z), abs=1e-12, rel=1e-14) for r in rows)
+    # two-sided p of t = 2.228 with 10 degrees of freedom is 0.05; I(0.5; 2, 3) = 11/16
+    x = spark.range(1).select(incomplete_beta(F.lit(5.0), F.lit(0.5), F.lit(10 / (10 + 2.2281388519649385 ** 2))).alias("t"),
+                              incomplete_beta(F.lit(2.0), F.lit(3.0), F.lit(0.5)).alias("b")).first()
+    assert x.t == pytest.approx(0.05) and x.b == pytest.approx(11 / 16)
+    p = spark.createDataFrame([(0.632, 10), (-1.0, 5), (None, 9), (0.5, 2)], "r double, n long").select(pearson_p("r", "n").alias("p")).collect()
+    assert p[0].p == pytest.approx(0.05, abs=2e-4) and [r.p for r in p[1:]] == [0.0, None, None]
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-7])
+def test_percentiles_of_a_crowded_bin(spark, monkeypatch, spread):
+    """Continuous values that fill one lattice bin are found through cells of that bin."""
+    monkeypatch.setattr(percentiles, "CROWD", 50)
+    rng = random.Random(8)
+    data = [(g, 3.0 + spread * rng.random()) for g in "ab" for _ in range(3000)] + [("c", None), ("c", 4.5), ("d", -0.25), ("d", -0.75)]
+    probs = {"p": 0.05, "q": 0.5, "r": 0.951}
+    got = percentiles.exact_percentiles(spark.createDataFrame(data, "g string, v double").repartition(5), "v", probs, width=10.0, by=["g"]).collect()
+    assert len(got) == 4
+    for r in got:
+        values = sorted(v for g, v in data if g == r.g and v is not None)
+        for name, q in probs.items():
+            at = (len(values) - 1) * q
+            want = values[math.floor(at)] + (values[math.ceil(at)] - values[math.floor(at)]) * (at - math.floor(at))
+            assert r[name] == pytest.approx(want, rel=1e-12)
 
 
 def test_rank_ties_and_cumulative_share(spark):
