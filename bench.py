@@ -12,7 +12,8 @@ from airgrid.testing import local_session
 HEADLINE = ("critical_density", "cell_stats", "cell_window_stats", "ranked_cells", "clean_points", "trajectory_stats", "od_pairs", "trip_lengths",
             "operational_table", "binned_relations", "hourly_profile", "subset_summary", "leave_one_day_out", "leave_one_vendor_day_out",
             "grid_size_sensitivity", "date_hour_bootstrap", "time_shuffle_null", "vendor_day_bootstrap", "route_day_bootstrap", "edge_support",
-            "skeleton_sensitivity", "endpoint_clusters", "route_network_summary", "road_comparison", "endpoint_heights", "flight_metrics")
+            "skeleton_sensitivity", "endpoint_clusters", "route_network_summary", "road_comparison", "endpoint_heights", "flight_metrics",
+            "leave_one_hub_out", "monitoring_random_baseline")
 
 
 def main() -> None:
