@@ -14,9 +14,7 @@ lines AS (SELECT * FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))
 normal AS (SELECT doc_id, host, line, {_WORDS.format(text="translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000')")} AS w FROM lines),
 keyed AS (SELECT doc_id, host, line, array_to_string(w, ' ') AS norm, len(w) AS n FROM normal),
 repeats AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS docs FROM docs GROUP BY host),
-often AS (SELECT k.host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM keyed GROUP BY host, norm) k
-          JOIN hosts h ON h.host IS NOT DISTINCT FROM k.host WHERE n >= 20 AND n > 0.1 * docs),
+often AS (SELECT host, norm FROM keyed GROUP BY host, norm HAVING count(DISTINCT doc_id) > 6),
 removed AS (SELECT doc_id, sum(n) AS n_removed_words FROM keyed k JOIN often o ON o.host IS NOT DISTINCT FROM k.host AND o.norm = k.norm GROUP BY doc_id),
 measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

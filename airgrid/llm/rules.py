@@ -1,13 +1,14 @@
 """Quality rules with cross-document line frequency.
 
 One pass over whole texts gives each document's counts and its distinct lines: a 64-bit hash of the normalised line (lower-cased, digits
-made 0, white space collapsed) and its words. Spark counts a line's documents per host; lines in more than ``share`` of the host's
-documents, and in ``least`` at least, are removed. A document is rejected when it fails the base rules (fewer than 50 words, or over half
+made 0, white space collapsed) and its words. Spark counts a line's documents per host; lines in more than ``most`` documents of a host
+are removed, whatever the size of the host. A document is rejected when it fails the base rules (fewer than 50 words, or over half
 of its words in repeated three-word windows), has more than ``symbols`` symbols a word, more than ``repeats`` of its lines
 are repeats, or less than ``left`` of its words are left after the removal.
 
-Lines are counted by (host, hash), combined before the shuffle, so neither a host with a third of all documents nor a line
-that most documents have meets one task. At most 1 / ``share`` times a document's mean number of lines are removed per host.
+Lines are counted by (host, hash), combined before the shuffle. The removed lines grow with the corpus, so lines meet them in a shuffle;
+only those with more than a ``HOT`` x partitions-th of all removed rows, of which there are fewer than that, are broadcast. So neither a
+host with a third of all documents nor a line that most documents have meets one task.
 
 Defined results: null and empty texts have no words and fail; null hosts are one host; repeated rows are a document each; an empty table
 gives no rows; other columns are ignored.
@@ -31,6 +32,7 @@ SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 WINDOW = 3
+HOT = 4
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -88,19 +90,29 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.alias("host"), "text").mapInArrow(run, schema)
 
 
-def frequent_lines(found: DataFrame, share: float, least: int) -> DataFrame:
-    """host, hash of the lines above the limits."""
-    hosts = found.groupBy("host").agg(F.count("*").alias("docs")).withColumnRenamed("host", "of")
-    lines = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > F.col("docs") * share).select("host", "hash")
+def frequent_lines(found: DataFrame, most: int) -> DataFrame:
+    """host, hash, n (documents of the host that have the line) of the lines above the limit."""
+    lines = found.select("host", F.explode("hashes").alias("hash"))
+    return lines.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > most)
 
 
-def apply_rules(docs: DataFrame, share: float = 0.1, least: int = 20, symbols: float = 0.5, repeats: float = 0.5, left: float = 0.4) -> DataFrame:
+def removed_words(found: DataFrame, bad: DataFrame) -> DataFrame:
+    """row, n_removed_words of the documents that lose lines."""
+    lines = found.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("row", "host", F.col("l.hashes").alias("hash"), F.col("l.words").alias("words"))
+    parts = HOT * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = (bad.agg(F.sum("n")).first()[0] or 0) // parts
+    named = bad.select(F.col("host").alias("of"), F.col("hash").alias("key"), "n")
+    same = F.col("host").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("key"))
+    marked = lines.join(F.broadcast(named.filter(F.col("n") > limit)), same, "left")  # fewer than ``parts`` rows are broadcast
+    near = marked.filter(F.col("key").isNotNull()).select("row", "words")
+    far = marked.filter(F.col("key").isNull()).select(*lines.columns).join(named.filter(F.col("n") <= limit).hint("merge"), same).select("row", "words")
+    return near.unionByName(far).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+
+
+def apply_rules(docs: DataFrame, most: int = 6, symbols: float = 0.5, repeats: float = 0.5, left: float = 0.4) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words."""
     found = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()))
-    bad = frequent_lines(found, share, least).select(F.col("host").alias("of"), "hash")
-    lines = found.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("row", "host", F.col("l.hashes").alias("hash"), F.col("l.words").alias("words"))
-    removed = (lines.join(materialize(bad), "hash").filter(F.col("host").eqNullSafe(F.col("of"))).groupBy("row").agg(F.sum("words").alias("n_removed_words")))
+    removed = removed_words(found, materialize(frequent_lines(found, most)))
     df = found.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     n = F.col("n_words")
     base_failed = (n < 50) | (F.col("n_repeat_words") * 100 > n * 50)

@@ -209,8 +209,8 @@ def test_long_texts_leave_the_labelled_sample_whole(spark):
     with pytest.warns(UserWarning, match="10 of 100 labelled texts"):
         got = toxicity.labelled_sample(docs, labels, "toxic", every, 1000, 80_000)
     assert {r.doc_id for r in got} == {i for i in range(100) if i % 10}
-    with pytest.raises(ValueError, match="nothing to learn"):
-        toxicity.labelled_sample(docs.filter("doc_id % 10 = 0"), labels, "toxic", every, 1000, 80_000)
+    with pytest.warns(UserWarning, match="10 of 10 labelled texts"):
+        assert toxicity.labelled_sample(docs.filter("doc_id % 10 = 0"), labels, "toxic", every, 1000, 80_000) == []
     assert toxicity.labelled_sample(docs, labels.limit(0), "toxic", every, 1000, 80_000) == []
 
 
@@ -355,10 +355,24 @@ def test_quality_rules(spark, docs, none):
 
 
 def test_lines_of_many_documents_are_removed(spark):
+    """Production limits: a notice in 7 documents of a host goes, in 6 of another (or of the null host) it stays; the size of the host
+    has no say."""
     common = "subscribe to our letter now\n" + " ".join(f"notice{i}" for i in range(60))
-    df = spark.createDataFrame([(i, f"{common}\n{prose(5)}" if i < 30 else prose(80), "h") for i in range(100)], "doc_id bigint, text string, source string")
-    got = {r.doc_id: r for r in rules.apply_rules(df, share=0.2, least=10).collect()}
-    assert all(got[i].n_removed_words == 65 and not got[i].kept for i in range(30)) and all(got[i].kept for i in range(30, 100))
+    shared = [(i, f"{common}\n{prose(5)}", "big" if i < 7 else "small" if i < 13 else None) for i in range(19)]
+    df = spark.createDataFrame(shared + [(i, prose(80), "big") for i in range(100, 400)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in rules.apply_rules(df).collect()}
+    assert len(got) == 319 and not any(r.base_failed for r in got.values())
+    assert all(got[i].n_removed_words == 65 and not got[i].kept for i in range(7))
+    assert all(got[i].n_removed_words == 0 and got[i].kept for i in got if i >= 7)
+
+
+def test_frequent_lines_beside_a_count(spark):
+    """Lines of every frequency, one of them in all documents (looked up in the broadcast table)."""
+    rows = [(i, "\n".join(["one for all"] + [f"line{'abcdefghij'[k]} {'w ' * k}" for k in range(10) if i % (k + 1) == 0]), f"h{i % 2}") for i in range(60)]
+    keys = collections.Counter((h, line) for _, t, h in rows for line in t.split("\n"))
+    want = {i: sum(len(line.split()) for line in t.split("\n") if keys[h, line] > 6) for i, t, h in rows}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.n_removed_words for r in rules.apply_rules(df).collect()} == want
 
 
 # --- near duplicates ------------------------------------------------------------------
