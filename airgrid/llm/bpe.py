@@ -314,15 +314,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
     return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass over the texts."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, contents: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256, and with ``contents`` the ids (array of int) and the decoded text:
+    encoded and decoded in one pass over the texts."""
 
     def make(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
         ids = codec.encode([t.decode() for t in utf8_texts(part.column("text"))])
         back = codec.decode(ids)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
         sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)],
-                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _over(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ranks, pattern, ("doc_id", "text"),
-                 "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+        columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(sizes), "ids_sha256": sha(ids), "decoded_sha256": sha(back)}
+        if contents:
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            columns["text"] = pa.array([x.decode() for x in back], pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, text string" if contents else "")
+    return _over(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ranks, pattern, ("doc_id", "text"), schema, make)

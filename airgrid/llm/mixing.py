@@ -10,6 +10,10 @@ tree spreads the drawn blocks over the output shards: at each node the left half
 hypergeometric draw, given what is left (exact quotas, no global permutation). Ranges of the permuted blocks then
 belong to one shard each, and a shard's documents are ordered by a hash.
 
+What a document gives is read from its passes: the shards of its block in the whole passes, and that of the last one.
+Shards grow with the corpus (a power of two with about ``SHARD_WORDS`` words each, up to a quarter of ``blocks``); a larger shard is
+written in several pieces, so that no task holds more than about ``SHARD_WORDS`` words.
+
 The tables that hold one row per block or per source and shard are bounded by ``blocks`` and ``shards``; documents meet
 them by (source, block), so a source with a third of all rows is spread over its blocks. All draws are hashes: reruns agree.
 
@@ -26,6 +30,7 @@ from pyspark.sql.window import Window
 from airgrid.session import materialize
 
 WEIGHTS = (3, 1, 2)
+SHARD_WORDS = 1 << 23
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,12 +114,21 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 3) -> DataFrame:
     return flat.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, blocks: int = 1 << 12, shards: int = 8) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and passes, an array of
-    (shard, words) with an entry for each time that the document is taken."""
+def shard_count(words: float, blocks: int) -> int:
+    """Output shards of a mix of that many words: a power of two, 8 at least, with ``SHARD_WORDS`` words each as long as blocks are four times as many."""
+    shards = 8
+    while shards * SHARD_WORDS < words and shards * 4 < blocks:
+        shards *= 2
+    return shards
+
+
+def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, blocks: int = 1 << 12, shards: int | None = None) -> DataFrame:
+    """One row per document: doc_id, source, text_hash, size, source_size, target, taken, and passes, an array of
+    (shard, words) with an entry for each time that the document is taken; ``taken`` is their sum."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size")))
+    sized = materialize(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size.alias("size")))
     sources = materialize(source_targets(sized, share, most, weights))
+    shards = shards or shard_count(sources.agg(F.sum("target")).first()[0] or 0.0, blocks)
     spread = sources.select("source_no", F.col("source").alias("s"), F.least(F.lit(blocks), "n_docs").alias("n_blocks"))
     placed = sized.join(spread, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n_blocks"))).drop("s", "n_blocks")
     per = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words")).join(sources.select("source_no", "source_size", "target"), "source_no")
@@ -137,21 +151,31 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
                                  F.when(F.col("last") > 0, shard_of(F.col("full") * F.col("n") + F.col("nth"))).alias("last_shard")))
     rows = placed.join(per, ["source_no", "block"])
     cut = (F.col("last") > 0) & (F.col("last") < F.col("words"))
-    inner = Window.partitionBy("source_no").orderBy(F.xxhash64("doc_id", F.lit("cut")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source_no").orderBy(F.xxhash64("doc_id", F.lit("cut")), "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     whole_rows = rows.filter(~cut).withColumn("part", F.when(F.col("last") > 0, F.col("size")).otherwise(0))
     # one block of each source at most is cut
     cut_rows = rows.filter(cut).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("last") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
     rows = whole_rows.unionByName(cut_rows)
     passes = F.concat(F.transform("shards", lambda s: F.struct(s.alias("shard"), F.col("size").alias("words"))),
                       F.when(F.col("part") > 0, F.array(F.struct(F.col("last_shard").alias("shard"), F.col("part").alias("words")))).otherwise(F.array().cast("array<struct<shard:int,words:bigint>>")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).cast("bigint").alias("taken"), passes.alias("passes"))
-
-
-def mix(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: a row for each time that a document is taken, spread over ``shards``
-    partitions and shuffled inside. A document that was cut counts as taken if at least half of it was. Rows that share an id share
-    one decision."""
-    plan = plan_mix(docs, shards=shards, **options).filter("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("passes").alias("__passes"), F.max("size").alias("__size"))
-    taken = plan.select("__id", "__size", F.explode("__passes").alias("__p")).filter(F.col("__p.words") * 2 >= F.col("__size"))
-    rows = docs.join(taken.select("__id", F.col("__p.shard").alias("__shard")), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", F.xxhash64("doc_id", "__shard", F.lit("mix"))).select(*docs.columns)
+    rows = rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", passes.alias("passes"))
+    taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda words, p: words + p["words"])
+    return rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), "passes")
+
+
+def mix(docs: DataFrame, shards: int | None = None, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
+    """The mixed corpus with the columns of ``docs``: a row for each time that a document is taken, shard by shard and shuffled
+    inside. A document that was cut counts as taken if at least half of it was. Each row has its own decision; only rows equal in id,
+    source and text share one. A partition holds one shard, or a piece of one with over ``shard_words`` words."""
+    plan = materialize(plan_mix(docs, shards=shards, **options).filter(F.size("passes") > 0))
+    taken = (plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"))
+             .agg(F.max(F.struct("passes", "size")).alias("__p"))
+             .select("__id", "__source", "__text", F.col("__p.size").alias("__size"), F.explode("__p.passes").alias("__p")).filter(F.col("__p.words") * 2 >= F.col("__size")))
+    last, words = plan.agg(F.max(F.array_max("passes.shard")), F.sum("taken")).first()
+    n = (last or 0) + 1
+    pieces = int((words or 0) // (n * shard_words)) + 1
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__text"))
+    rows = docs.join(taken.select("__id", "__source", "__text", F.col("__p.shard").alias("__shard")), same)
+    order = F.xxhash64("doc_id", "source", "__text", "__shard", F.lit("mix"))
+    part = (F.col("__shard") * pieces + F.pmod(order, F.lit(pieces))).cast("int")
+    return rows.repartitionById(n * pieces, part).sortWithinPartitions(order).select(*docs.columns)

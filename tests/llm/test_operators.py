@@ -282,6 +282,28 @@ def test_mixing(docs, none):
     assert mixed.columns == docs.columns and {None, 10} <= {r.doc_id for r in mixed.collect()}
 
 
+def test_mixed_corpus_keeps_the_targets_of_shared_ids(spark):
+    """Rows that share an id, null included, have a decision each; pieces of shards cover every taken row once."""
+    rows = [(None if i % 2 else i % 6, prose(20 + i % 30), "abc"[i % 3], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, part int")
+    plan = mixing.plan_mix(docs, blocks=64, shards=8).collect()
+    target = {r.source: r.target for r in plan}
+    whole = sum(1 for r in plan for p in r.passes if 2 * p["words"] >= r.size)
+    mixed = mixing.mix(docs, blocks=64, shards=8, shard_words=400)
+    got = mixed.collect()
+    assert mixed.columns == docs.columns and len(got) == whole and mixed.rdd.getNumPartitions() > 8
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += len(words_of(r.text))
+    assert all(abs(taken[s] - target[s]) <= 50 for s in target)
+    assert max(collections.Counter(r.part for r in got).values()) <= 2
+    assert [r.part for r in mixed.collect()] == [r.part for r in got]
+
+
+def test_shards_grow_with_the_corpus():
+    assert [mixing.shard_count(w, 1 << 12) for w in (0, 8e7, 1e9, 1e15)] == [8, 16, 128, 1024]
+
+
 def test_splitting_tree_keeps_quotas_and_spreads(spark):
     quotas = {0: 500, 1: 60, 2: 0, 3: 7}
     rows = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source_no int, n bigint"), 8).collect()
