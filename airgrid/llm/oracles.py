@@ -23,7 +23,8 @@ measured AS (
   FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_symbols <= n_words * 0.5 AND n_dup_lines <= n_lines * 0.5 AND n_words - n_removed_words >= n_words * 0.4 AS kept, n_removed_words
+       NOT base_failed AND n_symbols <= n_words * 0.5 AND n_dup_lines <= n_lines * 0.5 AND n_words - n_removed_words >= n_words * 0.4
+       AND n_words - n_removed_words >= 50 AS kept, n_removed_words
 FROM judged"""
 
 OP10 = f"""

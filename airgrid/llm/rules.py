@@ -4,7 +4,7 @@ One pass over whole texts gives each document's counts and its distinct lines: a
 made 0, white space collapsed) and its words. Spark counts a line's documents per host; lines in more than ``most`` documents of a host
 are removed, whatever the size of the host. A document is rejected when it fails the base rules (fewer than 50 words, or over half
 of its words in repeated three-word windows), has more than ``symbols`` symbols a word, more than ``repeats`` of its lines
-are repeats, or less than ``left`` of its words are left after the removal.
+are repeats, or is depleted: less than ``left`` of its words, or fewer than ``LEAST`` words (the base minimum again), are left after the removal.
 
 Lines are counted by (host, hash), combined before the shuffle. The removed lines grow with the corpus, so lines meet them in a shuffle;
 only those with more than a ``HOT`` x partitions-th of all removed rows, of which there are fewer than that, are broadcast. So neither a
@@ -33,6 +33,7 @@ SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 WINDOW = 3
 HOT = 4
+LEAST = 50
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -115,6 +116,7 @@ def apply_rules(docs: DataFrame, most: int = 6, symbols: float = 0.5, repeats: f
     removed = removed_words(found, materialize(frequent_lines(found, most)))
     df = found.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     n = F.col("n_words")
-    base_failed = (n < 50) | (F.col("n_repeat_words") * 100 > n * 50)
-    sound = (F.col("n_symbols") <= n * symbols) & (F.col("n_dup_lines") <= F.col("n_lines") * repeats) & (n - F.col("n_removed_words") >= n * left)
+    kept_words = n - F.col("n_removed_words")
+    base_failed = (n < LEAST) | (F.col("n_repeat_words") * 100 > n * 50)
+    sound = (F.col("n_symbols") <= n * symbols) & (F.col("n_dup_lines") <= F.col("n_lines") * repeats) & (kept_words >= n * left) & (kept_words >= LEAST)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & sound).alias("kept"), "n_removed_words")
