@@ -4,7 +4,7 @@
 2. near_duplicates: the first document of each group stays (five-word shingles, similarity 0.8).
 3. personal_data: spans are replaced by their kind.
 4. mixing: sources to target weights; a document is repeated or left out whole.
-5. tokens: byte-level BPE, encoded and decoded.
+5. tokens: byte-level BPE; the ids of every text, the text decoded from them, and digests of both.
 
 Each stage works on all rows that the stage before it kept. SQL can't express the trained stages, so ORACLE_SQL is None
 and the tests check the stages against plain versions.
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, contents=True)
 
 
 STAGES = [
