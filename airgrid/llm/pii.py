@@ -227,7 +227,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets and n_chars, if there is one, brought up to date;
     spans that overlap are replaced together by the first one's kind."""
-    found = candidates(docs)
+    held = {f"__c{i}": c for i, c in enumerate(docs.columns) if c != "text"}  # so that no column clashes
+    found = candidates(docs.select("text", *(F.col(c).alias(k) for k, c in held.items())))
     df = chosen(found, fit(found))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
@@ -238,6 +239,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate("final", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, F.length("text"))))
     out = df.withColumn("text", F.when(F.size("final") > 0, whole).otherwise(F.col("text")))
+    out = out.select("text", F.size("final").alias("__n"), *held).withColumnsRenamed(held)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("final") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -189,6 +189,37 @@ def test_toxicity_on_held_out_documents(spark):
     assert 240 in ids and sum(truth[i] for i in ids & set(truth)) <= 8 and sum(1 - truth[i] for i in ids & set(truth)) >= 150
 
 
+def plain_toxicity(model, text):
+    """Forward pass of one text, window by window."""
+    h = toxicity.hashed_words(text.encode())
+    x = [np.concatenate([t[w[k]] for k, t in enumerate(model.tables)]) for w in h] + [np.zeros(sum(t.shape[1] for t in model.tables))] * 3
+    pool = []
+    for width, filters, offset in zip(toxicity.WIDTHS, model.filters, model.offsets, strict=True):
+        windows = [sum(x[i + k] @ filters[k] for k in range(width)) for i in range(len(x) - width + 1)]
+        pool += list(np.maximum(np.max(windows, axis=0) + offset, 0))
+    return 1 / (1 + np.exp(-(np.dot(pool, model.output) + model.bias)))
+
+
+def test_toxicity_scores_beside_a_plain_forward_pass(spark):
+    """A text's score depends on that text alone, whatever lies beside it; texts without words are learned from as well."""
+    texts = ["", "...", "bad", *(prose(n) + (" vile hate" if n % 3 == 0 else "") for n in range(1, 40))]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in enumerate(texts)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    want = [plain_toxicity(model, t) for t in texts]
+    for parts in (1, 3):
+        got = {r.doc_id: r.score for r in toxicity.score(docs.repartition(parts), model).collect()}
+        assert all(got[i] == pytest.approx(w, abs=1e-5) for i, w in enumerate(want))
+    assert toxicity.reject_toxic(docs.drop("lang"), labels).columns == ["doc_id", "text"]
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "write to ann@site.org now", "s", "b", 3), (2, None, None, "c", None)], "doc_id bigint, text string, spans string, base string, final int")
+    got = {r.doc_id: tuple(r) for r in pii.redact(df).collect()}
+    assert got == {1: (1, "write to <EMAIL> now", "s", "b", 3), 2: (2, None, None, "c", None)}
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels, truth = labelled(spark, 240, lambda i: (prose(60) if i % 3 else prose(30).replace(" ", "### ") + " | | | " * 20, int(i % 3 > 0)))
     check_scores(quality.classify(docs, labels), truth, 3, 1, 243, 0.5)
