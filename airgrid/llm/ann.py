@@ -3,7 +3,7 @@
 The two halves of a vector are quantised separately: k-means in numpy on a bounded sample (``sample_rows`` vectors in the order of a
 hash of vec_id) gives ``centroids`` for each half, and a pair of centroids is a cell. All vectors are indexed. A query walks the pairs in the order of
 the sum of its halves' inner products with the two centroids, with a heap over the two sorted lists, until the cells that it met
-hold ``share`` of all vectors and ``least`` vectors; the walk only needs the number of vectors in each cell (``centroids`` squared
+hold ``share`` of all vectors (and the ``k`` + 1 that an answer needs); the walk only needs the number of vectors in each cell (``centroids`` squared
 numbers). The vectors of these cells are reranked by exact double-precision products. ``share`` is what recall costs: on vectors
 without clusters, such as the test tables, 0.7 is needed for 0.9 and more at every size.
 
@@ -88,7 +88,7 @@ def fit(vectors: DataFrame, dims: int, centroids: int, sample_rows: int) -> Mult
     return MultiIndex(kmeans(x[:, :half], k), kmeans(x[:, half:], k), np.zeros((k, k), np.int64))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32, share: float = 0.7, least: int = 2000, sample_rows: int = 20000,
+def search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32, share: float = 0.7, sample_rows: int = 20000,
            blocks: int = 16, most_in_block: int = 20000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row where ``queries`` holds.
 
@@ -122,7 +122,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32
     flat = index.counts.ravel()
     block_of = np.minimum((np.cumsum(flat) - flat) * blocks // max(total, 1), blocks - 1).astype(np.int64)
     parts = np.maximum(1, -(-np.bincount(block_of, weights=flat, minlength=blocks).astype(np.int64) // most_in_block))
-    plan = spark.sparkContext.broadcast((index, block_of, parts, max(least, int(np.ceil(total * share)))))
+    plan = spark.sparkContext.broadcast((index, block_of, parts, max(k + 1, int(np.ceil(total * share)))))
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx, of, n_parts, wanted = plan.value

@@ -259,7 +259,7 @@ def test_nearest_neighbours(spark, share):
     x[50:90] = x[50]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (1004, [1.0]), (None, x[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1))
-    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20, share=share, least=50, centroids=6, blocks=3, most_in_block=60).collect()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20, share=share, centroids=6, blocks=3, most_in_block=60).collect()
     by = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         by[r.query_id].append((r.vec_id, r.score))
@@ -274,6 +274,8 @@ def test_nearest_neighbours(spark, share):
         hits += len(set(ids) & set(want))
     assert len(by) == 20 and hits >= 0.9 * 400
     assert ann.search(df.limit(0), F.col("vec_id") >= 0).count() == 0
+    few = ann.search(df.filter("vec_id < 24"), F.col("vec_id") % 20 == 0, k=20, share=share).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in few} == {0: 20, 20: 20}
 
 
 # --- mixing ------------------------------------------------------------------------
