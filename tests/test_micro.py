@@ -16,6 +16,7 @@ from airgrid.operators.percentiles import exact_percentiles
 from airgrid.operators.ranking import gini, global_rank, rank_with_shares, top_fraction, weighted_median
 from airgrid.operators.sequences import compress_visits, route_signatures, transitions, with_visit_index
 from airgrid.operators.trips import labelled_bin
+from airgrid.session import materialize
 from airgrid.spec import GridSpec
 
 
@@ -221,3 +222,21 @@ def test_labelled_bins(spark):
     df = spark.createDataFrame([(-0.1,), (0.0,), (1.0,), (79.9,), (80.0,)], "v double")
     got = [r[0] for r in df.select(labelled_bin(F.col("v"), (0, 1, 3, 5, 10, 20, 80))).collect()]
     assert got == [None, "0-1", "1-3", "20-80", None]
+
+
+def test_percentiles_broadcast_bins_not_rows(spark):
+    """A stored table of few distinct values is small as a file; its rows must not be broadcast for that."""
+    df = materialize(spark.range(6_000_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 4 / 4).alias("v")))
+    key = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, str(96 << 20))
+    try:
+        got = exact_percentiles(df, "v", {"m": .5, "q": .25}, width=0.001, by=["g"]).collect()
+    finally:
+        spark.conf.unset(key)
+    assert {(r.g, r.m, r.q) for r in got} == {(0, 0.25, 0.0), (1, 0.5, 0.25)}
+
+
+def test_percentiles_of_more_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "FEW", 10)
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), F.floor(F.col("id") / 40).cast("double").alias("v"))
+    assert {(r.g, r.m) for r in exact_percentiles(df, "v", {"m": .5}, width=0.5, by=["g"]).collect()} == {(g, 49.5) for g in range(40)}
