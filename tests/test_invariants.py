@@ -11,7 +11,7 @@ from airgrid.functions.geo import with_cell
 from airgrid.operators import cells as cells_op
 from airgrid.operators.sequences import compress_visits
 from airgrid.operators.trips import trip_lengths
-from airgrid.plans import core, resampling as rs, robustness as rb
+from airgrid.plans import core, resampling as rs, robustness as rb, sites
 from airgrid.plans.folds import summarize_folds
 from airgrid.plans.summary import negated, summarize
 from airgrid.session import materialize
@@ -143,3 +143,24 @@ def test_plans_have_no_cross_join_and_prune_columns(spark, sf_dir):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = QUERIES["altitude_histogram"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_extendedprice:double>" in plan
+
+
+def test_hubs_of_one_cell_share_a_fold(spark, inputs, monkeypatch):
+    """Sites in three cells give three folds; each site has the row of its own leave-out."""
+    cells = cells_op.traffic(inputs.occ).orderBy("total_points", "row", "col").tail(3)
+    rows = [(f"s{k:03d}", *[(c.row, c.col) for c in cells][k % 3], k / 1000, 1.0, "p", False) for k in range(60)]
+    inventory = spark.createDataFrame(rows, "site_name string, row bigint, col bigint, lon double, lat double, platform string, is_test_site boolean")
+    asked = []
+
+    def counted(occ, groups, fold):
+        asked.append(groups.select(fold).distinct().count())
+        return rb.leave_cells_out(occ, groups, fold)
+
+    monkeypatch.setattr(sites, "leave_cells_out", counted)
+    got = {r.site_name: r for r in sites.leave_hubs_out(inputs.occ, inventory).collect()}
+    want = rb.leave_cells_out(inputs.occ, sites.hub_cells(inventory).where("site_name < 's003'"), "site_name").collect()
+    assert asked == [3] and len(got) == 60 and len(want) == 3
+    for k in range(60):
+        row = got[f"s{k:03d}"].asDict()
+        for name, value in want[[r.site_name for r in want].index(f"s{k % 3:03d}")].asDict().items():
+            assert name == "site_name" or row[name] == (pytest.approx(value) if isinstance(value, float) else value), name
