@@ -19,26 +19,28 @@ def _around(df: DataFrame) -> DataFrame:
         "_ty": F.col("_ty") + F.col("_dy"), "_tx": F.col("_tx") + F.col("_dx")}).drop("_dy", "_dx")
 
 
-def _tiled_pairs(points: DataFrame, threshold_m: float, strict: bool) -> DataFrame:
+def _tiled_pairs(points: DataFrame, threshold_m: float, strict: bool, salts: int = 1) -> DataFrame:
     """Ordered pairs (a, b) of rows (id, lat, lon) with id_a < id_b no farther apart than the threshold.
 
     Tiles are at least as wide as the threshold everywhere, so partners lie in
-    adjacent tiles.
+    adjacent tiles. ``salts`` deals the rows a of a crowded tile over as many keys and repeats the rows b for each.
     """
     top = points.agg(F.max(F.abs(F.col("lat")))).scalar()
     tiled = points.withColumns({
         "_ty": F.floor(F.col("lat") * F.lit(METERS_PER_DEGREE / threshold_m)),
         "_tx": F.floor(F.col("lon") * F.lit(METERS_PER_DEGREE / threshold_m) * F.cos(F.radians(top)))})
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in points.columns], "_ty", "_tx")
-    joined = side(_around(tiled), "a").join(side(tiled, "b"), ["_ty", "_tx"]).where(F.col("id_a") < F.col("id_b")).drop("_ty", "_tx")
+    left = side(_around(tiled), "a").withColumn("_salt", F.pmod(F.xxhash64("id_a"), F.lit(salts)))
+    right = side(tiled, "b").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    joined = left.join(right, ["_ty", "_tx", "_salt"]).where(F.col("id_a") < F.col("id_b")).drop("_ty", "_tx", "_salt")
     out = joined.withColumn("distance_m", haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
     return out.where(F.col("distance_m") < threshold_m if strict else F.col("distance_m") <= threshold_m)
 
 
-def pairs_within(points: DataFrame, key: str, threshold_m: float, *, lat: str = "lat", lon: str = "lon", strict: bool = False) -> DataFrame:
+def pairs_within(points: DataFrame, key: str, threshold_m: float, *, lat: str = "lat", lon: str = "lon", strict: bool = False, salts: int = 1) -> DataFrame:
     """Unordered pairs (key_a < key_b) of a table no farther apart than the threshold, with their distance."""
     rows = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    return _tiled_pairs(rows, threshold_m, strict).select(F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b"), "distance_m")
+    return _tiled_pairs(rows, threshold_m, strict, salts).select(F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b"), "distance_m")
 
 
 def position_pairs(points: DataFrame, key: str, threshold_m: float, *, lat: str = "lat", lon: str = "lon", strict: bool = False) -> DataFrame:

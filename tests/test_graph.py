@@ -11,6 +11,7 @@ from airgrid.operators import graph
 from airgrid.operators.joins import lookup_join
 from airgrid.operators.spatial import nearest, pairs_within, position_pairs, within_radius
 from airgrid.plans.routes import backbone_continuity, network_nodes, network_summary
+from airgrid.plans.sites import close_site_pairs
 from pyspark.sql import functions as F
 
 from airgrid.session import materialize
@@ -169,6 +170,15 @@ def test_position_pairs_carry_multiplicities(spark):
         assert (r.n_a, r.n_b) == (len(a), len(b)) and r.site_a == min(a) and r.site_b == (max(b) if a is b else min(b))
 
 
+def test_close_sites_are_listed_pair_by_pair(spark):
+    """Sites of one position are pairs of their own, each with both names."""
+    spots = [(22.5 + (k % 4) * 0.001, 114.0) for k in range(60)]
+    rows = [(f"s{k:03d}", lat, lon, k, k, "p", False) for k, (lat, lon) in enumerate(spots)]
+    inventory = spark.createDataFrame(rows, "site_name string, lat double, lon double, row bigint, col bigint, platform string, is_test_site boolean")
+    got = sorted((r.site_name_a, r.site_name_b) for r in close_site_pairs(inventory, 150.0).collect())
+    assert got == [(f"s{a:03d}", f"s{b:03d}") for a, b in itertools.combinations(range(60), 2) if abs(a % 4 - b % 4) <= 1]
+
+
 def union_find(nodes, edges):
     of = {n: n for n in nodes}
 
