@@ -189,6 +189,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert 240 in ids and sum(truth[i] for i in ids & set(truth)) <= 8 and sum(1 - truth[i] for i in ids & set(truth)) >= 150
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """Also from texts of over 3 MB, which a sample of 48 MB left out; here only they are toxic."""
+    rows = [(i, "vile hate " * 320_000 if i % 8 == 0 else prose(30)) for i in range(64)] + [(100, "vile hate"), (101, "and so on")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(64)], "doc_id bigint, toxic int")
+    assert toxicity.labelled(docs, labels, "toxic", F.lit(True)).count() == 64
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    assert (got[100], got[101]) == (1, 0)
+
+
 def plain_toxicity(model, text):
     """Forward pass of one text, window by window."""
     h = toxicity.hashed_words(text.encode())
