@@ -250,11 +250,11 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
     state = Training(_start_model(found, n, ones, width, filters, rng), ones / n)
     spread = rows.select("words", "label").coalesce(max(1, n // TASK_ROWS))
     names = [f"v{j}" for j in range(width + 1)]
-    for epoch in range(epochs):
-        shared = rows.sparkSession.sparkContext.broadcast(state)
+    for _ in range(epochs):
+        shared = rows.sparkSession.sparkContext.broadcast((state, rng))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            own, order, done = copy.deepcopy(shared.value), np.random.default_rng((seed, epoch)), 0
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (own, order), done = copy.deepcopy(shared.value), 0
             for part in slices(batches, "words"):
                 texts, y = _stored_words(part), part.column("label").to_numpy().astype(np.float32)
                 mixed = order.permutation(len(texts))
@@ -262,7 +262,7 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
                     own.update([texts[i] for i in mixed[at:at + batch]], y[mixed[at:at + batch]])
                 done += len(texts)
             if done:
-                kinds, places, values = own.parts(shared.value)
+                kinds, places, values = own.parts(shared.value[0])
                 fixed = np.rint(values * FIXED).astype(np.int64) * done
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(places.astype(np.int64)), pa.array(np.full(len(kinds), done, np.int64)),
                                                   *(pa.array(fixed[:, j].copy()) for j in range(fixed.shape[1]))], names=["kind", "place", "n", *names])
@@ -272,6 +272,7 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
         total = _numbers(sums, "n").astype(np.float64)[:, None]
         state.take(_numbers(sums, "kind"), _numbers(sums, "place"), np.stack([_numbers(sums, c) for c in names], 1) / total / FIXED)
         shared.unpersist()
+        rng.permutation(min(n, TASK_ROWS))  # the next round draws anew
     state.model.bias = float(state.dense[-1][0])
     return state.model
 
@@ -306,7 +307,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, extr
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """The rows stored with ``words``, the hashed words of the text (null: none), in place of the text; training reads them in every round."""
+    """The rows stored with ``words``, the hashed words of the text (null: none), in place of the text; training reads them in every round.
+    They lie in the order of a hash of doc_id, so that neighbours in the given table don't meet in a step."""
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +316,8 @@ def with_words(rows: DataFrame) -> DataFrame:
             words = [hashed_words(t).tobytes() for t in utf8_texts(part.column("text"))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(words, pa.binary())], names=[*keep, "words"])
 
-    return materialize(rows.select(*keep, "text").mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField("words", BinaryType())])))
+    return materialize(rows.select(*keep, "text").mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField("words", BinaryType())]))
+                       .sortWithinPartitions(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "words"))
 
 
 def score_words(rows: DataFrame, model: ToxicityModel) -> DataFrame:
