@@ -16,6 +16,7 @@ that is 0; more columns are ignored. A null language uses the threshold for all
 from __future__ import annotations
 
 import copy
+import math
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ WIDTHS = (1, 2, 3)
 BUCKETS, TABLES, AFFIX = 1 << 16, 3, 5
 FOLDS, HELD_OUT = 4, 2
 LARGEST = 16
-#: Rows that a task of the training has at least, and the unit of the integers that states are summed in.
-TASK_ROWS, FIXED = 6000, float(1 << 32)
+#: Rows that a task of the training has at least, tasks up to which their number grows with the rows, and the unit of the integers that states are summed in.
+TASK_ROWS, EVEN_TASKS, FIXED = 6000, 16, float(1 << 32)
 #: Bytes that separate words: all ASCII but letters; a-z stay, A-Z are lowered.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -233,6 +234,12 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, n, ones
 
 
+def training_tasks(n: int) -> int:
+    """Tasks of a round over ``n`` rows. Each sends a state of the same size, so beyond ``EVEN_TASKS`` their number grows with the root of the rows only."""
+    tasks = n // TASK_ROWS
+    return max(1, min(tasks, math.isqrt(EVEN_TASKS * tasks)))
+
+
 def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, batch: int = 32, seed: int = 7) -> ToxicityModel:
     """Fit on all rows (words, label 0 or 1) of a stored table.
 
@@ -248,7 +255,7 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
         model.bias = 40.0 if ones else -40.0
         return model
     state = Training(_start_model(found, n, ones, width, filters, rng), ones / n)
-    spread = rows.select("words", "label").coalesce(max(1, n // TASK_ROWS))
+    spread = rows.select("words", "label").coalesce(training_tasks(n))
     names = [f"v{j}" for j in range(width + 1)]
     for _ in range(epochs):
         shared = rows.sparkSession.sparkContext.broadcast((state, rng))
@@ -300,10 +307,11 @@ def thresholds(scored: DataFrame, default: float, low: float = 0.1, high: float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, extra: tuple[str, ...] = ()) -> DataFrame:
-    """All rows to learn from, stored once: hashed words of the whole text, label 0 or 1, and the ``extra`` columns."""
+    """All rows to learn from, stored once: hashed words of the whole text, label 0 or 1, and the ``extra`` columns.
+    Labels grow with the texts, so they are never broadcast; the join takes the same form at every size."""
     known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(learn)
              .groupBy("doc_id").agg(F.max("label").alias("label")))
-    return with_words(docs.select("doc_id", "text", *extra).filter(learn).join(known, "doc_id"))
+    return with_words(docs.select("doc_id", "text", *extra).filter(learn).join(known.hint("merge"), "doc_id"))
 
 
 def with_words(rows: DataFrame) -> DataFrame:
