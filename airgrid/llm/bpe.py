@@ -31,6 +31,7 @@ from airgrid.llm.common import slices, utf8_texts
 
 KNOWN = 500_000
 RANGE = 1 << 19    # tokens decoded by one query
+AT_ONCE = 1 << 20  # bytes of text encoded at once; a worker keeps what DuckDB and Python took for them
 PORTION = 4 << 20  # characters of a text whose chunks are held at once
 WORDS_AT_ONCE, LONG = 20_000, 64
 #: Rows that the rounds of one query hold together.
@@ -277,7 +278,7 @@ def _over(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[st
     name = _name(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", AT_ONCE):
             yield make(_codec(name, shared.value, pattern), part)
 
     return docs.select(*keep).mapInArrow(run, schema)

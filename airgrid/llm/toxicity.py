@@ -38,6 +38,8 @@ FOLDS, HELD_OUT = 4, 2
 LARGEST = 16
 #: Rows that a task of the training has at least, tasks up to which their number grows with the rows, and the unit of the integers that states are summed in.
 TASK_ROWS, EVEN_TASKS, FIXED = 6000, 16, float(1 << 32)
+#: Bytes of text scored at once; scoring takes about 60 bytes of temporary arrays for each.
+SCORE_BYTES = 1 << 20
 #: Bytes that separate words: all ASCII but letters; a-z stay, A-Z are lowered.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -320,7 +322,7 @@ def with_words(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, "text", SCORE_BYTES):
             words = [hashed_words(t).tobytes() for t in utf8_texts(part.column("text"))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(words, pa.binary())], names=[*keep, "words"])
 
@@ -333,7 +335,7 @@ def score_words(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "words"):
+        for part in slices(batches, "words", SCORE_BYTES):
             s = shared.value.scores(_stored_words(part))
             yield pa.RecordBatch.from_arrays([part.column("label"), part.column("lang"), pa.array(s, pa.float64())], names=["label", "lang", "score"])
 
@@ -383,18 +385,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None, samp
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score, in column ``name``, of every whole text."""
+    """``keep`` columns and the score, in column ``name``, of every whole text; a kept text is sent to the task once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "__text"):
-            s = m.scores([hashed_words(t) for t in utf8_texts(part.column("__text"))])
+        for part in slices(batches, "text", SCORE_BYTES):
+            s = m.scores([hashed_words(t) for t in utf8_texts(part.column("text"))])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, name])
 
     schema = StructType([*fields, StructField(name, DoubleType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
 
 def limit_of(model: ToxicityModel, lang: Column) -> Column:

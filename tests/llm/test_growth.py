@@ -1,6 +1,11 @@
 """Work that must not change its form, or grow faster than the input, on larger tables."""
 
-from airgrid.llm import toxicity
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from airgrid.llm import bpe, toxicity
 
 
 def test_training_states_grow_slower_than_rows(spark, monkeypatch):
@@ -13,3 +18,20 @@ def test_training_states_grow_slower_than_rows(spark, monkeypatch):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert rows.count() == 20
+
+
+def test_workers_hold_little_text_at_once(spark):
+    docs = spark.range(0, 30, 1, 1).selectExpr("id as doc_id", "repeat('word ', 40000) as text")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def make(codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        held = pc.sum(pc.binary_length(part.column("text"))).as_py()
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, held, np.int64))], names=["doc_id", "held"])
+
+    rows = bpe._over(docs, ranks, public_tokenizers.PATTERN, ("doc_id", "text"), "doc_id long, held long", make).collect()
+    assert len(rows) == 30 and max(r.held for r in rows) <= 1 << 20
+    model = toxicity._start_model(np.zeros((2, toxicity.TABLES, toxicity.BUCKETS)), 0, 0, 6, 8, np.random.default_rng(0))
+    scored = toxicity.score(docs, model, ("doc_id", "text"), "__toxic")
+    sent = scored._jdf.queryExecution().analyzed().children().head().output()
+    assert sent.size() == 2  # a kept text isn't sent twice
+    assert scored.columns == ["doc_id", "text", "__toxic"] and scored.count() == 30
