@@ -30,6 +30,7 @@ from airgrid.spec import BACKBONE_SHARE, GridSpec
 
 SEED = 42
 LINE_PIECES = 4096
+FIRST_DRAWS = 1 << 16  # draws of an iteration in the first round
 BLOCK = 50  # iterations carried per row in the cluster bootstrap
 
 
@@ -163,6 +164,29 @@ def random_backbone_null(windows: DataFrame, n: int = 50, seed: int = SEED) -> D
     return with_risk(table)
 
 
+def _drawn_cells(stretches: DataFrame, n: int, total: int, piece: int, seed: int) -> DataFrame:
+    """(kind, iter, row, col) of every cell that one of ``total`` draws of an iteration hits.
+
+    Once an iteration has hit every cell of its line, further draws add nothing. Draws come in rounds, each longer than the one before,
+    and only lines with cells still to be hit go on, to the last draw if need be.
+    """
+    spark, keys = stretches.sparkSession, ["kind", "iter", "row", "col"]
+    sizes = {r["kind"]: r["n"] for r in stretches.groupBy("kind").agg(F.count_distinct("row", "col").alias("n")).collect()}  # two rows
+    pending, found, start, length = [(k, i) for k in ("start", "end") for i in range(n)], None, 0, FIRST_DRAWS
+    while found is None or (pending and start < total):
+        length = min(length, total - start)
+        lines = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).cast("bigint").alias("iter")) for k, i in pending])
+        draws = draw_grid(spark, len(pending), length).select(F.get(lines, F.col("iter").cast("int")).alias("line"), (F.col("j") + F.lit(start)).alias("j"))
+        draws = draws.select("line.kind", "line.iter", draw_index(F.lit(total), seed, F.col("line.kind"), F.col("line.iter"), F.col("j")).alias("r"))
+        hits = draws.withColumn("piece", F.expr(f"r div {piece}")).join(stretches, ["kind", "piece"])
+        new = hits.where(F.col("r").between(F.col("before"), F.col("before") + F.col("m") - 1)).select(*keys).distinct()
+        found = materialize(new if found is None else found.unionByName(new).distinct())
+        done = {(r["kind"], r["iter"]): r["n"] for r in found.groupBy("kind", "iter").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 n rows
+        pending = [p for p in pending if done.get(p, 0) < sizes.get(p[0], 0)]
+        start, length = start + length, length * 4
+    return found
+
+
 def od_reassignment_null(ends: DataFrame, windows: DataFrame, grid: GridSpec, n: int = 50, seed: int = SEED) -> DataFrame:
     """Share of congested windows in endpoint cells when starts and ends are drawn with replacement.
 
@@ -173,16 +197,12 @@ def od_reassignment_null(ends: DataFrame, windows: DataFrame, grid: GridSpec, n:
     cells = cells_op.exceedance(occ, rho_star(occ)).where(F.col("exceedance_count") > 0)
     counts = ends.groupBy("kind", "row", "col").agg(F.count(F.lit(1)).alias("m"))
     line = running_total(counts, "m", by=["kind"])
-    total = counts.where(F.col("kind") == "start").agg(F.sum("m")).first()[0]
+    total = counts.where(F.col("kind") == "start").agg(F.sum("m")).first()[0] or 0
     # cells as stretches of the number line, cut into equal pieces: draws look their piece up and are never shuffled
     piece = max(1, -(-total // LINE_PIECES))
     last = F.col("before") + F.col("m") - 1
-    stretches = line.withColumn("piece", F.explode(F.sequence(F.expr(f"before div {piece}"), F.floor(last / piece))))
-    kinds = F.explode(F.array(F.lit("start"), F.lit("end")))
-    draws = draw_grid(windows.sparkSession, n, total).select("iter", "j", kinds.alias("kind")).select(
-        "kind", "iter", draw_index(F.lit(total), seed, F.col("kind"), F.col("iter"), F.col("j")).alias("r"))
-    hits = draws.withColumn("piece", F.expr(f"r div {piece}")).join(materialize(stretches), ["kind", "piece"])
-    drawn = materialize(hits.where(F.col("r").between(F.col("before"), last)).select("iter", "row", "col").distinct())
+    stretches = materialize(line.withColumn("piece", F.explode(F.sequence(F.expr(f"before div {piece}"), F.floor(last / piece)))))
+    drawn = _drawn_cells(stretches, n, total, piece, seed).select("iter", "row", "col").distinct()
     near = buffer_cells(drawn, 1, grid=grid, edge="clamp", by=["iter"])
     marks = drawn.withColumns({"exact": F.lit(1), "near": F.lit(0)}).unionByName(near.withColumns({"exact": F.lit(0), "near": F.lit(1)}))
     marks = marks.groupBy("iter", "row", "col").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
