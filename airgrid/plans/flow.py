@@ -10,6 +10,7 @@ from airgrid.operators.curves import binned_relation
 from airgrid.operators.percentiles import exact_percentiles
 from airgrid.operators.sequences import compress_visits
 from airgrid.operators.trips import distance_bin
+from airgrid.session import materialize
 from airgrid.spec import WindowSpec
 
 
@@ -67,6 +68,8 @@ def speed_by_phase(points: DataFrame, trip_table: DataFrame, endpoint_buffer: Da
 
 
 def speed_by_phase_summary(points: DataFrame, trip_table: DataFrame, endpoint_buffer: DataFrame) -> DataFrame:
-    data, by = speed_by_phase(points, trip_table, endpoint_buffer), ["phase", "dist_bin"]
+    by = ["phase", "dist_bin"]
+    # written once: means and percentiles would each join the points again
+    data = materialize(speed_by_phase(points, trip_table, endpoint_buffer).select(*by, "point_speed"))
     means = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("point_speed").alias("mean_speed"))
     return means.join(exact_percentiles(data, "point_speed", {"median_speed": .5}, width=0.05, by=by), by)
