@@ -42,6 +42,7 @@ def zero_based_relations(table: DataFrame) -> DataFrame:
     """Speed-density, flow-density and flow-speed relations with bins from zero."""
     specs = [("v_k", "density_unique_flights", "speed_mean", 1.0), ("q_k", "density_unique_flights", "flow_entries_per_hour", 1.0),
              ("q_v", "speed_mean", "flow_entries_per_hour", 0.5)]
+    table = materialize(table.select(*sorted({c for _, x, y, _ in specs for c in (x, y)})))
     return binned_relation(_long(table, specs), "x", "y", bin_width="width", by=["relation"])
 
 
@@ -51,7 +52,8 @@ def anchored_relations(table: DataFrame, endpoint_buffer: DataFrame) -> DataFram
              ("speed_vs_flow", "flow_entries_per_hour", "speed_mean", 6.0),
              ("flow_vs_density", "density_unique_flights", "flow_entries_per_hour", 1.0),
              ("speed_vs_spacing", "spacing_surrogate_m", "speed_mean", 4.0)]
-    flagged = in_set(table, endpoint_buffer, "near")
+    # written once: the bins read it for their origins, their means and twice for their quartiles
+    flagged = materialize(in_set(table.select("row", "col", *sorted({c for _, x, y, _ in specs for c in (x, y)})), endpoint_buffer, "near"))
     subsets = F.when(F.col("near"), F.array(F.lit("all_windows"))).otherwise(
         F.array(F.lit("all_windows"), F.lit("away_from_endpoint")))
     both = flagged.withColumn("subset", F.explode(subsets))
