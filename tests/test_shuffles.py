@@ -53,3 +53,27 @@ def test_visits_share_the_shuffle_with_the_carried_points(inputs):
 def test_summaries_read_a_written_table(spark, sf_dir, name):
     """Means and percentiles of one table read it from disk and don't each derive it from the points."""
     assert "l_orderkey" not in plan_of(QUERIES[name](spark, sf_dir))
+
+
+def test_paths_are_taken_apart_once_per_path(inputs):
+    """Folder, route, file and start time come from a table of paths that the points join, not from every point."""
+    from airgrid.plans import followup
+    points = followup.normalize_logs(inputs.nav_logs, GRID)
+    shuffled = [p for p in points._jdf.queryExecution().optimizedPlan().toString().split("\n") if "as source_folder" in p.lower()]
+    assert len(shuffled) == 1 and "l_orderkey" not in shuffled[0]
+    assert points.select("flight_id", "source_folder", "file_name").distinct().count() == followup.flight_keys(points).count()
+
+
+def test_paths_of_one_flight_share_their_start(spark):
+    from airgrid.plans import followup
+    rows = [("logs/20251001-080000.mat", 5_000_000), ("logs/20251001-080000.txt", 2_000_000), (None, 0), ("logs/20241001-080000.mat", 0)]
+    logs = spark.createDataFrame(rows, "path string, logtime bigint").selectExpr(
+        "*", "22.6D as lat", "113.9D as lon", "1.0D as vel_x", "1.0D as vel_y", "10.0D as altitude_agl")
+    got = followup.normalize_logs(logs, GRID).select("file_name", "elapsed_s").collect()
+    assert sorted((r.file_name, r.elapsed_s) for r in got) == [("20251001-080000.mat", 3.0), ("20251001-080000.txt", 0.0)]
+
+
+def test_years_need_no_percentile_per_flight(spark, sf_dir, monkeypatch):
+    from airgrid.plans import followup
+    monkeypatch.setattr(followup, "flight_summary", lambda points: pytest.fail("summary of every flight"))
+    assert QUERIES["flight_years"](spark, sf_dir).count() > 0
