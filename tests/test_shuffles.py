@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airgrid.catalog import QUERIES
+from airgrid.catalog import routes as g
 from airgrid.catalog import trips as t
 from airgrid.catalog.inputs import GRID, Inputs
 from airgrid.operators import trips
@@ -30,6 +31,23 @@ def test_pairs_and_trips_share_one_table(inputs):
     assert sorted(map(str, t.od_of(inputs).select(direct.columns).collect())) == sorted(map(str, direct.collect()))
 
 
+def test_pairs_with_lengths_need_no_join(inputs):
+    """Pair and trip of an order are read off one row; the rows are those of the join by order."""
+    got = g.od_trips(inputs)
+    assert "Join" not in plan_of(got) and "Exchange hashpartitioning" not in plan_of(got)
+    info = t.trips_of(inputs).select("order_id", "path_length_km", "duration_minutes", "od_distance_km")
+    joined = t.od_of(inputs).join(info, "order_id").where("duration_minutes > 0 and od_distance_km > 0")
+    assert sorted(map(str, got.select(joined.columns).collect())) == sorted(map(str, joined.collect())) != []
+
+
+def test_pairs_with_lengths_drop_rows_without_order(spark):
+    rows = [(o, 1_700_000_000 + 60 * k, 113.9 + k / 100, 22.6 + k / 100, 5.0, 100.0, "MT") for o in ("a", None) for k in range(3)]
+    points = spark.createDataFrame(rows, "order_id string, t bigint, longitude double, latitude double, speed double, altitude double, vendor string")
+    points = points.withColumn("datetime", F.timestamp_seconds("t")).drop("t")
+    got = trips.pairs_with_lengths(trips.order_paths(points), trips.refined_extent(points), 500.0).collect()
+    assert [r.order_id for r in got] == ["a"] and got[0].od_distance_km > 0
+
+
 def test_orders_over_several_slices(spark):
     """Orders that begin, end and pause anywhere: the slices add up to the whole order, in any slicing."""
     rows = [(f"o{k % 7}", 1_700_000_000 + (k * 7919) % 5000, 113.9 + (k * 37 % 100) / 1000, 22.6 + (k * 53 % 100) / 1000, float(k % 9), float(k % 300))
