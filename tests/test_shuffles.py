@@ -95,3 +95,8 @@ def test_years_need_no_percentile_per_flight(spark, sf_dir, monkeypatch):
     from airgrid.plans import followup
     monkeypatch.setattr(followup, "flight_summary", lambda points: pytest.fail("summary of every flight"))
     assert QUERIES["flight_years"](spark, sf_dir).count() > 0
+
+
+def test_folds_read_written_contributions(spark, sf_dir):
+    """Total, deltas, fold names and what is removed come from one written table, not each from the points."""
+    assert "l_orderkey" not in plan_of(QUERIES["leave_one_vendor_out"](spark, sf_dir))
