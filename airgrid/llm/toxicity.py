@@ -38,6 +38,8 @@ FOLDS, HELD_OUT = 4, 2
 LARGEST = 16
 #: Rows that a task of the training has at least, tasks up to which their number grows with the rows, and the unit of the integers that states are summed in.
 TASK_ROWS, EVEN_TASKS, FIXED = 6000, 16, float(1 << 32)
+#: Kinds from here on hold the whole parts of the state, those below the fractions.
+WHOLE = TABLES + 1
 #: Bytes of text scored at once; scoring takes about 60 bytes of temporary arrays for each.
 SCORE_BYTES = 1 << 20
 #: Bytes that separate words: all ASCII but letters; a-z stay, A-Z are lowered.
@@ -236,6 +238,25 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, n, ones
 
 
+def split(kinds: np.ndarray, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, place, integers) in units of 1 / ``FIXED``: fractions between -1/2 and 1/2, and whole numbers in rows of their own, of kinds from ``WHOLE``
+    on, where any isn't 0. Times the rows of a task, sums of both fit 64 bits up to ``FIXED`` rows, however many steps and however large a weight."""
+    whole = np.rint(values)
+    large = np.flatnonzero(whole.any(1))
+    return (np.concatenate([kinds, kinds[large] + WHOLE]), np.concatenate([places, places[large]]),
+            np.concatenate([np.rint((values - whole) * FIXED), whole[large]]).astype(np.int64))
+
+
+def united(kinds: np.ndarray, places: np.ndarray, sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``split`` after they are summed, as (kind, place, float sums in units of 1 / ``FIXED``, n); n is that of all tasks that sent fractions."""
+    order = np.lexsort((places, kinds))
+    kinds, places, out, n = kinds[order], places[order], sums[order].astype(np.float64), n[order]
+    few = int(np.searchsorted(kinds, WHOLE))
+    key = (kinds << 32) + places  # places are below BUCKETS or few
+    out[np.searchsorted(key[:few], key[few:] - (WHOLE << 32))] += out[few:] * FIXED
+    return kinds[:few], places[:few], out[:few], n[:few]
+
+
 def training_tasks(n: int) -> int:
     """Tasks of a round over ``n`` rows. Each sends a state of the same size, so beyond ``EVEN_TASKS`` their number grows with the root of the rows only."""
     tasks = n // TASK_ROWS
@@ -272,14 +293,15 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
                 done += len(texts)
             if done:
                 kinds, places, values = own.parts(shared.value[0])
-                fixed = np.rint(values * FIXED).astype(np.int64) * done
+                kinds, places, fixed = split(kinds, places, values)
+                fixed *= done
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(places.astype(np.int64)), pa.array(np.full(len(kinds), done, np.int64)),
                                                   *(pa.array(fixed[:, j].copy()) for j in range(fixed.shape[1]))], names=["kind", "place", "n", *names])
 
         sums = spread.mapInArrow(run, ", ".join(f"{c} long" for c in ("kind", "place", "n", *names))).groupBy("kind", "place").agg(
             *[F.sum(c).alias(c) for c in ("n", *names)]).toArrow()  # at most TABLES x BUCKETS rows and the dense state
-        total = _numbers(sums, "n").astype(np.float64)[:, None]
-        state.take(_numbers(sums, "kind"), _numbers(sums, "place"), np.stack([_numbers(sums, c) for c in names], 1) / total / FIXED)
+        kinds, places, fixed, total = united(_numbers(sums, "kind"), _numbers(sums, "place"), np.stack([_numbers(sums, c) for c in names], 1), _numbers(sums, "n"))
+        state.take(kinds, places, fixed / total[:, None] / FIXED)
         shared.unpersist()
         rng.permutation(min(n, TASK_ROWS))  # the next round draws anew
     state.model.bias = float(state.dense[-1][0])

@@ -35,3 +35,50 @@ def test_workers_hold_little_text_at_once(spark):
     sent = scored._jdf.queryExecution().analyzed().children().head().output()
     assert sent.size() == 2  # a kept text isn't sent twice
     assert scored.columns == ["doc_id", "text", "__toxic"] and scored.count() == 30
+
+
+def test_sums_of_states_fit_after_many_steps(spark, tmp_path, monkeypatch):
+    """Steps x rows x the unit of the sums went over 64 bits in a few rounds over 4 GB: an error, or in one task a wrong step."""
+    made, start = [], toxicity.Training.__init__
+
+    def late(self, model, share):
+        start(self, model, share)
+        self.step = 1e8
+        made.append(self)
+
+    monkeypatch.setattr(toxicity.Training, "__init__", late)
+    words = [(bytearray(toxicity.hashed_words(b"good word" if i % 2 else b"bad word").tobytes()), i % 2) for i in range(80)]
+    spark.createDataFrame(words, "words binary, label int").repartition(4).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for tasks in (1, 4):
+        monkeypatch.setattr(toxicity, "training_tasks", lambda n, tasks=tasks: tasks)
+        model = toxicity.train(rows)
+        steps = made[-1].step - 1e8
+        assert 6 <= steps <= 36  # in each of 6 rounds one step per 32 rows or part of a batch
+        scores = model.scores([toxicity.hashed_words(t) for t in (b"good word", b"bad word")])
+        assert np.isfinite(scores).all() and scores[0] > scores[1]
+
+
+def test_states_are_summed_exactly():
+    rng = np.random.default_rng(3)
+    tasks = []
+    for done in (18_750, 60_000, 1):
+        places = np.sort(rng.choice(50, 30, replace=False))
+        kinds = np.repeat(np.arange(toxicity.WHOLE), 30)
+        values = rng.normal(0, 1, (len(kinds), 7)) * 10.0 ** rng.integers(-9, 6, (len(kinds), 1))
+        values[0, :3] = 0.5, -1.5, 2.0 ** -33
+        tasks.append((kinds, np.tile(places, toxicity.WHOLE), values, done))
+    exact, weight, sums, sent = {}, {}, {}, {}
+    for kinds, places, values, done in tasks:
+        for k, p, v in zip(kinds, places, values, strict=True):
+            exact[k, p] = [a + round(float(x) * 2 ** 32) * done for a, x in zip(exact.get((k, p), [0] * 7), v, strict=True)]
+            weight[k, p] = weight.get((k, p), 0) + done
+        for k, p, v in zip(*toxicity.split(kinds, places, values), strict=True):
+            assert abs(v).max() <= 1 << 31
+            sums[k, p] = sums.get((k, p), 0) + v * done
+            sent[k, p] = sent.get((k, p), 0) + done
+    keys = list(sums)[::-1]  # the order of the sums is open
+    kinds, places, total, n = toxicity.united(*(np.array(x) for x in zip(*keys, strict=True)), np.array([sums[k] for k in keys]), np.array([sent[k] for k in keys]))
+    assert len(kinds) == len(exact)
+    for k, p, v, m in zip(kinds, places, total, n, strict=True):
+        assert v.tolist() == [float(x) for x in exact[k, p]] and m == weight[k, p]
