@@ -88,3 +88,17 @@ def test_stages(spark, sf_dir, tmp_path):
 
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(str, whole.collect())) == sorted(map(str, rows["tokens"]))
+
+
+def test_toxicity_stage_after_many_steps(spark, sf_dir, monkeypatch):
+    """With the steps of a large training behind it, the stage failed as steps x rows no longer fit 64 bits."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), toxicity.Training.__init__
+
+    def late(self, model, share):
+        start(self, model, share)
+        self.step = 1e9
+
+    monkeypatch.setattr(toxicity.Training, "__init__", late)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf_dir).select("doc_id").collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").collect()}
+    assert len(toxic & kept) < len(toxic) / 2 and len(kept - toxic) >= 0.9 * (docs.count() - len(toxic))
