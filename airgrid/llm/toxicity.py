@@ -247,14 +247,20 @@ def split(kinds: np.ndarray, places: np.ndarray, values: np.ndarray) -> tuple[np
             np.concatenate([np.rint((values - whole) * FIXED), whole[large]]).astype(np.int64))
 
 
-def united(kinds: np.ndarray, places: np.ndarray, sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of ``split`` after they are summed, as (kind, place, float sums in units of 1 / ``FIXED``, n); n is that of all tasks that sent fractions."""
-    order = np.lexsort((places, kinds))
-    kinds, places, out, n = kinds[order], places[order], sums[order].astype(np.float64), n[order]
-    few = int(np.searchsorted(kinds, WHOLE))
+def united(kinds: np.ndarray, places: np.ndarray, sums: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of ``split`` after they are summed, as (kind, place, float sums in units of 1 / ``FIXED``, n); n is that of all tasks that sent
+    fractions. Column by column, as the driver holds little."""
     key = (kinds << 32) + places  # places are below BUCKETS or few
-    out[np.searchsorted(key[:few], key[few:] - (WHOLE << 32))] += out[few:] * FIXED
-    return kinds[:few], places[:few], out[:few], n[:few]
+    order = np.argsort(key)
+    kinds, places, key, n = kinds[order], places[order], key[order], n[order]
+    few = int(np.searchsorted(kinds, WHOLE))
+    at = np.searchsorted(key[:few], key[few:] - (WHOLE << 32))
+    out = np.empty((few, len(sums)))
+    for j, column in enumerate(sums):
+        column = column[order].astype(np.float64)
+        column[at] += column[few:] * FIXED
+        out[:, j] = column[:few]
+    return kinds[:few], places[:few], out, n[:few]
 
 
 def training_tasks(n: int) -> int:
@@ -300,8 +306,11 @@ def train(rows: DataFrame, width: int = 6, filters: int = 8, epochs: int = 6, ba
 
         sums = spread.mapInArrow(run, ", ".join(f"{c} long" for c in ("kind", "place", "n", *names))).groupBy("kind", "place").agg(
             *[F.sum(c).alias(c) for c in ("n", *names)]).toArrow()  # at most TABLES x BUCKETS rows and the dense state
-        kinds, places, fixed, total = united(_numbers(sums, "kind"), _numbers(sums, "place"), np.stack([_numbers(sums, c) for c in names], 1), _numbers(sums, "n"))
-        state.take(kinds, places, fixed / total[:, None] / FIXED)
+        kinds, places, means, total = united(_numbers(sums, "kind"), _numbers(sums, "place"), [_numbers(sums, c) for c in names], _numbers(sums, "n"))
+        means /= total[:, None]
+        means /= FIXED
+        state.take(kinds, places, means)
+        del sums, means
         shared.unpersist()
         rng.permutation(min(n, TASK_ROWS))  # the next round draws anew
     state.model.bias = float(state.dense[-1][0])

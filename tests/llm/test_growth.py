@@ -78,7 +78,7 @@ def test_states_are_summed_exactly():
             sums[k, p] = sums.get((k, p), 0) + v * done
             sent[k, p] = sent.get((k, p), 0) + done
     keys = list(sums)[::-1]  # the order of the sums is open
-    kinds, places, total, n = toxicity.united(*(np.array(x) for x in zip(*keys, strict=True)), np.array([sums[k] for k in keys]), np.array([sent[k] for k in keys]))
+    kinds, places, total, n = toxicity.united(*(np.array(x) for x in zip(*keys, strict=True)), list(np.array([sums[k] for k in keys]).T), np.array([sent[k] for k in keys]))
     assert len(kinds) == len(exact)
     for k, p, v, m in zip(kinds, places, total, n, strict=True):
         assert v.tolist() == [float(x) for x in exact[k, p]] and m == weight[k, p]
